@@ -10,23 +10,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from liftwise.functions.metrics import MONEY
+from liftwise.functions.metrics import MONEY, reuse_for_names
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@reuse_for_names
 def millions(x: Column | str, digits: int = 2) -> Column:
     """round(x / 1,000,000, digits) in exact decimal (F7 + F3)."""
     return F.round(_col(x).cast(MONEY) / 1_000_000, digits).cast(MONEY)
 
 
+@reuse_for_names
 def money_text(x: Column | str, suffix: str = "M") -> Column:
     """Money in millions as text with two places and a suffix (M10, T8): 12.30M."""
     return F.concat(millions(x).cast("decimal(18,2)").cast("string"), F.lit(suffix))
 
 
+@reuse_for_names
 def pct(num: Column | str, den: Column | str, scale: int = 0) -> Column:
     """round(num / den * 100, 2) as DOUBLE; NULL when den is 0 or NULL.
 
@@ -44,6 +47,7 @@ def pct(num: Column | str, den: Column | str, scale: int = 0) -> Column:
     return F.when(d != 0, signed.cast("double") / 100)
 
 
+@reuse_for_names
 def ratio(num: Column | str, den: Column | str) -> Column:
     """num / den as DOUBLE, NULL when den is 0: an ordering key, not for display."""
     d = _col(den).cast("double")

@@ -15,7 +15,9 @@ Design for scale:
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,21 +34,37 @@ FACT_KEYS = ("store_id", "campaign_id", "product_code", "promo_type")
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows, else leave it to a shuffle join.
+def row_counts(frames: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Row count of each frame, all in one job (a partial count per task, then a sum)."""
+    parts = [df.select(F.lit(name).alias("_frame")) for name, df in frames.items()]
+    union = reduce(DataFrame.unionByName, parts)
+    found = {r["_frame"]: r["count"] for r in union.groupBy("_frame").count().collect()}
+    return {name: found.get(name, 0) for name in frames}
+
+
+def sized_broadcast(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast when ``rows`` (a counted size) is at most ``max_rows``, else leave a shuffle join."""
+    return F.broadcast(df) if rows <= max_rows else df
 
-    The count is a separate small job over the dimension; it is what makes the
-    broadcast safe when the dimension grows with the data.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
+def broadcast_small_dims(
+    t: Tables, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, counts: Mapping[str, int] | None = None
+) -> Tables:
+    """Broadcast each dimension whose counted row count is within ``max_rows``.
 
-def broadcast_small_dims(t: Tables, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
+    The count is a separate small job over the dimensions; it is what makes the
+    broadcast safe when a dimension grows with the data.  ``counts`` may carry
+    counts that are already known.
+    """
+    known = dict(counts or {})
+    missing = {d: getattr(t, d) for d in ALL_DIMS if d not in known}
+    if missing:
+        known.update(row_counts(missing))
     return Tables(
         fact=t.fact,
-        stores=sized_broadcast(t.stores, max_rows),
-        campaigns=sized_broadcast(t.campaigns, max_rows),
-        products=sized_broadcast(t.products, max_rows),
+        stores=sized_broadcast(t.stores, known["stores"], max_rows),
+        campaigns=sized_broadcast(t.campaigns, known["campaigns"], max_rows),
+        products=sized_broadcast(t.products, known["products"], max_rows),
     )
 
 
@@ -62,14 +80,21 @@ def star_join(t: Tables, dims: Sequence[str] = ALL_DIMS, fact: DataFrame | None
     return out
 
 
+@functools.cache
+def _net_measures() -> tuple:
+    return tuple(
+        {
+            "quantity_sold_before_promo": F.col("quantity_sold_before_promo").cast("bigint"),
+            "quantity_sold_after_promo": M.adjusted_units_after("promo_type", "quantity_sold_after_promo"),
+            "revenue_before_cents": M.revenue_before_cents("base_price", "quantity_sold_before_promo"),
+            "revenue_after_cents": M.net_revenue_after_cents("promo_type", "base_price", "quantity_sold_after_promo"),
+        }.items()
+    )
+
+
 def net_measures() -> dict[str, Column]:
     """Row-level inputs of the view's sums (M1-M3)."""
-    return {
-        "quantity_sold_before_promo": F.col("quantity_sold_before_promo").cast("bigint"),
-        "quantity_sold_after_promo": M.adjusted_units_after("promo_type", "quantity_sold_after_promo"),
-        "revenue_before_promo": M.revenue_before("base_price", "quantity_sold_before_promo"),
-        "revenue_after_promo": M.net_revenue_after("promo_type", "base_price", "quantity_sold_after_promo"),
-    }
+    return dict(_net_measures())
 
 
 def gross_measures() -> dict[str, Column]:
@@ -111,10 +136,10 @@ def summarise(t: Tables, by: Sequence[str], eager: bool = False, dims: Sequence[
         *by,
         "quantity_sold_before_promo",
         "quantity_sold_after_promo",
-        F.col("revenue_before_promo").cast(M.MONEY).alias("revenue_before_promo"),
-        F.col("revenue_after_promo").cast(M.MONEY).alias("revenue_after_promo"),
+        M.cents_to_money("revenue_before_cents").alias("revenue_before_promo"),
+        M.cents_to_money("revenue_after_cents").alias("revenue_after_promo"),
         (F.col("quantity_sold_after_promo") - F.col("quantity_sold_before_promo")).alias("ISU"),
-        (F.col("revenue_after_promo") - F.col("revenue_before_promo")).cast(M.MONEY).alias("IR"),
+        M.cents_to_money(F.col("revenue_after_cents") - F.col("revenue_before_cents")).alias("IR"),
     )
 
 

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, broadcast_small_dims, sized_broadcast
+from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, broadcast_small_dims, row_counts, sized_broadcast
 from liftwise.schemas import CAMPAIGNS
 from liftwise.tables import Tables
 
@@ -56,31 +56,50 @@ def _lookup(c: Column, table: dict) -> Column:
 
 
 def campaigns_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CAMPAIGN_ROWS, CAMPAIGNS)
+    """The fixed campaign rows as a small JVM-side relation."""
+    rows = [
+        F.struct(
+            F.lit(cid).alias("campaign_id"),
+            F.lit(name).alias("campaign_name"),
+            F.lit(start).alias("start_date"),
+            F.lit(end).alias("end_date"),
+        )
+        for cid, name, start, end in CAMPAIGN_ROWS
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def from_testdata(
     spark: SparkSession, sf_dir: str, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
 ) -> Tables:
-    """Fact, stores, campaigns and products from ``{sf_dir}/*.parquet``."""
+    """Fact, stores, campaigns and products from ``{sf_dir}/*.parquet``.
+
+    Nation, part and the derived stores are counted in one small job; each is
+    broadcast only within ``broadcast_max_rows``.  The campaigns are a fixed table of
+    two rows and always broadcast.
+    """
 
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     nation = read("nation").select("n_nationkey", "n_name")
     supplier = read("supplier").select("s_suppkey", "s_nationkey")
-    stores = supplier.join(
-        sized_broadcast(nation, broadcast_max_rows), supplier.s_nationkey == nation.n_nationkey
-    ).select(F.col("s_suppkey").alias("store_id"), F.col("n_name").alias("city"))
-
     part = read("part")
+
+    def stores_with(nations: DataFrame) -> DataFrame:
+        return supplier.join(nations, supplier.s_nationkey == nations.n_nationkey).select(
+            F.col("s_suppkey").alias("store_id"), F.col("n_name").alias("city")
+        )
+
+    counts = row_counts({"nation": nation, "part": part, "stores": stores_with(nation)})
+    stores = stores_with(sized_broadcast(nation, counts["nation"], broadcast_max_rows))
     products = part.select(
         F.col("p_partkey").alias("product_code"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
     )
 
-    sizes = sized_broadcast(part.select("p_partkey", "p_size"), broadcast_max_rows)
+    sizes = sized_broadcast(part.select("p_partkey", "p_size"), counts["part"], broadcast_max_rows)
     line = read("lineitem")
     before = F.col("l_quantity").cast("int")
     shift = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % AFTER_MODULUS
@@ -94,4 +113,6 @@ def from_testdata(
         before.alias("quantity_sold_before_promo"),
         F.greatest(F.lit(0), before + shift - AFTER_OFFSET).cast("int").alias("quantity_sold_after_promo"),
     )
-    return broadcast_small_dims(Tables(fact, stores, campaigns_frame(spark), products), broadcast_max_rows)
+    tables = Tables(fact, stores, campaigns_frame(spark), products)
+    known = {"stores": counts["stores"], "products": counts["part"], "campaigns": len(CAMPAIGN_ROWS)}
+    return broadcast_small_dims(tables, broadcast_max_rows, known)

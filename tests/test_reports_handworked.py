@@ -1,0 +1,125 @@
+"""The view and the reports on the eight hand-worked facts (FIXTURES.md section 4)."""
+
+from __future__ import annotations
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from liftwise.operators.ranking import rank_by
+from liftwise.operators.star import gross_measures, rollup, summarise
+from liftwise.plans import reports as R
+from liftwise.schemas import normalise_promo_type
+from tests.conftest import FACT_ROWS, make_tables
+
+
+def as_dict(df, key, value):
+    return {r[key]: r[value] for r in df.collect()}
+
+
+def test_view_has_one_row_per_fact(hand):
+    v = R.sales_summary(hand)
+    assert v.count() == 8
+    assert v.columns == [
+        "campaign_name", "city", "product_name", "category", "promo_type",
+        "quantity_sold_before_promo", "quantity_sold_after_promo",
+        "revenue_before_promo", "revenue_after_promo", "ISU", "IR",
+    ]
+
+
+def test_campaign_revenue(hand):
+    rows = {r.campaign_name: tuple(r)[1:] for r in R.campaign_revenue(hand).collect()}
+    assert rows["Alpha"] == ("0.02M", "0.02M", "0.01M", 33.82)
+    assert rows["Beta"] == ("0.01M", "0.01M", "0.00M", -15.69)
+
+
+def test_net_ir_and_isu_per_store(hand):
+    s = summarise(hand, ["store_id"])
+    assert as_dict(s, "store_id", "IR") == {"S1": Decimal("1060"), "S2": Decimal("4495"), "S3": Decimal("-2050")}
+    assert as_dict(s, "store_id", "ISU") == {"S1": 32, "S2": -1, "S3": 13}
+
+
+def test_gross_ir_per_store_and_rank_over_rounded(hand):
+    g = rollup(hand, ["store_id"], gross_measures(), dims=["stores"])
+    assert as_dict(g, "store_id", "gross_ir") == {"S1": 7000, "S2": 8596, "S3": 4100}
+    top = R.store_top_ir(hand)
+    assert [(r.store_id, r.incremental_revenue_mln) for r in top.collect()] == [
+        ("S1", Decimal("0.01")), ("S2", Decimal("0.01")), ("S3", Decimal("0.00"))
+    ]
+    ranked = rank_by(top, [F.desc("incremental_revenue_mln")], name="rk")
+    assert as_dict(ranked, "store_id", "rk") == {"S1": 1, "S2": 1, "S3": 3}
+
+
+def test_store_bottom_isu_uses_raw_units(hand):
+    rows = [(r.store_id, r.incremental_sold_quantity) for r in R.store_bottom_isu(hand).collect()]
+    assert rows == [("S2", -1), ("S1", 12), ("S3", 13)]
+
+
+def test_promo_isu_zero_denominator_is_null(hand):
+    rows = {r.promo_type: r for r in R.promo_isu(hand).collect()}
+    b = rows["bogof"]
+    assert (b.quantity_before_promo, b.quantity_after_promo, b.incremental_sold_units, b["ISU%"]) == (0, 5, 5, None)
+    assert rows[None].incremental_sold_units == 2  # NULL promotion is its own group (A12)
+    assert rows["BOGOF"].quantity_after_promo == 40  # BOGOF units doubled (T6)
+
+
+def test_high_value_bogof_is_binary_unless_normalised(hand):
+    assert R.high_value_bogof(hand).count() == 0
+    folded = hand.with_fact(hand.fact.withColumn("promo_type", normalise_promo_type(F.col("promo_type"))))
+    assert [tuple(r) for r in R.high_value_bogof(folded).collect()] == [("Gadget", 600)]
+
+
+def test_store_count_by_city(hand):
+    assert [tuple(r) for r in R.store_count_by_city(hand).collect()] == [("North", 2), ("South", 1)]
+
+
+def test_products_merge_by_name_and_category(hand):
+    s = summarise(hand, ["product_name", "category"])
+    assert as_dict(s, "product_name", "IR") == {"Gadget": Decimal("3960"), "Widget": Decimal("-455")}
+
+
+def test_top_bottom_with_fewer_products_than_k(hand):
+    rows = [tuple(r) for r in R.product_top_bottom_ir(hand).collect()]
+    assert rows == [("Gadget", "B", "0.00M"), ("Widget", "A", "0.00M")]
+    isu = [tuple(r) for r in R.product_top_bottom_isu(hand).collect()]
+    assert sorted(isu) == sorted([("Gadget", "B", 3 + 2 + 1 + 5), ("Widget", "A", 30 + 5 + 2 - 4)])
+
+
+def test_category_isu_per_campaign(hand):
+    rows = {r.category: r for r in R.category_isu(hand, "Beta").collect()}
+    # Beta: A has e5 (8 -> 4) and e6 (7 -> 9); B has e4 (4 -> 6), e7 (2 -> 3), e8 (0 -> 5, not BOGOF).
+    assert rows["A"].quantity_before_promo == 15 and rows["A"].quantity_after_promo == 13
+    assert rows["A"]["ISU%"] == -13.33
+    assert rows["B"]["ISU%"] == 133.33 and rows["B"].Ranking == 1 and rows["A"].Ranking == 2
+
+
+def test_campaign_top_stores_keeps_ties(spark):
+    facts = [(f"e{i}", s, "C1", "X", 1_000_000, "BOGOF", 0, q) for i, (s, q) in enumerate([("S1", 3), ("S2", 3), ("S3", 1)])]
+    t = make_tables(spark, facts)
+    rows = sorted((r.store_id, r.store_rank) for r in R.campaign_top_stores(t, k=1).collect())
+    assert rows == [("S1", 1), ("S2", 1)]
+
+
+def test_top_bottom_keeps_ties_at_cut_off(spark):
+    products = [(f"P{i}", f"name{i}", "c") for i in range(7)]
+    irs = [10, 9, 8, 8, 8, 1, 0]  # three distinct top values reach 8, held by three products
+    facts = [(f"e{i}", "S1", "C1", f"P{i}", 1, None, q, q) for i, q in enumerate(irs)]
+    t = make_tables(spark, facts, products=products)
+    # revenue after is 0 without a known promotion, so IR = -q: order reversed
+    names = sorted(r.product_name for r in R.product_top_bottom_ir(t).collect())
+    assert names == [f"name{i}" for i in range(7)]
+    isu = {r.product_name for r in R.product_top_bottom_isu(t, k=2).collect()}
+    assert isu == {f"name{i}" for i in range(7)}  # every ISU is 0
+
+
+def test_empty_fact_gives_no_rows(spark):
+    t = make_tables(spark, [])
+    for name, fn in R.REPORTS.items():
+        if name == "store_count_by_city":
+            continue
+        assert fn(t).count() == 0, name
+
+
+def test_orphan_fact_dropped_by_inner_join(spark):
+    t = make_tables(spark, FACT_ROWS + [("e9", "S9", "C1", "X", 100, "BOGOF", 1, 1)])
+    assert R.sales_summary(t).agg(F.sum("quantity_sold_before_promo")).first()[0] == 46

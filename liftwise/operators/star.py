@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
@@ -60,8 +61,8 @@ def broadcast_small_dims(
     missing = {d: getattr(t, d) for d in ALL_DIMS if d not in known}
     if missing:
         known.update(row_counts(missing))
-    return Tables(
-        fact=t.fact,
+    return replace(
+        t,
         stores=sized_broadcast(t.stores, known["stores"], max_rows),
         campaigns=sized_broadcast(t.campaigns, known["campaigns"], max_rows),
         products=sized_broadcast(t.products, known["products"], max_rows),
@@ -111,11 +112,14 @@ def rollup(
     measures: Mapping[str, Column],
     dims: Sequence[str] = ALL_DIMS,
     eager: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
     """Sum row-level ``measures`` of the star join, grouped by ``by``.
 
-    With ``eager`` the fact is first grouped by its foreign keys and promotion type;
-    sums are additive and each dimension key names one row, so the result is the same.
+    ``where`` filters the joined rows before grouping; a condition on a dimension
+    column is pushed by Catalyst to that dimension's side of the join.  With
+    ``eager`` the fact is first grouped by its foreign keys and promotion type; sums
+    are additive and each dimension key names one row, so the result is the same.
     """
     fact = t.fact
     if eager:
@@ -125,13 +129,34 @@ def rollup(
         summed = {n: F.col(n) for n in measures}
     else:
         summed = dict(measures)
-    rows = star_join(t, dims, fact).select(*by, *[e.alias(n) for n, e in summed.items()])
+    joined = star_join(t, dims, fact)
+    if where is not None:
+        joined = joined.filter(where)
+    rows = joined.select(*by, *[e.alias(n) for n, e in summed.items()])
     return rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in summed])
 
 
-def summarise(t: Tables, by: Sequence[str], eager: bool = False, dims: Sequence[str] = ALL_DIMS) -> DataFrame:
-    """The view's metrics at the grain ``by``: units and revenue before and after, ISU, IR (V0, M4, M5)."""
-    out = rollup(t, by, net_measures(), dims, eager)
+def _uses_summary(t: Tables, by: Sequence[str], dims: Sequence[str], eager: bool) -> bool:
+    return t.summary is not None and not eager and tuple(dims) == ALL_DIMS and set(by) <= set(VIEW_KEYS)
+
+
+def summarise(
+    t: Tables,
+    by: Sequence[str],
+    eager: bool = False,
+    dims: Sequence[str] = ALL_DIMS,
+    where: Column | None = None,
+) -> DataFrame:
+    """The view's metrics at the grain ``by``: units and revenue before and after, ISU, IR (V0, M4, M5).
+
+    When ``t.summary`` holds the materialised view sums and ``by`` and ``where`` use
+    view columns only, the roll-up starts from it instead of the fact.
+    """
+    if _uses_summary(t, by, dims, eager):
+        base = t.summary if where is None else t.summary.filter(where)
+        out = base.groupBy(*by).agg(*[F.sum(n).alias(n) for n in net_measures()])
+    else:
+        out = rollup(t, by, net_measures(), dims, eager, where)
     return out.select(
         *by,
         "quantity_sold_before_promo",
@@ -146,3 +171,17 @@ def summarise(t: Tables, by: Sequence[str], eager: bool = False, dims: Sequence[
 def sales_summary(t: Tables, eager: bool = False) -> DataFrame:
     """V0: the ``sales_summary`` view, one row per campaign, city, product name, category, promotion."""
     return summarise(t, VIEW_KEYS, eager=eager)
+
+
+def materialize_summary(t: Tables, path: str, spark: SparkSession | None = None) -> Tables:
+    """Write the view's sums once (Parquet under ``path``, by campaign) and let reports share them.
+
+    The view has one row per campaign, city, product name, category and promotion,
+    so its size is bounded by those dimensions, not by the fact.  Sums are kept in
+    whole units and cents, so every roll-up from it stays exact.  ``path`` is a
+    shared folder on a cluster (for example under ``spark.checkpoint.dir``).
+    """
+    base = rollup(t, VIEW_KEYS, net_measures())
+    base.write.mode("overwrite").partitionBy("campaign_name").parquet(path)
+    spark = spark or t.fact.sparkSession
+    return t.with_summary(spark.read.schema(base.schema).parquet(path))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
-from liftwise.operators.star import star_join
+from liftwise.operators.star import sales_summary, star_join
 from liftwise.plans.reports import REPORTS
 from liftwise.sources.checks import check_keys
 from liftwise.tables import Tables
@@ -85,6 +85,11 @@ def promo_revenue_rows(t: Tables) -> DataFrame:
     )
 
 
+def sales_summary_eager(t: Tables) -> DataFrame:
+    """V0 with the fact grouped by its own keys before the joins (eager aggregation)."""
+    return sales_summary(t, eager=True)
+
+
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_fact": scan_fact,
     "check_keys": check_keys,
@@ -95,6 +100,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "star_join": star_join_rows,
     "promo_units_rows": promo_units_rows,
     "promo_revenue_rows": promo_revenue_rows,
+    "sales_summary_eager": sales_summary_eager,
 }
 
 CATALOG: dict[str, Callable[[Tables], DataFrame]] = {**OPERATORS, **REPORTS}

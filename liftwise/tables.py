@@ -19,9 +19,15 @@ class Tables:
     stores: DataFrame
     campaigns: DataFrame
     products: DataFrame
+    # Optional: the view's sums at its own grain, written once and shared by reports
+    # (see liftwise.operators.star.materialize_summary).
+    summary: DataFrame | None = None
 
     def with_fact(self, fact: DataFrame) -> "Tables":
         return replace(self, fact=fact)
 
     def with_campaigns(self, campaigns: DataFrame) -> "Tables":
         return replace(self, campaigns=campaigns)
+
+    def with_summary(self, summary: DataFrame | None) -> "Tables":
+        return replace(self, summary=summary)

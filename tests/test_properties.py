@@ -66,3 +66,14 @@ def test_rank_one_in_each_campaign(small):
 
     top = campaign_top_stores(small).filter(F.col("store_rank") == 1).select("campaign_name").distinct()
     assert top.count() == 2
+
+
+def test_reports_from_shared_view_equal_reports_from_fact(spark, small):
+    import tempfile
+
+    from liftwise.operators.star import materialize_summary
+    from liftwise.plans.reports import REPORTS
+
+    shared = materialize_summary(small, tempfile.mkdtemp(prefix="liftwise-view-") + "/v")
+    for name, fn in REPORTS.items():
+        assert bag(fn(shared)) == bag(fn(small)), name

@@ -23,10 +23,9 @@ from pyspark.sql import functions as F
 
 from liftwise.functions.formats import millions, money_text, pct, ratio
 from liftwise.operators.ranking import rank_by, top_bottom_k, top_n, top_n_per_group, top_n_with_rank
-from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise
+from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise  # noqa: F401
 from liftwise.tables import Tables
 
-__all__ = ["sales_summary"]
 
 
 def high_value_bogof(t: Tables, promo: str = "BOGOF", min_price: int = 500) -> DataFrame:

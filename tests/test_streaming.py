@@ -13,10 +13,12 @@ def bag(rows):
 
 
 def test_stream_summary_equals_batch(spark, hand):
-    path = tempfile.mkdtemp(prefix="liftwise-stream-") + "/fact"
+    scratch = tempfile.mkdtemp(prefix="liftwise-stream-")
+    path = scratch + "/fact"
     hand.fact.repartition(3).write.parquet(path)
     stream = fact_stream(spark, path, hand.fact.schema, files_per_trigger=1)
-    query = start_summary(stream_summary(hand, stream), "hand_summary_stream")
+    # A new checkpoint per run: a stable one would resume the previous run's stream.
+    query = start_summary(stream_summary(hand, stream), "hand_summary_stream", checkpoint=scratch + "/ckpt")
     try:
         query.processAllAvailable()
         got = spark.table("hand_summary_stream").collect()

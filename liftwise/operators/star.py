@@ -106,38 +106,67 @@ def gross_measures() -> dict[str, Column]:
     }
 
 
+Where = Mapping[str, object]
+
+
+def _condition(where: Where) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in where.items()])
+
+
+def needed_dims(t: Tables, columns: Sequence[str], dims: Sequence[str] = ALL_DIMS) -> list[str]:
+    """The dimensions among ``dims`` that provide one of ``columns`` (not found in the fact)."""
+    fact_cols = set(t.fact.columns)
+    wanted = [c for c in columns if c not in fact_cols]
+    out = []
+    for dim in dims:
+        attrs = set(getattr(t, dim).columns) - {DIM_KEYS[dim]}
+        if any(c in attrs for c in wanted):
+            out.append(dim)
+    return out
+
+
 def rollup(
     t: Tables,
     by: Sequence[str],
     measures: Mapping[str, Column],
     dims: Sequence[str] = ALL_DIMS,
     eager: bool = False,
-    where: Column | None = None,
+    where: Where | None = None,
 ) -> DataFrame:
-    """Sum row-level ``measures`` of the star join, grouped by ``by``.
-
-    ``where`` filters the joined rows before grouping; a condition on a dimension
-    column is pushed by Catalyst to that dimension's side of the join.  With
-    ``eager`` the fact is first grouped by its foreign keys and promotion type; sums
-    are additive and each dimension key names one row, so the result is the same.
+    """Sum row-level ``measures`` of the star join with ``dims``, grouped by ``by``.
+
+    ``where`` holds equality filters (column -> value) on the joined rows; one on a
+    dimension column is pushed by Catalyst to that dimension's side of the join, and
+    from there to the fact's partition folders.  When ``t.keys_verified``, only the
+    dimensions that provide a column of ``by`` or ``where`` are joined: the others
+    would match each fact exactly once.  With ``eager`` the fact is first grouped by
+    its foreign keys and promotion type (sums are additive, so the result is the same).
     """
+    where = dict(where or {})
+    if t.keys_verified:
+        dims = needed_dims(t, [*by, *where], dims)
     fact = t.fact
     if eager:
         fact_keys = [k for k in FACT_KEYS if k in fact.columns]
-        needed = [k for k in by if k in fact.columns and k not in fact_keys]
+        needed = [k for k in [*by, *where] if k in fact.columns and k not in fact_keys]
         fact = fact.groupBy(*fact_keys, *needed).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
         summed = {n: F.col(n) for n in measures}
     else:
         summed = dict(measures)
     joined = star_join(t, dims, fact)
-    if where is not None:
-        joined = joined.filter(where)
+    if where:
+        joined = joined.filter(_condition(where))
     rows = joined.select(*by, *[e.alias(n) for n, e in summed.items()])
     return rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in summed])
 
 
-def _uses_summary(t: Tables, by: Sequence[str], dims: Sequence[str], eager: bool) -> bool:
-    return t.summary is not None and not eager and tuple(dims) == ALL_DIMS and set(by) <= set(VIEW_KEYS)
+def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str], eager: bool) -> bool:
+    return (
+        t.summary is not None
+        and not eager
+        and tuple(dims) == ALL_DIMS
+        and set(by) | set(where) <= set(VIEW_KEYS)
+    )
 
 
 def summarise(
@@ -145,15 +174,16 @@ def summarise(
     by: Sequence[str],
     eager: bool = False,
     dims: Sequence[str] = ALL_DIMS,
-    where: Column | None = None,
+    where: Where | None = None,
 ) -> DataFrame:
     """The view's metrics at the grain ``by``: units and revenue before and after, ISU, IR (V0, M4, M5).
 
     When ``t.summary`` holds the materialised view sums and ``by`` and ``where`` use
     view columns only, the roll-up starts from it instead of the fact.
     """
-    if _uses_summary(t, by, dims, eager):
-        base = t.summary if where is None else t.summary.filter(where)
+    where = dict(where or {})
+    if _uses_summary(t, by, where, dims, eager):
+        base = t.summary.filter(_condition(where)) if where else t.summary
         out = base.groupBy(*by).agg(*[F.sum(n).alias(n) for n in net_measures()])
     else:
         out = rollup(t, by, net_measures(), dims, eager, where)

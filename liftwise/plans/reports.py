@@ -55,7 +55,7 @@ def campaign_revenue(t: Tables) -> DataFrame:
 
 def category_isu(t: Tables, campaign_name: str) -> DataFrame:
     """Q4: units before and after, ISU% and its rank per category for one campaign."""
-    s = summarise(t, ["category"], where=F.col("campaign_name") == campaign_name).select(
+    s = summarise(t, ["category"], where={"campaign_name": campaign_name}).select(
         "category",
         F.col("quantity_sold_before_promo").alias("quantity_before_promo"),
         F.col("quantity_sold_after_promo").alias("quantity_after_promo"),

@@ -4,57 +4,90 @@ Spark does not enforce primary keys, NOT NULL on file sources or foreign keys, s
 constraints the reference declares are checked here, one result row per check:
 
 * ``duplicate_key``: number of primary-key values held by more than one row;
-* ``null``: number of NULLs in a column declared NOT NULL (one scan per table);
-* ``orphan``: number of fact rows whose key has no dimension row (a left anti join;
-  these are the rows the reports' inner joins drop).
+* ``null``: number of NULLs in a column declared NOT NULL;
+* ``orphan``: number of fact rows whose key has no dimension row (a NULL key
+  included); these are the rows the reports' inner joins drop.
+
+The fact is read once: it is left-joined with the distinct keys of each dimension
+(broadcast within a counted size) and one aggregate counts NULLs and misses together.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, row_counts, sized_broadcast
 from liftwise.schemas import CAMPAIGNS, FACT, FOREIGN_KEYS, PRIMARY_KEYS, PRODUCTS, STORES
 from liftwise.tables import Tables
 
 TABLE_SCHEMAS = {"fact": FACT, "stores": STORES, "campaigns": CAMPAIGNS, "products": PRODUCTS}
-
-
-def _row(check: str, table: str, column: str, violations) -> list:
-    return [
-        F.lit(check).alias("check_name"),
-        F.lit(table).alias("table_name"),
-        F.lit(column).alias("column_name"),
-        violations.cast("bigint").alias("violations"),
-    ]
+DIMENSIONS = ("stores", "campaigns", "products")
 
 
 def not_null_columns(table: str, df: DataFrame) -> list[str]:
     return [f.name for f in TABLE_SCHEMAS[table].fields if not f.nullable and f.name in df.columns]
 
 
-def check_keys(t: Tables) -> DataFrame:
+def _rows(counts: DataFrame, table: str, names: dict[str, tuple[str, str]]) -> DataFrame:
+    """Unpivot one row of counts into result rows; ``names``: alias -> (check, column)."""
+    long = counts.unpivot([], list(names), "_alias", "violations")
+
+    def pick(i: int) -> Column:
+        return F.coalesce(*[F.when(F.col("_alias") == a, F.lit(v[i])) for a, v in names.items()])
+
+    return long.select(
+        pick(0).alias("check_name"),
+        F.lit(table).alias("table_name"),
+        pick(1).alias("column_name"),
+        F.col("violations").cast("bigint").alias("violations"),
+    )
+
+
+def check_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per check: check_name, table_name, column_name, violations."""
     parts = []
     for table, key in PRIMARY_KEYS.items():
         dup = getattr(t, table).groupBy(key).count().filter(F.col("count") > 1)
-        parts.append(dup.agg(*_row("duplicate_key", table, key, F.count(F.lit(1)))))
-    for table in TABLE_SCHEMAS:
-        df = getattr(t, table)
-        cols = not_null_columns(table, df)
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-        long = nulls.unpivot([], cols, "column_name", "violations")
         parts.append(
-            long.select(
-                F.lit("null").alias("check_name"),
+            dup.agg(
+                F.lit("duplicate_key").alias("check_name"),
                 F.lit(table).alias("table_name"),
-                "column_name",
-                F.col("violations").cast("bigint").alias("violations"),
+                F.lit(key).alias("column_name"),
+                F.count(F.lit(1)).cast("bigint").alias("violations"),
             )
         )
-    for key, dim in FOREIGN_KEYS.items():
-        orphans = t.fact.join(getattr(t, dim).select(key), key, "left_anti")
-        parts.append(orphans.agg(*_row("orphan", "fact", key, F.count(F.lit(1)))))
+    for table in DIMENSIONS:
+        df = getattr(t, table)
+        cols = not_null_columns(table, df)
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
+        parts.append(_rows(nulls, table, {f"n{i}": ("null", c) for i, c in enumerate(cols)}))
+
+    sizes = row_counts({dim: getattr(t, dim) for dim in FOREIGN_KEYS.values()})
+    fact = t.fact
+    for i, (key, dim) in enumerate(FOREIGN_KEYS.items()):
+        keys = getattr(t, dim).select(key).distinct().withColumn(f"_hit{i}", F.lit(True))
+        fact = fact.join(sized_broadcast(keys, sizes[dim], broadcast_max_rows), key, "left")
+    cols = not_null_columns("fact", t.fact)
+    counts = fact.agg(
+        *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.count_if(F.col(f"_hit{i}").isNull()).alias(f"o{i}") for i in range(len(FOREIGN_KEYS))],
+    )
+    names = {f"n{i}": ("null", c) for i, c in enumerate(cols)}
+    names.update({f"o{i}": ("orphan", k) for i, k in enumerate(FOREIGN_KEYS)})
+    parts.append(_rows(counts, "fact", names))
     return reduce(DataFrame.unionByName, parts)
+
+
+def verify_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
+    """``t`` marked ``keys_verified`` when no dimension key repeats and every fact finds its rows.
+
+    Only then may a query leave out a dimension it takes no column from.
+    """
+    checks = check_keys(t, broadcast_max_rows)
+    key_checks = checks.filter(F.col("check_name").isin("duplicate_key", "orphan"))
+    bad = key_checks.filter(F.col("violations") > 0).count()
+    return replace(t, keys_verified=bad == 0)

@@ -22,6 +22,10 @@ class Tables:
     # Optional: the view's sums at its own grain, written once and shared by reports
     # (see liftwise.operators.star.materialize_summary).
     summary: DataFrame | None = None
+    # True once liftwise.sources.checks.verify_keys found unique dimension keys and no
+    # orphan fact: an inner join with a dimension whose columns a query does not use
+    # is then the identity and is left out.  Re-verify after the data changes.
+    keys_verified: bool = False
 
     def with_fact(self, fact: DataFrame) -> "Tables":
         return replace(self, fact=fact)

@@ -75,3 +75,13 @@ def test_check_keys_finds_violations(spark):
     assert ("null", "fact", "promo_type") not in checks  # promo_type may be NULL
     assert checks[("orphan", "fact", "store_id")] == 2
     assert checks[("orphan", "fact", "product_code")] == 1
+
+
+def test_verify_keys(spark, hand):
+    from liftwise.sources.checks import verify_keys
+
+    assert verify_keys(hand).keys_verified
+    orphan = make_tables(spark, FACT_ROWS + [("e9", "S9", "C1", "X", 100, None, 1, 1)])
+    assert not verify_keys(orphan).keys_verified
+    dup = make_tables(spark, FACT_ROWS, products=[("X", "Widget", "A"), ("X", "Other", "A"), ("Y", "Gadget", "B"), ("Z", "Widget", "A")])
+    assert not verify_keys(dup).keys_verified

@@ -45,3 +45,16 @@ def test_scan_prunes_columns_and_campaign_filter_prunes_partitions(spark, small)
     assert "dynamicpruningexpression" in p.lower()
     fact_scan = [line for line in p.splitlines() if line.startswith("ReadSchema") and "quantity_sold" in line]
     assert fact_scan and "event_id" not in fact_scan[0]
+
+
+def test_verified_keys_drop_unused_joins(spark, small):
+    from liftwise.sources.checks import verify_keys
+
+    path = tempfile.mkdtemp(prefix="liftwise-plan-")
+    write_tables(small, path)
+    loaded = read_tables(spark, path, fact_schema=small.fact.schema)
+    assert plan(R.promo_isu(loaded)).count("BroadcastHashJoin") == 3
+    verified = verify_keys(loaded)
+    assert "Join" not in plan(R.promo_isu(verified))
+    assert plan(R.campaign_revenue(verified)).count("BroadcastHashJoin") == 1
+    assert plan(R.sales_summary(verified)).count("BroadcastHashJoin") == 3

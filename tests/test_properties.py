@@ -77,3 +77,25 @@ def test_reports_from_shared_view_equal_reports_from_fact(spark, small):
     shared = materialize_summary(small, tempfile.mkdtemp(prefix="liftwise-view-") + "/v")
     for name, fn in REPORTS.items():
         assert bag(fn(shared)) == bag(fn(small)), name
+
+
+def test_join_elimination_under_verified_keys(small):
+    from liftwise.plans.reports import REPORTS
+    from liftwise.sources.checks import verify_keys
+
+    verified = verify_keys(small)
+    assert verified.keys_verified
+    for name, fn in REPORTS.items():
+        assert bag(fn(verified)) == bag(fn(small)), name
+
+
+def test_shuffled_joins_give_the_same_reports(spark):
+    # Dimensions above the broadcast bound are joined with a shuffle: same results.
+    from liftwise.plans.reports import REPORTS
+    from liftwise.sources.fixture import from_testdata
+    from tests.conftest import SF_SMALL
+
+    shuffled = from_testdata(spark, SF_SMALL, broadcast_max_rows=0)
+    broadcast = from_testdata(spark, SF_SMALL)
+    for name in ["sales_summary", "campaign_revenue", "store_top_ir", "campaign_top_products", "product_top_bottom_ir"]:
+        assert bag(REPORTS[name](shuffled)) == bag(REPORTS[name](broadcast)), name

@@ -19,7 +19,6 @@ import os
 import re
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +26,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from liftwise.operators.ranking import top_bottom_k_window  # noqa: E402
 from liftwise.operators.star import materialize_summary, sales_summary, summarise  # noqa: E402
 from liftwise.plans.reports import REPORTS  # noqa: E402
-from liftwise.session import local_session  # noqa: E402
+from liftwise.session import local_session, scratch_dir  # noqa: E402
 from liftwise.sources.checks import verify_keys  # noqa: E402
 from liftwise.sources.fixture import from_testdata  # noqa: E402
 from liftwise.sources.parquet import read_tables, write_tables  # noqa: E402
@@ -55,7 +54,7 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
 
     spark = local_session(cores=cpus, shuffle_partitions=cpus, app="liftwise-bench")
-    work = tempfile.mkdtemp(prefix="liftwise-bench-")
+    work = scratch_dir(spark, "liftwise-bench")
 
     t0 = time.perf_counter()
     raw = from_testdata(spark, sf_dir)

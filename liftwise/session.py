@@ -7,6 +7,7 @@ that is already present, and the checkpoint folder is set only where none is nam
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def scratch_dir(spark: SparkSession, prefix: str) -> str:
+    """A new folder name under the session's checkpoint folder (shared storage on a cluster)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a fresh local folder only when none is set (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -85,3 +85,16 @@ def test_verify_keys(spark, hand):
     assert not verify_keys(orphan).keys_verified
     dup = make_tables(spark, FACT_ROWS, products=[("X", "Widget", "A"), ("X", "Other", "A"), ("Y", "Gadget", "B"), ("Z", "Widget", "A")])
     assert not verify_keys(dup).keys_verified
+
+
+def test_legacy_column_names_are_normalised(spark):
+    from liftwise.schemas import FACT, conform
+
+    df = spark.createDataFrame(
+        [("e1", "S1", "C1", "X", "100", "BOGOF", "10", "20")],
+        "event_id string, store_id string, campaign_id string, product_code string, base_price string, "
+        "promo_type string, `quantity_sold(before_promo)` string, `quantity_sold(after_promo)` string",
+    )
+    out = conform(df, FACT)
+    assert out.columns == [f.name for f in FACT.fields]
+    assert tuple(out.first()) == ("e1", "S1", "C1", "X", 100, "BOGOF", 10, 20)

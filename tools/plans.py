@@ -10,12 +10,11 @@ import io
 import math
 import os
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from liftwise.plans.reports import REPORTS  # noqa: E402
-from liftwise.session import local_session  # noqa: E402
+from liftwise.session import local_session, scratch_dir  # noqa: E402
 from liftwise.sources.checks import verify_keys  # noqa: E402
 from liftwise.sources.fixture import from_testdata  # noqa: E402
 from liftwise.sources.parquet import read_tables, write_tables  # noqa: E402
@@ -41,7 +40,7 @@ def main() -> None:
     spark = local_session()
     raw = from_testdata(spark, sf_dir)
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
-    work = tempfile.mkdtemp(prefix="liftwise-plans-")
+    work = scratch_dir(spark, "liftwise-plans")
     write_tables(raw, work, records_per_file=max(10_000, math.ceil(rows / 16)))
     t = verify_keys(read_tables(spark, work, fact_schema=raw.fact.schema))
     parts = [

@@ -3,7 +3,7 @@
 Flow, as a deployment would run it: the test tables are mapped to the promotion star
 schema and loaded once as Parquet (timed as ``load``), the declared keys are verified
 once (``verify_keys``: unused dimension joins may then be left out); every report then
-runs against the loaded tables, one warm-up and the median of ``$BENCH_RUNS`` runs, executed in
+runs against the loaded tables, one warm-up and the median of ``$BENCH_RUNS`` (5) runs, executed in
 full through the no-op sink.  Extras: the flagship straight from the raw test tables,
 eager against late aggregation, the two forms of top/bottom-K, and all reports again
 after the view's sums have been written once and shared (``materialize_summary``).
@@ -32,6 +32,18 @@ from liftwise.sources.fixture import from_testdata  # noqa: E402
 from liftwise.sources.parquet import read_tables, write_tables  # noqa: E402
 
 
+# Spark settings recorded with the result.
+SETTINGS = (
+    "spark.master",
+    "spark.sql.shuffle.partitions",
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.ansi.enabled",
+    "spark.sql.files.maxPartitionBytes",
+    "spark.driver.memory",
+)
+
+
 def execute(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -49,7 +61,7 @@ def timed(fn, runs: int) -> float:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     sf = float(m.group(1)) if m else None
 
@@ -97,6 +109,7 @@ def main() -> None:
                 "verify_keys_sec": verify_sec,
                 "keys_verified": tables.keys_verified,
                 "fact_rows": rows,
+                "settings": {k: spark.conf.get(k) for k in SETTINGS},
                 "extras": extras,
             }
         )

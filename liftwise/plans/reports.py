@@ -148,8 +148,12 @@ def promo_ir_isu(t: Tables) -> DataFrame:
     return s.orderBy(F.desc("IR"), F.desc("ISU"), F.asc_nulls_first("promo_type"))
 
 
-def category_ir(t: Tables) -> DataFrame:
-    """Q12: revenue before, after and net IR as text, and IR% per category."""
+def category_ir(t: Tables, text_order: bool = False) -> DataFrame:
+    """Q12: revenue before, after and net IR as text, and IR% per category.
+
+    Sorted by IR; ``text_order`` sorts by the IR text instead, character by character,
+    as the original does (T9).  The rows are the same either way.
+    """
     s = summarise(t, ["category"]).select(
         "category",
         money_text("revenue_before_promo").alias("revenue_before_promo"),
@@ -158,7 +162,8 @@ def category_ir(t: Tables) -> DataFrame:
         pct("IR", "revenue_before_promo", 2).alias("IR%"),
         F.col("IR").alias("_ir"),
     )
-    return s.orderBy(F.desc("_ir"), F.asc("category")).drop("_ir")
+    first = F.desc("incremental_revenue") if text_order else F.desc("_ir")
+    return s.orderBy(first, F.asc("category")).drop("_ir")
 
 
 def category_isu_report(t: Tables) -> DataFrame:
@@ -177,12 +182,16 @@ def _product_summary(t: Tables) -> DataFrame:
     return summarise(t, ["product_name", "category"])
 
 
-def product_top_bottom_ir(t: Tables, k: int = 3) -> DataFrame:
-    """Q14: products in the top ``k`` or bottom ``k`` distinct net IR values; IR as text."""
+def product_top_bottom_ir(t: Tables, k: int = 3, text_order: bool = False) -> DataFrame:
+    """Q14: products in the top ``k`` or bottom ``k`` distinct net IR values; IR as text.
+
+    Sorted by IR; ``text_order`` sorts by the IR text instead (T9).
+    """
     s = _product_summary(t).select("product_name", "category", F.col("IR").alias("_ir"))
     kept = top_bottom_k(s, "_ir", k)
     out = kept.select("product_name", "category", money_text("_ir").alias("IR"), "_ir")
-    return out.orderBy(F.desc("_ir"), F.asc("product_name"), F.asc("category")).drop("_ir")
+    first = F.desc("IR") if text_order else F.desc("_ir")
+    return out.orderBy(first, F.asc("product_name"), F.asc("category")).drop("_ir")
 
 
 def product_top_bottom_isu(t: Tables, k: int = 3) -> DataFrame:

@@ -123,3 +123,13 @@ def test_empty_fact_gives_no_rows(spark):
 def test_orphan_fact_dropped_by_inner_join(spark):
     t = make_tables(spark, FACT_ROWS + [("e9", "S9", "C1", "X", 100, "BOGOF", 1, 1)])
     assert R.sales_summary(t).agg(F.sum("quantity_sold_before_promo")).first()[0] == 46
+
+
+def test_text_order_option_keeps_rows(small):
+    # Ordering by the formatted text changes the order at most, never the rows.
+    for fn in (R.category_ir, R.product_top_bottom_ir):
+        by_number = [tuple(r) for r in fn(small).collect()]
+        by_text = [tuple(r) for r in fn(small, text_order=True).collect()]
+        assert sorted(by_number) == sorted(by_text)
+        texts = [r[-2] if fn is R.category_ir else r[-1] for r in by_text]
+        assert texts == sorted(texts, reverse=True)

@@ -101,6 +101,12 @@ def cents_to_money(cents: Column | str, money: T.DecimalType = MONEY) -> Column:
     return (_col(cents).cast("decimal(38,0)") / 100).cast(money)
 
 
+@reuse_for_names
+def cents_difference_to_money(a: str, b: str, money: T.DecimalType = MONEY) -> Column:
+    """``a - b``, both whole cents, as an exact decimal with two places."""
+    return cents_to_money(F.col(a) - F.col(b), money)
+
+
 @reuse_for_names
 def net_revenue_after(promo: Column | str, price: Column | str, q_after: Column | str) -> Column:
     """M2: revenue after the promotion at the discounted price, exact to the cent."""

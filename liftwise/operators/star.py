@@ -156,8 +156,7 @@ def rollup(
     joined = star_join(t, dims, fact)
     if where:
         joined = joined.filter(_condition(where))
-    rows = joined.select(*by, *[e.alias(n) for n, e in summed.items()])
-    return rows.groupBy(*by).agg(*[F.sum(n).alias(n) for n in summed])
+    return joined.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in summed.items()])
 
 
 def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str], eager: bool) -> bool:
@@ -194,7 +193,7 @@ def summarise(
         M.cents_to_money("revenue_before_cents").alias("revenue_before_promo"),
         M.cents_to_money("revenue_after_cents").alias("revenue_after_promo"),
         (F.col("quantity_sold_after_promo") - F.col("quantity_sold_before_promo")).alias("ISU"),
-        M.cents_to_money(F.col("revenue_after_cents") - F.col("revenue_before_cents")).alias("IR"),
+        M.cents_difference_to_money("revenue_after_cents", "revenue_before_cents").alias("IR"),
     )
 
 

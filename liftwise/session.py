@@ -12,7 +12,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings the library relies on: ANSI arithmetic (overflow and zero division raise),
-# AQE with partition coalescing and skew-join splitting, UTC session time.
+# AQE with partition coalescing and skew-join splitting, UTC session time.  The
+# DataFrame debugging context (a Python call site recorded with every Column call,
+# five extra Python-to-JVM calls each) is turned off: it only enriches error messages.
 DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
@@ -21,6 +23,7 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,6 +1,7 @@
 """Command line: load the data, check its keys, run reports.
 
-    python -m liftwise load --dump dump.sql [--campaigns-csv f --products-csv f --stores-csv f] --out PATH
+    python -m liftwise load --dump dump.sql [--campaigns-csv f --products-csv f --stores-csv f]
+                           [--fold-promo-case] --out PATH
     python -m liftwise check --tables PATH
     python -m liftwise report NAME [NAME ...] --tables PATH [--shared-view] [--rows N]
     python -m liftwise list
@@ -14,9 +15,11 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from liftwise.operators.star import materialize_summary
 from liftwise.plans.reports import REPORTS
+from liftwise.schemas import normalise_promo_type
 from liftwise.session import local_session, scratch_dir
 from liftwise.sources.checks import check_keys, verify_keys
 from liftwise.sources.csv import read_campaigns_csv, read_products_csv, read_stores_csv
@@ -39,6 +42,8 @@ def _load(spark: SparkSession, args) -> None:
     for name, (path, read) in csv_readers.items():
         if path:
             tables[name] = read(spark, path)
+    if args.fold_promo_case:
+        tables["fact"] = tables["fact"].withColumn("promo_type", normalise_promo_type(F.col("promo_type")))
     write_tables(Tables(**tables), args.out)
     print(f"wrote {args.out}")
 
@@ -67,6 +72,9 @@ def main(argv: list[str] | None = None) -> int:
     load.add_argument("--products-csv")
     load.add_argument("--stores-csv")
     load.add_argument("--out", required=True)
+    load.add_argument(
+        "--fold-promo-case", action="store_true", help="trim and upper-case promotion names once, at the load (T16)"
+    )
 
     check = sub.add_parser("check", help="check declared keys and NOT NULL columns")
     check.add_argument("--tables", required=True)

@@ -84,7 +84,15 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def normalise_promo_type(promo: Column) -> Column:
     """Optional case and blank folding of promotion names.
 
-    The reference's collation compares case-insensitively; Spark compares bytes.
-    Folding once at the source keeps every later comparison a cheap binary one.
+    A name equal to a known promotion up to case and surrounding blanks becomes that
+    promotion's spelling; any other name is only trimmed.  The original collation
+    compares case-insensitively, Spark compares bytes: folding once at the source
+    keeps every later comparison a cheap binary one.
     """
-    return F.upper(F.trim(promo))
+    from liftwise.functions.metrics import PROMO_RULES
+
+    key = F.upper(F.trim(promo))
+    out = F.trim(promo)
+    for name in reversed(list(PROMO_RULES)):
+        out = F.when(key == name.upper(), F.lit(name)).otherwise(out)
+    return out

@@ -98,3 +98,13 @@ def test_legacy_column_names_are_normalised(spark):
     out = conform(df, FACT)
     assert out.columns == [f.name for f in FACT.fields]
     assert tuple(out.first()) == ("e1", "S1", "C1", "X", 100, "BOGOF", 10, 20)
+
+
+def test_promo_folding_maps_to_rule_names(spark):
+    from pyspark.sql import functions as F
+
+    from liftwise.schemas import normalise_promo_type
+
+    df = spark.createDataFrame([(" bogof",), ("500 CASHBACK",), ("25% off ",), ("Loyalty",), (None,)], "p string")
+    got = [r.q for r in df.select(normalise_promo_type(F.col("p")).alias("q")).collect()]
+    assert got == ["BOGOF", "500 Cashback", "25% OFF", "Loyalty", None]

@@ -4,6 +4,7 @@
                            [--fold-promo-case] --out PATH
     python -m liftwise check --tables PATH
     python -m liftwise report NAME [NAME ...] --tables PATH [--shared-view] [--rows N]
+    python -m liftwise sql "SELECT ... FROM sales_summary ..." --tables PATH
     python -m liftwise list
 
 Under spark-submit the platform's session is used; ``--local`` starts a local one.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from liftwise.operators.star import materialize_summary
 from liftwise.plans.reports import REPORTS
+from liftwise.plans.views import register_views
 from liftwise.schemas import normalise_promo_type
 from liftwise.session import local_session, scratch_dir
 from liftwise.sources.checks import check_keys, verify_keys
@@ -61,6 +63,12 @@ def _report(spark: SparkSession, args) -> None:
         REPORTS[name](t).show(args.rows, truncate=False)
 
 
+def _sql(spark: SparkSession, args) -> None:
+    register_views(spark, verify_keys(read_tables(spark, args.tables)))
+    for statement in args.statements:
+        spark.sql(statement).show(args.rows, truncate=False)
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="liftwise", description=__doc__.splitlines()[0])
     parser.add_argument("--local", action="store_true", help="start a local Spark session")
@@ -85,6 +93,11 @@ def main(argv: list[str] | None = None) -> int:
     report.add_argument("--shared-view", action="store_true", help="write the view's sums once and share them")
     report.add_argument("--rows", type=int, default=50)
 
+    sql = sub.add_parser("sql", help="run SQL over fact_events, dim_* and sales_summary")
+    sql.add_argument("statements", nargs="+")
+    sql.add_argument("--tables", required=True)
+    sql.add_argument("--rows", type=int, default=50)
+
     sub.add_parser("list", help="list the report names")
 
     args = parser.parse_args(argv)
@@ -92,7 +105,7 @@ def main(argv: list[str] | None = None) -> int:
         print("\n".join(REPORTS))
         return 0
     spark = _session(args.local)
-    {"load": _load, "check": _check, "report": _report}[args.command](spark, args)
+    {"load": _load, "check": _check, "report": _report, "sql": _sql}[args.command](spark, args)
     return 0
 
 

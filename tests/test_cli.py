@@ -25,3 +25,5 @@ def test_load_check_report(spark):
     text = run("report", "campaign_revenue", "store_count_by_city", "--tables", out)
     assert "Alpha" in text and "North" in text
     assert "sales_summary" in run("list")
+    sql = run("sql", "SELECT promo_type, SUM(ISU) AS isu FROM sales_summary GROUP BY promo_type", "--tables", out)
+    assert "BOGOF" in sql and "isu" in sql

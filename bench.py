@@ -8,7 +8,8 @@ full through the no-op sink.  Extras: the flagship straight from the raw test ta
 eager against late aggregation, the two forms of top/bottom-K, and all reports again
 after the view's sums have been written once and shared (``materialize_summary``).
 
-Prints one JSON line.
+Prints one JSON line.  ``BENCH_EVENT_LOG=1`` also writes Spark's event log to a new
+local folder (named on stderr) for offline stage timings.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import os
 import re
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -65,7 +67,12 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     sf = float(m.group(1)) if m else None
 
-    spark = local_session(cores=cpus, shuffle_partitions=cpus, app="liftwise-bench")
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage and task times, read offline (no UI)
+        log_dir = tempfile.mkdtemp(prefix="liftwise-events-")
+        extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir}
+        print(f"event log: {log_dir}", file=sys.stderr)
+    spark = local_session(cores=cpus, shuffle_partitions=cpus, app="liftwise-bench", extra=extra)
     work = scratch_dir(spark, "liftwise-bench")
 
     t0 = time.perf_counter()

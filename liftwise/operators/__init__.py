@@ -1 +1,25 @@
-"""operators of liftwise."""
+"""DataFrame operators: the star join and its roll-ups, and rankings."""
+
+from liftwise.operators.ranking import rank_by, top_bottom_k, top_n, top_n_per_group, top_n_with_rank
+from liftwise.operators.star import (
+    broadcast_small_dims,
+    materialize_summary,
+    rollup,
+    sales_summary,
+    star_join,
+    summarise,
+)
+
+__all__ = [
+    "broadcast_small_dims",
+    "materialize_summary",
+    "rank_by",
+    "rollup",
+    "sales_summary",
+    "star_join",
+    "summarise",
+    "top_bottom_k",
+    "top_n",
+    "top_n_per_group",
+    "top_n_with_rank",
+]

@@ -27,10 +27,12 @@ DEFAULTS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "liftwise") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "liftwise", extra: dict | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks (UI off, no server started)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    for k, v in DEFAULTS.items():
+    for k, v in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", "8g")

@@ -1 +1 @@
-"""streaming of liftwise."""
+"""The view over a stream of fact files (Structured Streaming)."""

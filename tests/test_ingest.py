@@ -108,3 +108,23 @@ def test_promo_folding_maps_to_rule_names(spark):
     df = spark.createDataFrame([(" bogof",), ("500 CASHBACK",), ("25% off ",), ("Loyalty",), (None,)], "p string")
     got = [r.q for r in df.select(normalise_promo_type(F.col("p")).alias("q")).collect()]
     assert got == ["BOGOF", "500 Cashback", "25% OFF", "Loyalty", None]
+
+
+def test_dump_tuple_boundaries_inside_quotes(spark, tmp_path):
+    from liftwise.schemas import PRODUCTS
+    from liftwise.sources.sqldump import read_insert_rows
+
+    text = (
+        "INSERT INTO `dim_products` VALUES ('A','Pack (2),(3)','x'),('B','It\\'s \\\\ ok','y'),"
+        "('C',NULL,'z'),('D','','w');\n"
+        "INSERT INTO `other_table` VALUES ('E','not me','v');\n"
+        "INSERT INTO `dim_products` VALUES ('F','last','u');\n"
+    )
+    path = tmp_path / "dump.sql"
+    path.write_text(text)
+    rows = {r.product_code: (r.product_name, r.category) for r in read_insert_rows(spark, str(path), "dim_products", PRODUCTS).collect()}
+    assert rows["A"] == ("Pack (2),(3)", "x")
+    assert rows["B"] == ("It's \\ ok", "y")
+    assert rows["C"] == (None, "z")
+    assert rows["F"] == ("last", "u")
+    assert set(rows) == {"A", "B", "C", "D", "F"}

@@ -1,6 +1,13 @@
 """DataFrame operators: the star join and its roll-ups, and rankings."""
 
-from liftwise.operators.ranking import rank_by, top_bottom_k, top_n, top_n_per_group, top_n_with_rank
+from liftwise.operators.ranking import (
+    global_rank,
+    rank_by,
+    top_bottom_k,
+    top_n,
+    top_n_per_group,
+    top_n_with_rank,
+)
 from liftwise.operators.star import (
     broadcast_small_dims,
     materialize_summary,
@@ -12,6 +19,7 @@ from liftwise.operators.star import (
 
 __all__ = [
     "broadcast_small_dims",
+    "global_rank",
     "materialize_summary",
     "rank_by",
     "rollup",

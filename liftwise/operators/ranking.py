@@ -12,11 +12,15 @@ None of these sends an unbounded set of rows to one task:
   instead of two unpartitioned dense ranks, which would sort everything in one task.
 * :func:`rank_by` without a partition is a global window and belongs only on small,
   already aggregated inputs (categories, cities) or after a top-N cut.
+  :func:`global_rank` computes the same ranks for inputs of any size: distinct
+  values are cut into buckets at approximate quantiles, a bucket's offset is the
+  number of rows in the buckets before it, and ranks are finished inside buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,3 +102,49 @@ def top_bottom_k_window(df: DataFrame, value: str, k: int) -> DataFrame:
     bottom = F.dense_rank().over(Window.orderBy(F.asc(value)))
     ranked = df.withColumn("_top", top).withColumn("_bottom", bottom)
     return ranked.filter((F.col("_top") <= k) | (F.col("_bottom") <= k)).drop("_top", "_bottom")
+
+
+def global_rank(
+    df: DataFrame,
+    value: str,
+    name: str = "rank",
+    descending: bool = True,
+    dense: bool = False,
+    buckets: int = 64,
+    relative_error: float = 0.01,
+) -> DataFrame:
+    """``df`` with RANK (or DENSE_RANK) over one value column, computed without one task.
+
+    Equal to ``rank() over (order by value desc nulls last)`` (ascending: nulls
+    first), with NULLs tied.  Steps: rows are counted per distinct value; the
+    distinct values are cut into at most ``buckets`` ranges at approximate
+    quantiles (the boundaries are a bounded list of numbers, and equal values always
+    share a range); the rows (or distinct values, for DENSE_RANK) before each range
+    are summed over at most ``buckets`` rows and broadcast; each range finishes its
+    ranks in its own window partition; the ranks are joined back on the value.  The
+    quantiles only balance the ranges, they do not affect the result.
+    """
+    v = F.col(value)
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(counts.where(v.isNotNull()).approxQuantile(value, probs, relative_error)))
+    before = (lambda b: v < F.lit(b)) if descending else (lambda b: v > F.lit(b))
+    ranges = [F.when(before(b), 1).otherwise(0) for b in bounds]
+    position = reduce(lambda a, b: a + b, ranges) if ranges else F.lit(0)
+    null_range = len(bounds) + 1 if descending else -1
+    keyed = counts.withColumn("_range", F.when(v.isNull(), F.lit(null_range)).otherwise(position))
+
+    unit = F.lit(1) if dense else F.col("_n")
+    preceding = (Window.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_range").agg(F.sum(unit).alias("_size"))
+    offsets = sizes.select(
+        "_range",
+        F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(*preceding)), F.lit(0)).alias("_offset"),
+    )
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(*preceding)
+    local = keyed.withColumn("_local", F.coalesce(F.sum(unit).over(inside), F.lit(0)))
+    ranks = local.join(F.broadcast(offsets), "_range").select(
+        v.alias("_value"), (F.col("_offset") + F.col("_local") + 1).cast("bigint").alias(name)
+    )
+    return df.join(ranks, df[value].eqNullSafe(ranks["_value"]), "inner").drop("_value")

@@ -22,7 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.functions.formats import millions, money_text, pct, ratio
-from liftwise.operators.ranking import rank_by, top_bottom_k, top_n, top_n_per_group, top_n_with_rank
+from liftwise.operators.ranking import (
+    global_rank,
+    rank_by,
+    top_bottom_k,
+    top_n,
+    top_n_per_group,
+    top_n_with_rank,
+)
 from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise  # noqa: F401
 from liftwise.tables import Tables
 
@@ -53,14 +60,20 @@ def campaign_revenue(t: Tables) -> DataFrame:
     )
 
 
-def category_isu(t: Tables, campaign_name: str) -> DataFrame:
-    """Q4: units before and after, ISU% and its rank per category for one campaign."""
+def category_isu(t: Tables, campaign_name: str, distributed_rank: bool = False) -> DataFrame:
+    """Q4: units before and after, ISU% and its rank per category for one campaign.
+
+    The rank is a window over the categories; ``distributed_rank`` computes it with
+    :func:`~liftwise.operators.ranking.global_rank` instead, for very many groups.
+    """
     s = summarise(t, ["category"], where={"campaign_name": campaign_name}).select(
         "category",
         F.col("quantity_sold_before_promo").alias("quantity_before_promo"),
         F.col("quantity_sold_after_promo").alias("quantity_after_promo"),
         pct("ISU", "quantity_sold_before_promo").alias("ISU%"),
     )
+    if distributed_rank:
+        return global_rank(s, "ISU%", name="Ranking")
     return rank_by(s, [F.desc_nulls_last("ISU%")], name="Ranking")
 
 
@@ -87,8 +100,11 @@ def product_top_ir_pct(t: Tables, n: int = 5) -> DataFrame:
     return ranked.orderBy(*order).drop("_ratio")
 
 
-def city_ir_rank(t: Tables) -> DataFrame:
-    """Q6: revenue before, after and net IR per city as text, ranked by IR."""
+def city_ir_rank(t: Tables, distributed_rank: bool = False) -> DataFrame:
+    """Q6: revenue before, after and net IR per city as text, ranked by IR.
+
+    ``distributed_rank`` as in :func:`category_isu`.
+    """
     s = summarise(t, ["city"]).select(
         "city",
         money_text("revenue_before_promo").alias("revenue_before_promo"),
@@ -96,7 +112,10 @@ def city_ir_rank(t: Tables) -> DataFrame:
         money_text("IR").alias("incremental_revenue"),
         F.col("IR").alias("_ir"),
     )
-    ranked = rank_by(s, [F.desc("_ir")], name="city_rank")
+    if distributed_rank:
+        ranked = global_rank(s, "_ir", name="city_rank")
+    else:
+        ranked = rank_by(s, [F.desc("_ir")], name="city_rank")
     return ranked.orderBy(F.desc("_ir"), F.asc("city")).drop("_ir")
 
 

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
 from liftwise.operators.star import sales_summary, star_join
+from liftwise.plans import reports as R
 from liftwise.plans.reports import REPORTS
-from liftwise.sources.checks import check_keys
+from liftwise.sources.checks import check_keys, verify_keys
 from liftwise.tables import Tables
 
 FACT_COLUMNS = [
@@ -90,6 +91,31 @@ def sales_summary_eager(t: Tables) -> DataFrame:
     return sales_summary(t, eager=True)
 
 
+def city_ir_rank_distributed(t: Tables) -> DataFrame:
+    """Q6 with the city rank from ``global_rank`` instead of one window."""
+    return R.city_ir_rank(t, distributed_rank=True)
+
+
+def category_isu_diwali_distributed(t: Tables) -> DataFrame:
+    """Q4a with the category rank from ``global_rank``."""
+    return R.category_isu(t, "Diwali", distributed_rank=True)
+
+
+def campaign_revenue_keys_verified(t: Tables) -> DataFrame:
+    """Q3 after ``verify_keys``: only the campaign dimension is joined."""
+    return R.campaign_revenue(verify_keys(t))
+
+
+def promo_isu_keys_verified(t: Tables) -> DataFrame:
+    """Q9 after ``verify_keys``: no dimension is joined."""
+    return R.promo_isu(verify_keys(t))
+
+
+def category_ir_keys_verified(t: Tables) -> DataFrame:
+    """Q12 after ``verify_keys``: only the product dimension is joined."""
+    return R.category_ir(verify_keys(t))
+
+
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_fact": scan_fact,
     "check_keys": check_keys,
@@ -101,6 +127,11 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "promo_units_rows": promo_units_rows,
     "promo_revenue_rows": promo_revenue_rows,
     "sales_summary_eager": sales_summary_eager,
+    "city_ir_rank_distributed": city_ir_rank_distributed,
+    "category_isu_diwali_distributed": category_isu_diwali_distributed,
+    "campaign_revenue_keys_verified": campaign_revenue_keys_verified,
+    "promo_isu_keys_verified": promo_isu_keys_verified,
+    "category_ir_keys_verified": category_ir_keys_verified,
 }
 
 CATALOG: dict[str, Callable[[Tables], DataFrame]] = {**OPERATORS, **REPORTS}

@@ -23,8 +23,12 @@ def millions(x: Column | str, digits: int = 2) -> Column:
     return F.round(_col(x).cast(MONEY) / 1_000_000, digits).cast(MONEY)
 
 
+# The suffix of money shown in millions (Q10 writes it with a space).
+MILLIONS_SUFFIX = "M"
+
+
 @reuse_for_names
-def money_text(x: Column | str, suffix: str = "M") -> Column:
+def money_text(x: Column | str, suffix: str = MILLIONS_SUFFIX) -> Column:
     """Money in millions as text with two places and a suffix (M10, T8): 12.30M."""
     return F.concat(millions(x).cast("decimal(18,2)").cast("string"), F.lit(suffix))
 

@@ -98,7 +98,7 @@ def city_ir_rank_distributed(t: Tables) -> DataFrame:
 
 def category_isu_diwali_distributed(t: Tables) -> DataFrame:
     """Q4a with the category rank from ``global_rank``."""
-    return R.category_isu(t, "Diwali", distributed_rank=True)
+    return R.category_isu(t, R.CAMPAIGN_Q4A, distributed_rank=True)
 
 
 def campaign_revenue_keys_verified(t: Tables) -> DataFrame:

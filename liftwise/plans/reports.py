@@ -33,9 +33,24 @@ from liftwise.operators.ranking import (
 from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise  # noqa: F401
 from liftwise.tables import Tables
 
-
-
-def high_value_bogof(t: Tables, promo: str = "BOGOF", min_price: int = 500) -> DataFrame:
+# Fixed values of the reports, as the original states them: the promotion and the
+# price threshold of Q1, the campaigns of Q4a and Q4b, the sizes of the top lists
+# (Q5, Q7, Q8, Q14 and Q15, Q16, Q17) and the suffix of money in millions in Q10.
+HIGH_VALUE_PROMO = "BOGOF"
+HIGH_VALUE_MIN_PRICE = 500
+CAMPAIGN_Q4A = "Diwali"
+CAMPAIGN_Q4B = "Sankranti"
+TOP_IR_PCT_PRODUCTS = 5
+TOP_STORES = 10
+BOTTOM_STORES = 10
+TOP_BOTTOM_PRODUCTS = 3
+TOP_STORES_PER_CAMPAIGN = 3
+TOP_PRODUCTS_PER_CAMPAIGN = 5
+PROMO_MONEY_SUFFIX = " M"
+
+
+
+def high_value_bogof(t: Tables, promo: str = HIGH_VALUE_PROMO, min_price: int = HIGH_VALUE_MIN_PRICE) -> DataFrame:
     """Q1: distinct product names and base prices sold under ``promo`` above ``min_price``."""
     fact = t.fact.filter((F.col("promo_type") == promo) & (F.col("base_price") > min_price))
     joined = star_join(t, ["products"], fact.select("product_code", "base_price"))
@@ -79,15 +94,15 @@ def category_isu(t: Tables, campaign_name: str, distributed_rank: bool = False)
 
 def category_isu_diwali(t: Tables) -> DataFrame:
     """Q4a."""
-    return category_isu(t, "Diwali")
+    return category_isu(t, CAMPAIGN_Q4A)
 
 
 def category_isu_sankranti(t: Tables) -> DataFrame:
     """Q4b."""
-    return category_isu(t, "Sankranti")
+    return category_isu(t, CAMPAIGN_Q4B)
 
 
-def product_top_ir_pct(t: Tables, n: int = 5) -> DataFrame:
+def product_top_ir_pct(t: Tables, n: int = TOP_IR_PCT_PRODUCTS) -> DataFrame:
     """Q5: the ``n`` products with the highest IR%, with their rank among all products."""
     s = summarise(t, ["product_name", "category"]).select(
         "product_name",
@@ -123,13 +138,13 @@ def _store_rollup(t: Tables) -> DataFrame:
     return rollup(t, ["store_id", "city"], gross_measures(), dims=["stores"])
 
 
-def store_top_ir(t: Tables, n: int = 10) -> DataFrame:
+def store_top_ir(t: Tables, n: int = TOP_STORES) -> DataFrame:
     """Q7: the ``n`` stores with the highest gross IR, in millions."""
     s = _store_rollup(t).select("store_id", "city", millions("gross_ir").alias("incremental_revenue_mln"))
     return top_n(s, n, [F.desc("incremental_revenue_mln"), F.asc("store_id"), F.asc("city")])
 
 
-def store_bottom_isu(t: Tables, n: int = 10) -> DataFrame:
+def store_bottom_isu(t: Tables, n: int = BOTTOM_STORES) -> DataFrame:
     """Q8: the ``n`` stores with the lowest raw incremental units."""
     s = _store_rollup(t).select("store_id", "city", F.col("raw_isu").alias("incremental_sold_quantity"))
     return top_n(s, n, [F.asc("incremental_sold_quantity"), F.asc("store_id"), F.asc("city")])
@@ -153,9 +168,9 @@ def promo_ir(t: Tables) -> DataFrame:
     s = summarise(t, ["promo_type"])
     out = s.select(
         "promo_type",
-        money_text("revenue_before_promo", " M").alias("revenue_before_promo"),
-        money_text("revenue_after_promo", " M").alias("revenue_after_promo"),
-        money_text("IR", " M").alias("incremental_revenue"),
+        money_text("revenue_before_promo", PROMO_MONEY_SUFFIX).alias("revenue_before_promo"),
+        money_text("revenue_after_promo", PROMO_MONEY_SUFFIX).alias("revenue_after_promo"),
+        money_text("IR", PROMO_MONEY_SUFFIX).alias("incremental_revenue"),
         pct("IR", "revenue_before_promo", 2).alias("IR%"),
     )
     return out.orderBy(F.desc_nulls_last("IR%"), F.asc_nulls_first("promo_type"))
@@ -201,7 +216,7 @@ def _product_summary(t: Tables) -> DataFrame:
     return summarise(t, ["product_name", "category"])
 
 
-def product_top_bottom_ir(t: Tables, k: int = 3, text_order: bool = False) -> DataFrame:
+def product_top_bottom_ir(t: Tables, k: int = TOP_BOTTOM_PRODUCTS, text_order: bool = False) -> DataFrame:
     """Q14: products in the top ``k`` or bottom ``k`` distinct net IR values; IR as text.
 
     Sorted by IR; ``text_order`` sorts by the IR text instead (T9).
@@ -213,21 +228,21 @@ def product_top_bottom_ir(t: Tables, k: int = 3, text_order: bool = False) -> Da
     return out.orderBy(first, F.asc("product_name"), F.asc("category")).drop("_ir")
 
 
-def product_top_bottom_isu(t: Tables, k: int = 3) -> DataFrame:
+def product_top_bottom_isu(t: Tables, k: int = TOP_BOTTOM_PRODUCTS) -> DataFrame:
     """Q15: products in the top ``k`` or bottom ``k`` distinct net ISU values."""
     s = _product_summary(t).select("product_name", "category", "ISU")
     kept = top_bottom_k(s, "ISU", k)
     return kept.orderBy(F.desc("ISU"), F.asc("product_name"), F.asc("category"))
 
 
-def campaign_top_stores(t: Tables, k: int = 3) -> DataFrame:
+def campaign_top_stores(t: Tables, k: int = TOP_STORES_PER_CAMPAIGN) -> DataFrame:
     """Q16: per campaign, the stores ranked ``k`` or better by gross IR in millions."""
     g = rollup(t, ["campaign_name", "store_id", "city"], gross_measures(), dims=["campaigns", "stores"])
     s = g.select("campaign_name", "store_id", "city", millions("gross_ir").alias("incremental_revenue_mln"))
     return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="store_rank")
 
 
-def campaign_top_products(t: Tables, k: int = 5) -> DataFrame:
+def campaign_top_products(t: Tables, k: int = TOP_PRODUCTS_PER_CAMPAIGN) -> DataFrame:
     """Q17: per campaign, the products ranked ``k`` or better by gross IR in millions."""
     g = rollup(
         t, ["campaign_name", "product_name", "category"], gross_measures(), dims=["campaigns", "products"]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from liftwise.schemas import CAMPAIGNS, PRODUCTS, STORES
 
+# The date format of the campaign CSV (day first).
 CAMPAIGN_DATE_FORMAT = "dd-MM-yyyy"
 
 

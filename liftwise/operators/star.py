@@ -34,6 +34,9 @@ FACT_KEYS = ("store_id", "campaign_id", "product_code", "promo_type")
 # Broadcast a dimension only up to this many rows (about 50 MB of keys and names).
 DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
 
+# Automatic eager aggregation needs at least this many fact rows per key.
+EAGER_MIN_ROWS_PER_KEY = 8.0
+
 
 def row_counts(frames: Mapping[str, DataFrame]) -> dict[str, int]:
     """Row count of each frame, all in one job (a partial count per task, then a sum)."""
@@ -66,6 +69,7 @@ def broadcast_small_dims(
         stores=sized_broadcast(t.stores, known["stores"], max_rows),
         campaigns=sized_broadcast(t.campaigns, known["campaigns"], max_rows),
         products=sized_broadcast(t.products, known["products"], max_rows),
+        shuffled_dims=frozenset(d for d in ALL_DIMS if known[d] > max_rows),
     )
 
 
@@ -125,12 +129,22 @@ def needed_dims(t: Tables, columns: Sequence[str], dims: Sequence[str] = ALL_DIM
     return out
 
 
+def choose_eager(t: Tables, dims: Sequence[str]) -> bool:
+    """Eager aggregation pays when a join shuffles the fact and the fact repeats its keys.
+
+    With broadcast dimensions the joins cost no shuffle, and grouping first would add
+    one; with a shuffled dimension, grouping first shrinks what that join moves.
+    """
+    repeats = t.rows_per_key is not None and t.rows_per_key >= EAGER_MIN_ROWS_PER_KEY
+    return repeats and any(d in t.shuffled_dims for d in dims)
+
+
 def rollup(
     t: Tables,
     by: Sequence[str],
     measures: Mapping[str, Column],
     dims: Sequence[str] = ALL_DIMS,
-    eager: bool = False,
+    eager: bool | None = None,
     where: Where | None = None,
 ) -> DataFrame:
     """Sum row-level ``measures`` of the star join with ``dims``, grouped by ``by``.
@@ -140,11 +154,14 @@ def rollup(
     from there to the fact's partition folders.  When ``t.keys_verified``, only the
     dimensions that provide a column of ``by`` or ``where`` are joined: the others
     would match each fact exactly once.  With ``eager`` the fact is first grouped by
-    its foreign keys and promotion type (sums are additive, so the result is the same).
+    its foreign keys and promotion type (sums are additive, so the result is the same);
+    ``eager=None`` decides by :func:`choose_eager`.
     """
     where = dict(where or {})
     if t.keys_verified:
         dims = needed_dims(t, [*by, *where], dims)
+    if eager is None:
+        eager = choose_eager(t, dims)
     fact = t.fact
     if eager:
         fact_keys = [k for k in FACT_KEYS if k in fact.columns]
@@ -159,7 +176,7 @@ def rollup(
     return joined.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in summed.items()])
 
 
-def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str], eager: bool) -> bool:
+def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str], eager: bool | None) -> bool:
     return (
         t.summary is not None
         and not eager
@@ -171,7 +188,7 @@ def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str
 def summarise(
     t: Tables,
     by: Sequence[str],
-    eager: bool = False,
+    eager: bool | None = None,
     dims: Sequence[str] = ALL_DIMS,
     where: Where | None = None,
 ) -> DataFrame:
@@ -197,7 +214,7 @@ def summarise(
     )
 
 
-def sales_summary(t: Tables, eager: bool = False) -> DataFrame:
+def sales_summary(t: Tables, eager: bool | None = None) -> DataFrame:
     """V0: the ``sales_summary`` view, one row per campaign, city, product name, category, promotion."""
     return summarise(t, VIEW_KEYS, eager=eager)
 

@@ -6,7 +6,9 @@ constraints the reference declares are checked here, one result row per check:
 * ``duplicate_key``: number of primary-key values held by more than one row;
 * ``null``: number of NULLs in a column declared NOT NULL;
 * ``orphan``: number of fact rows whose key has no dimension row (a NULL key
-  included); these are the rows the reports' inner joins drop.
+  included); these are the rows the reports' inner joins drop;
+* ``profile`` (on request, not a violation): fact rows and approximate distinct
+  (store, campaign, product, promotion) keys, from the same pass.
 
 The fact is read once: it is left-joined with the distinct keys of each dimension
 (broadcast within a counted size) and one aggregate counts NULLs and misses together.
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, row_counts, sized_broadcast
+from liftwise.operators.star import FACT_KEYS, DEFAULT_BROADCAST_MAX_ROWS, row_counts, sized_broadcast
 from liftwise.schemas import CAMPAIGNS, FACT, FOREIGN_KEYS, PRIMARY_KEYS, PRODUCTS, STORES
 from liftwise.tables import Tables
 
@@ -47,8 +49,15 @@ def _rows(counts: DataFrame, table: str, names: dict[str, tuple[str, str]]) -> D
     )
 
 
-def check_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """One row per check: check_name, table_name, column_name, violations."""
+def check_keys(
+    t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, profile: bool = False
+) -> DataFrame:
+    """One row per check: check_name, table_name, column_name, violations.
+
+    ``profile`` adds two ``profile`` rows measured in the same pass over the fact: its
+    row count and its approximate number of distinct (store, campaign, product,
+    promotion) keys.
+    """
     parts = []
     for table, key in PRIMARY_KEYS.items():
         dup = getattr(t, table).groupBy(key).count().filter(F.col("count") > 1)
@@ -72,12 +81,17 @@ def check_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS)
         keys = getattr(t, dim).select(key).distinct().withColumn(f"_hit{i}", F.lit(True))
         fact = fact.join(sized_broadcast(keys, sizes[dim], broadcast_max_rows), key, "left")
     cols = not_null_columns("fact", t.fact)
+    keys = [c for c in FACT_KEYS if c in t.fact.columns]
+    stats = [F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*keys)).alias("keys")]
     counts = fact.agg(
         *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
         *[F.count_if(F.col(f"_hit{i}").isNull()).alias(f"o{i}") for i in range(len(FOREIGN_KEYS))],
+        *(stats if profile else []),
     )
     names = {f"n{i}": ("null", c) for i, c in enumerate(cols)}
     names.update({f"o{i}": ("orphan", k) for i, k in enumerate(FOREIGN_KEYS)})
+    if profile:
+        names.update({"rows": ("profile", "rows"), "keys": ("profile", "distinct_keys")})
     parts.append(_rows(counts, "fact", names))
     return reduce(DataFrame.unionByName, parts)
 
@@ -85,9 +99,11 @@ def check_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS)
 def verify_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
     """``t`` marked ``keys_verified`` when no dimension key repeats and every fact finds its rows.
 
-    Only then may a query leave out a dimension it takes no column from.
+    Only then may a query leave out a dimension it takes no column from.  The same
+    pass measures fact rows per key, for :func:`~liftwise.operators.star.choose_eager`.
     """
-    checks = check_keys(t, broadcast_max_rows)
-    key_checks = checks.filter(F.col("check_name").isin("duplicate_key", "orphan"))
-    bad = key_checks.filter(F.col("violations") > 0).count()
-    return replace(t, keys_verified=bad == 0)
+    rows = check_keys(t, broadcast_max_rows, profile=True).collect()
+    bad = sum(r.violations for r in rows if r.check_name in ("duplicate_key", "orphan"))
+    profile = {r.column_name: r.violations for r in rows if r.check_name == "profile"}
+    per_key = profile["rows"] / profile["distinct_keys"] if profile.get("distinct_keys") else None
+    return replace(t, keys_verified=bad == 0, rows_per_key=per_key)

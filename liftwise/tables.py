@@ -26,6 +26,11 @@ class Tables:
     # orphan fact: an inner join with a dimension whose columns a query does not use
     # is then the identity and is left out.  Re-verify after the data changes.
     keys_verified: bool = False
+    # Dimensions past the broadcast bound, joined with a shuffle (set by
+    # broadcast_small_dims), and fact rows per (store, campaign, product, promotion)
+    # as measured by verify_keys: together they decide automatic eager aggregation.
+    shuffled_dims: frozenset = frozenset()
+    rows_per_key: float | None = None
 
     def with_fact(self, fact: DataFrame) -> "Tables":
         return replace(self, fact=fact)

@@ -99,3 +99,29 @@ def test_shuffled_joins_give_the_same_reports(spark):
     broadcast = from_testdata(spark, SF_SMALL)
     for name in ["sales_summary", "campaign_revenue", "store_top_ir", "campaign_top_products", "product_top_bottom_ir"]:
         assert bag(REPORTS[name](shuffled)) == bag(REPORTS[name](broadcast)), name
+
+
+def test_eager_is_chosen_only_for_shuffled_joins_over_repeated_keys(spark, small):
+    import tempfile
+
+    from liftwise.operators.star import broadcast_small_dims, choose_eager
+    from liftwise.plans.reports import REPORTS
+    from liftwise.sources.checks import verify_keys
+    from liftwise.sources.parquet import read_tables, write_tables
+
+    # Ten copies of every fact: ten rows per key.
+    repeated = small.fact
+    for _ in range(3):
+        repeated = repeated.unionByName(repeated)
+    repeated = repeated.unionByName(small.fact).unionByName(small.fact)
+    path = tempfile.mkdtemp(prefix="liftwise-eager-")
+    write_tables(small.with_fact(repeated), path)
+    broadcast = verify_keys(read_tables(spark, path, fact_schema=small.fact.schema))
+    assert broadcast.rows_per_key > 8 and not broadcast.shuffled_dims
+    assert not choose_eager(broadcast, ["stores", "campaigns", "products"])
+
+    shuffled = verify_keys(broadcast_small_dims(broadcast, max_rows=0))
+    assert shuffled.shuffled_dims == {"stores", "campaigns", "products"}
+    assert choose_eager(shuffled, ["stores"])
+    for name in ["sales_summary", "campaign_revenue", "store_top_ir", "campaign_top_products"]:
+        assert bag(REPORTS[name](shuffled)) == bag(REPORTS[name](broadcast)), name

@@ -104,6 +104,15 @@ def top_bottom_k_window(df: DataFrame, value: str, k: int) -> DataFrame:
     return ranked.filter((F.col("_top") <= k) | (F.col("_bottom") <= k)).drop("_top", "_bottom")
 
 
+# A global window ranks at most this many rows in its one task; beyond, global_rank.
+GLOBAL_WINDOW_MAX_ROWS = 1_000_000
+
+
+def choose_global_rank(group_bound: int | None) -> bool:
+    """Use :func:`global_rank` when the groups to rank may exceed one task's share."""
+    return group_bound is not None and group_bound > GLOBAL_WINDOW_MAX_ROWS
+
+
 def global_rank(
     df: DataFrame,
     value: str,

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from liftwise.functions.formats import millions, money_text, pct, ratio
 from liftwise.operators.ranking import (
+    choose_global_rank,
     global_rank,
     rank_by,
     top_bottom_k,
@@ -75,12 +76,15 @@ def campaign_revenue(t: Tables) -> DataFrame:
     )
 
 
-def category_isu(t: Tables, campaign_name: str, distributed_rank: bool = False) -> DataFrame:
+def category_isu(t: Tables, campaign_name: str, distributed_rank: bool | None = None) -> DataFrame:
     """Q4: units before and after, ISU% and its rank per category for one campaign.
 
-    The rank is a window over the categories; ``distributed_rank`` computes it with
-    :func:`~liftwise.operators.ranking.global_rank` instead, for very many groups.
+    The rank is a window over the categories, or :func:`~liftwise.operators.ranking.global_rank`
+    for very many groups: ``distributed_rank=None`` decides by the number of categories
+    that ``verify_keys`` measured.
     """
+    if distributed_rank is None:
+        distributed_rank = choose_global_rank(t.attribute_count("category"))
     s = summarise(t, ["category"], where={"campaign_name": campaign_name}).select(
         "category",
         F.col("quantity_sold_before_promo").alias("quantity_before_promo"),
@@ -115,11 +119,13 @@ def product_top_ir_pct(t: Tables, n: int = TOP_IR_PCT_PRODUCTS) -> DataFrame:
     return ranked.orderBy(*order).drop("_ratio")
 
 
-def city_ir_rank(t: Tables, distributed_rank: bool = False) -> DataFrame:
+def city_ir_rank(t: Tables, distributed_rank: bool | None = None) -> DataFrame:
     """Q6: revenue before, after and net IR per city as text, ranked by IR.
 
-    ``distributed_rank`` as in :func:`category_isu`.
+    ``distributed_rank`` as in :func:`category_isu`, by the number of cities.
     """
+    if distributed_rank is None:
+        distributed_rank = choose_global_rank(t.attribute_count("city"))
     s = summarise(t, ["city"]).select(
         "city",
         money_text("revenue_before_promo").alias("revenue_before_promo"),

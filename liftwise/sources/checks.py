@@ -106,4 +106,20 @@ def verify_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS)
     bad = sum(r.violations for r in rows if r.check_name in ("duplicate_key", "orphan"))
     profile = {r.column_name: r.violations for r in rows if r.check_name == "profile"}
     per_key = profile["rows"] / profile["distinct_keys"] if profile.get("distinct_keys") else None
-    return replace(t, keys_verified=bad == 0, rows_per_key=per_key)
+    return replace(t, keys_verified=bad == 0, rows_per_key=per_key, attribute_counts=attribute_counts(t))
+
+
+# Dimension attributes that reports rank by: attribute -> dimension.
+RANKED_ATTRIBUTES = {"city": "stores", "category": "products"}
+
+
+def attribute_counts(t: Tables) -> tuple:
+    """Approximate distinct values of each ranked attribute, from the dimensions, in one job."""
+    parts = [
+        getattr(t, dim).agg(F.lit(attr).alias("attribute"), F.approx_count_distinct(attr).alias("n"))
+        for attr, dim in RANKED_ATTRIBUTES.items()
+        if attr in getattr(t, dim).columns
+    ]
+    if not parts:
+        return ()
+    return tuple((r.attribute, r.n) for r in reduce(DataFrame.unionByName, parts).collect())

@@ -31,6 +31,12 @@ class Tables:
     # as measured by verify_keys: together they decide automatic eager aggregation.
     shuffled_dims: frozenset = frozenset()
     rows_per_key: float | None = None
+    # Approximate distinct values of the dimension attributes that reports rank by
+    # (city, category), measured by verify_keys: they bound a report's group count.
+    attribute_counts: tuple = ()
+
+    def attribute_count(self, name: str) -> int | None:
+        return dict(self.attribute_counts).get(name)
 
     def with_fact(self, fact: DataFrame) -> "Tables":
         return replace(self, fact=fact)

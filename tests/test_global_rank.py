@@ -37,3 +37,18 @@ def test_reports_with_distributed_rank(small):
     assert bag(R.city_ir_rank(small, distributed_rank=True)) == bag(R.city_ir_rank(small))
     for campaign in ("Diwali", "Sankranti"):
         assert bag(R.category_isu(small, campaign, distributed_rank=True)) == bag(R.category_isu(small, campaign))
+
+
+def test_rank_form_is_chosen_by_group_count(small):
+    from dataclasses import replace
+
+    from liftwise.operators.ranking import GLOBAL_WINDOW_MAX_ROWS, choose_global_rank
+    from liftwise.sources.checks import verify_keys
+
+    verified = verify_keys(small)
+    exact = small.stores.select("city").distinct().count()
+    assert abs(verified.attribute_count("city") - exact) <= 1  # counted approximately
+    assert not choose_global_rank(verified.attribute_count("city"))
+    many = replace(verified, attribute_counts=(("city", GLOBAL_WINDOW_MAX_ROWS + 1), ("category", 6)))
+    assert choose_global_rank(many.attribute_count("city"))
+    assert bag(R.city_ir_rank(many)) == bag(R.city_ir_rank(verified))

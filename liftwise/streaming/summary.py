@@ -27,8 +27,11 @@ def fact_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 
 
 def stream_summary(dims: Tables, fact: DataFrame, by: Sequence[str] = VIEW_KEYS) -> DataFrame:
-    """The view's metrics at grain ``by`` over a streaming ``fact`` and static dimensions."""
-    return summarise(dims.with_fact(fact).with_summary(None), by)
+    """The view's metrics at grain ``by`` over a streaming ``fact`` and static dimensions.
+
+    One aggregation only: a stream allows no second one, so eager aggregation is off.
+    """
+    return summarise(dims.with_fact(fact).with_summary(None), by, eager=False)
 
 
 def start_summary(

@@ -11,9 +11,12 @@ Choices where the reference leaves the result open, or would fail on Spark:
 
 * ties under ``LIMIT`` are broken by the grouping keys (T11); Q5 first by the
   unrounded ratio, so that ranks can be computed on the kept rows alone (T13);
-* reports sorted by formatted text (Q12, Q14) sort by the number (T9);
+* reports sorted by formatted text (Q12, Q14) sort by the number; ``text_order=True``
+  sorts by the text (T9);
 * a division by zero gives NULL (T7); money texts have two places, ``12.30M`` (T8);
-* Q13's after-promotion units are named ``quantity_sold_after_promo`` (T10).
+* Q13's after-promotion units are named ``quantity_sold_after_promo`` (T10);
+* the global ranks of Q4 and Q6 are a window for few groups and ``global_rank`` for
+  very many, as measured by ``verify_keys``.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from liftwise.operators.ranking import (
     top_n_per_group,
     top_n_with_rank,
 )
-from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise  # noqa: F401
+from liftwise.operators.star import gross_measures, rollup, sales_summary, star_join, summarise
 from liftwise.tables import Tables
 
 # Fixed values of the reports, as the original states them: the promotion and the
@@ -50,7 +53,6 @@ TOP_PRODUCTS_PER_CAMPAIGN = 5
 PROMO_MONEY_SUFFIX = " M"
 
 
-
 def high_value_bogof(t: Tables, promo: str = HIGH_VALUE_PROMO, min_price: int = HIGH_VALUE_MIN_PRICE) -> DataFrame:
     """Q1: distinct product names and base prices sold under ``promo`` above ``min_price``."""
     fact = t.fact.filter((F.col("promo_type") == promo) & (F.col("base_price") > min_price))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, broadcast_small_dims, row_counts, sized_broadcast
-from liftwise.schemas import CAMPAIGNS
 from liftwise.tables import Tables
 
 # The two campaigns of the analysed data set.

@@ -6,7 +6,6 @@ from decimal import ROUND_HALF_UP, Decimal
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
 from liftwise.functions.formats import millions, money_text, pct

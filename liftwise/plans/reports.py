@@ -7,7 +7,7 @@ equals summing the view.  Two metric families are kept apart by name (T2): *net*
 (discounted price, BOGOF units doubled: ``IR``, ``ISU``) and *gross* (base price,
 raw units: ``gross_ir``, ``raw_isu``).
 
-Choices where the reference leaves the result open, or would fail on Spark:
+Choices where the original leaves the result open, or would fail on Spark:
 
 * ties under ``LIMIT`` are broken by the grouping keys (T11); Q5 first by the
   unrounded ratio, so that ranks can be computed on the kept rows alone (T13);
@@ -261,7 +261,7 @@ def campaign_top_products(t: Tables, k: int = TOP_PRODUCTS_PER_CAMPAIGN) -> Data
     return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="product_rank")
 
 
-# Report key -> function of the tables, in the reference's order.
+# Report key -> function of the tables, in the original's order.
 REPORTS = {
     "sales_summary": sales_summary,
     "high_value_bogof": high_value_bogof,

@@ -1,4 +1,4 @@
-"""The tables and the view under their reference names, for ``spark.sql``.
+"""The tables and the view under their original names, for ``spark.sql``.
 
 After :func:`register_views`, reports written in SQL against ``fact_events``,
 ``dim_stores``, ``dim_campaigns``, ``dim_products`` and ``sales_summary`` run on Spark

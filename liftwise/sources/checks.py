@@ -1,7 +1,7 @@
 """Declared constraints, verified as a Spark job.
 
 Spark does not enforce primary keys, NOT NULL on file sources or foreign keys, so the
-constraints the reference declares are checked here, one result row per check:
+constraints the original declares are checked here, one result row per check:
 
 * ``duplicate_key``: number of primary-key values held by more than one row;
 * ``null``: number of NULLs in a column declared NOT NULL;

@@ -1,6 +1,6 @@
 """The ``sales_summary`` view kept current while fact files arrive (Structured Streaming).
 
-The reference loads a static dump and has no streaming.  This module adds no new
+The original loads a static dump and has no streaming.  This module adds no new
 metric: it runs the same roll-up as :func:`liftwise.operators.star.summarise` on a
 file stream of fact Parquet, joined to static dimensions (stream-static inner joins),
 in ``complete`` or ``update`` output mode.  The state holds one row per group of the

@@ -24,6 +24,8 @@ def test_load_check_report(spark):
     assert "orphan" in checks and "duplicate_key" in checks
     text = run("report", "campaign_revenue", "store_count_by_city", "--tables", out)
     assert "Alpha" in text and "North" in text
+    shared = run("report", "promo_isu", "category_isu_diwali", "--tables", out, "--shared-view")
+    assert "BOGOF" in shared
     assert "sales_summary" in run("list")
     sql = run("sql", "SELECT promo_type, SUM(ISU) AS isu FROM sales_summary GROUP BY promo_type", "--tables", out)
     assert "BOGOF" in sql and "isu" in sql

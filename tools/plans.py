@@ -50,6 +50,17 @@ def main() -> None:
         "campaign, keys verified so unused dimension joins are left out), `local[*]`, 8 shuffle partitions.",
         "Generated by `python tools/plans.py`.",
         "",
+        "What to look for:",
+        "",
+        "* one Exchange of partial aggregates per report over the fact (the fact itself is never",
+        "  shuffled: dimensions are broadcast after a counted size check);",
+        "* only the joins a report takes a column from (Q9-Q11 none, Q3 campaigns, Q12-Q15",
+        "  products), because the keys were verified;",
+        "* TakeOrderedAndProject for the top and bottom lists (Q5, Q7, Q8);",
+        "* WindowGroupLimit before and after the shuffle for the per-campaign ranks (Q16, Q17);",
+        "* for Q14 and Q15, the cut-offs are scalar subqueries (not shown in the tree) that reuse",
+        "  the roll-up's shuffle; there is no global window.",
+        "",
     ]
     for name, fn in REPORTS.items():
         parts += [f"## {name}", "", "```", tree(fn(t)), "```", ""]

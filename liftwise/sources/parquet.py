@@ -2,8 +2,12 @@
 
 The fact table is written partitioned by ``campaign_id``: a report that filters on one
 campaign then reads only that folder, through dynamic partition pruning on the
-broadcast campaign join.  ``records_per_file`` bounds each output file, so that a scan
-has many splits to run in parallel whatever the layout of the input was.
+broadcast campaign join.  Inside each write task the rows are sorted by promotion type
+(a local sort the partitioned write needs anyway, by campaign, extended by one key):
+row groups then hold few promotion types, so a pushed-down filter on one type (Q1)
+skips the others, and the column compresses better.  ``records_per_file`` bounds each
+output file, so that a scan has many splits to run in parallel whatever the layout of
+the input was.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ DEFAULT_RECORDS_PER_FILE = 4_000_000
 
 def write_tables(t: Tables, path: str, records_per_file: int = DEFAULT_RECORDS_PER_FILE) -> None:
     """Write fact and dimensions under ``path`` (a folder on shared storage on a cluster)."""
+    order = [c for c in ("campaign_id", "promo_type") if c in t.fact.columns]
     (
-        t.fact.write.mode("overwrite")
+        t.fact.sortWithinPartitions(*order)
+        .write.mode("overwrite")
         .option("maxRecordsPerFile", records_per_file)
         .partitionBy("campaign_id")
         .parquet(f"{path}/fact")

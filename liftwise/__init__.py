@@ -2,4 +2,5 @@
 
 from liftwise.tables import Tables
 
-__all__ = ["Tables"]
+__version__ = "0.1.0"
+__all__ = ["Tables", "__version__"]

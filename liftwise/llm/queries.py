@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from liftwise.llm.common import table
 from liftwise.llm.exact_dedup import exact_dedup
 from liftwise.llm.mixing import mix
+from liftwise.llm.simhash import simhash_components
 from liftwise.llm.url_filter import judge_urls
 
 # The rules of the URL query: verdict, host, path.
@@ -27,11 +28,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_exact_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_exact_dedup, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

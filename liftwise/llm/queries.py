@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from liftwise.llm.common import table
 from liftwise.llm.exact_dedup import exact_dedup
+from liftwise.llm.language_id import identify
 from liftwise.llm.mixing import mix
 from liftwise.llm.simhash import simhash_components
 from liftwise.llm.url_filter import judge_urls
@@ -20,6 +21,10 @@ URL_RULES = (
 )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_exact_dedup, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

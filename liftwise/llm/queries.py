@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from liftwise.llm.common import table
 from liftwise.llm.exact_dedup import exact_dedup
 from liftwise.llm.language_id import identify
 from liftwise.llm.mixing import mix
+from liftwise.llm.pieces import sample_segmentations
 from liftwise.llm.simhash import simhash_components
 from liftwise.llm.url_filter import judge_urls
 
@@ -33,6 +35,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sample_segmentations(table(spark, sf_dir, "documents"))
+    digest = F.xxhash64("ids").alias("ids_hash")
+    return rows.select("doc_id", "sample", F.size("ids").alias("n_pieces"), digest, "log_prob", "perturbed", "log_inclusion", "round_trip")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -41,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op8_sample_pieces, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

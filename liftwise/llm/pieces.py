@@ -24,8 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"  # what stands for a space inside pieces
-UNIT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")  # no piece crosses from one unit to the next
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+# Units: a run of Latin letters or of anything else, with the space marks before it, or one line
+# break.  No piece crosses from one unit to the next (load_vocabulary checks that).
+UNIT = re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}\n]+)|{SPACE}+|\n")
 BLOCK_CHARS = 3_000_000  # texts handled at once inside a task; bounds memory, not what is read
+SLOT_BITS = 19  # of the trie's hash table, about ten times its edges
+SLOTS = 1 << SLOT_BITS
+NOISE = 37.5  # above the Gumbel value of the largest number ``uniform`` gives
 BRANCHING, MASK = 0x9E3779B97F4A7C15, 2**64 - 1
 
 
@@ -35,12 +41,29 @@ class Vocabulary:
 
     pieces: list[bytes]  # what each id decodes to, spaces as SPACE
     byte_ids: np.ndarray  # id of each single byte
-    edges: np.ndarray  # sorted keys node * 2^21 + code point
+    edges: np.ndarray  # hash table of keys node * 2^21 + code point, -1 where empty
     targets: np.ndarray  # the node an edge leads to
     piece_of: np.ndarray  # id that ends at a node, -1 if none
     logp: np.ndarray  # by id
 
 
+def slot_of(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(BRANCHING)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def follow(keys: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the trie's ``keys`` exist (as indices) and the nodes they lead to."""
+    slot = slot_of(keys)
+    held = v.edges[slot]
+    other = np.flatnonzero((held != keys) & (held != -1))
+    while len(other):  # linear probing
+        slot[other] = (slot[other] + 1) % SLOTS
+        held[other] = v.edges[slot[other]]
+        other = other[(held[other] != keys[other]) & (held[other] != -1)]
+    hit = np.flatnonzero(held == keys)
+    return hit, v.targets[slot[hit]]
+
+
 def load_vocabulary(path: str | None = None, theta: float = 1.0) -> Vocabulary:
     """Read a SentencePiece model with byte fallback.
 
@@ -70,18 +93,23 @@ def load_vocabulary(path: str | None = None, theta: float = 1.0) -> Vocabulary:
         pieces[byte_ids[b]] = bytes([b])
     for i in normal:
         text = model.id_to_piece(i)
-        if "\n" in text or SPACE in text.lstrip(SPACE):
-            raise ValueError(f"piece {i} crosses words")
+        if UNIT.findall(text) != [text]:
+            raise ValueError(f"piece {i} crosses units")
         pieces[i] = text.encode()
         at = 0
         for c in text:
             at = nodes.setdefault((at, ord(c)), len(nodes) + 1)
         ends[at] = i
     keys = np.array([a << 21 | c for a, c in nodes], dtype=np.int64)
-    order = np.argsort(keys)
+    edges, targets = np.full(SLOTS, -1, np.int64), np.zeros(SLOTS, np.int64)
+    slots = slot_of(keys)
+    for key, slot, node in zip(keys.tolist(), slots.tolist(), nodes.values()):
+        while edges[slot] != -1:
+            slot = (slot + 1) % SLOTS
+        edges[slot], targets[slot] = key, node
     piece_of = np.full(len(nodes) + 1, -1)
     piece_of[list(ends)] = list(ends.values())
-    return Vocabulary(pieces, byte_ids, keys[order], np.fromiter(nodes.values(), np.int64)[order], piece_of, logp)
+    return Vocabulary(pieces, byte_ids, edges, targets, piece_of, logp)
 
 
 @dataclass
@@ -94,7 +122,9 @@ class Lattices:
     arc_start: np.ndarray
     arc_piece: np.ndarray  # id, or -1 - (index into fallback) for a code point spelled in bytes
     arc_logp: np.ndarray
-    steps: np.ndarray  # state + cumulative probability of the arcs into it
+    head: np.ndarray  # first arc into a state
+    width: np.ndarray  # and their number
+    cumulative: np.ndarray  # probability of an arc and those before it into the same state
     fallback: list[bytes]
 
 
@@ -114,9 +144,8 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
         inside = unit[at + depth] == unit[at]
         at, node = at[inside], node[inside]
         key = node << 21 | points[at + depth]
-        i = np.minimum(np.searchsorted(v.edges, key), len(v.edges) - 1)
-        hit = v.edges[i] == key
-        at, node = at[hit], v.targets[i[hit]]
+        hit, node = follow(key, v)
+        at = at[hit]
         depth += 1
         piece = v.piece_of[node]
         whole = piece >= 0
@@ -134,11 +163,11 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
     piece = np.concatenate([*ids, -1 - back])
     logp = np.concatenate([v.logp[np.concatenate(ids)], spelled[back] if len(back) else np.empty(0)])
     # Forward sums, all units at once: arcs that end i code points into their unit, for i = 1, 2, ...
-    order = np.argsort(end, kind="stable")
+    order = np.argsort(end, kind="stable")  # runs that are sorted already, one a piece length
     start, end, piece, logp = start[order], end[order], piece[order], logp[order]
     place = end - first[np.searchsorted(first, end, side="right") - 1]
     alpha = np.zeros(len(points) + len(units))
-    by_place = np.argsort(place, kind="stable")
+    by_place = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
     cuts = np.flatnonzero(np.r_[True, place[by_place][1:] != place[by_place][:-1], True]) if len(by_place) else np.array([0])
     for a, b in zip(cuts[:-1], cuts[1:]):
         arcs = by_place[a:b]
@@ -153,9 +182,11 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
     heads = np.flatnonzero(np.r_[True, end[1:] != end[:-1]]) if len(end) else np.empty(0, np.int64)
     width = np.diff(np.r_[heads, len(end)])
     total = np.cumsum(p)
-    steps = end + np.minimum((total - np.repeat(total[heads] - p[heads], width)), 1)
-    steps[heads + width - 1] = end[heads + width - 1] + 1
-    return Lattices(first, last, start, piece, conditional, steps, fallback)
+    cumulative = total - np.repeat(total[heads] - p[heads], width)
+    cumulative[heads + width - 1] = 1
+    head, arcs_into = np.zeros(len(alpha), np.int64), np.zeros(len(alpha), np.int64)
+    head[end[heads]], arcs_into[end[heads]] = heads, width
+    return Lattices(first, last, start, piece, conditional, head, arcs_into, cumulative, fallback)
 
 
 class LatticeStore:
@@ -171,7 +202,10 @@ class LatticeStore:
         if len(self.found) > self.MOST:
             self.found, self.lat = {}, None
         found, had = self.found, len(self.found)
-        split = [[found.setdefault(u, len(found)) for u in UNIT.findall(SPACE + t.replace(" ", SPACE))] if t else [] for t in texts]
+        split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        for new in set().union(*split).difference(found):
+            found[new] = len(found)
+        split = [list(map(found.__getitem__, row)) for row in split]
         if len(found) > had:
             new = build_lattices(list(found)[had:], self.v)
             self.lat = new if self.lat is None else joined(self.lat, new)
@@ -182,7 +216,8 @@ def joined(a: Lattices, b: Lattices) -> Lattices:
     """The units of ``b`` after those of ``a``."""
     by = int(a.last[-1]) + 1
     piece = np.where(b.arc_piece < 0, b.arc_piece - len(a.fallback), b.arc_piece)
-    parts = (a.first, b.first + by), (a.last, b.last + by), (a.arc_start, b.arc_start + by), (a.arc_piece, piece), (a.arc_logp, b.arc_logp), (a.steps, b.steps + by)
+    parts = (a.first, b.first + by), (a.last, b.last + by), (a.arc_start, b.arc_start + by), (a.arc_piece, piece), (a.arc_logp, b.arc_logp)
+    parts += (a.head, b.head + len(a.arc_start)), (a.width, b.width), (a.cumulative, b.cumulative)
     return Lattices(*map(np.concatenate, parts), a.fallback + b.fallback)
 
 
@@ -206,7 +241,11 @@ def draw(units: np.ndarray, keys: np.ndarray, lat: Lattices) -> tuple[np.ndarray
     rows, arcs, step = [], [], 0
     while len(place):
         u = uniform(keys[place] + np.uint64(step * BRANCHING & MASK))
-        arc = np.searchsorted(lat.steps, np.minimum(at + u, np.nextafter(at + 1.0, 0.0)), side="right")
+        arc = lat.head[at]
+        more = np.flatnonzero(u >= lat.cumulative[arc])
+        while len(more):
+            arc[more] += 1
+            more = more[u[more] >= lat.cumulative[arc[more]]]
         rows.append(place)
         arcs.append(arc)
         logp[place] += lat.arc_logp[arc]
@@ -273,8 +312,9 @@ class Search:
         self.agenda: list[Branch] = []
         self.cut = -np.inf  # the best perturbed value that is not in the sample
 
-    def unit_keys(self, key: int, start: int) -> np.ndarray:
-        return mix64(np.arange(start, len(self.units), dtype=np.uint64) * np.uint64(2) ^ np.uint64(key))
+    def unit_keys(self, key: int, start: int, most: int | None = None) -> np.ndarray:
+        stop = len(self.units) if most is None else start + most
+        return mix64(np.arange(start, stop, dtype=np.uint64) * np.uint64(2) ^ np.uint64(key))
 
     def branch_off(self, start: int, taken: frozenset, taken_p: float) -> None:
         """Put the best branches of the newest path, from unit ``start`` on, on the agenda.
@@ -284,17 +324,25 @@ class Search:
         """
         path, p = self.paths[-1], len(self.paths) - 1
         before = np.concatenate([[0.0], np.cumsum(path.logp)[:-1]])[start:]
-        rest = -np.expm1(path.logp[start:])
-        rest[0] -= taken_p
-        rest[rest < 1e-12] = 0  # the only segmentation there is
-        u = uniform(self.unit_keys(path.key, start) ^ np.uint64(0x5BF03635))
-        with np.errstate(divide="ignore"):
-            value = truncated(before + np.log(rest), path.value, u)
+        # A branch's value exceeds its log mass by NOISE at most, so far along it cannot be among the best.
+        near = int(np.searchsorted(-before, 60.0, side="right"))
+        value, rest = self.branch_values(path, before[:near], start, taken_p)
+        if near < len(before) and (len(value) <= self.k or np.partition(value, -self.k - 1)[-self.k - 1] <= NOISE - 60.0):
+            value, rest = self.branch_values(path, before, start, taken_p)
         best = np.argpartition(-value, self.k)[: self.k + 1] if len(value) > self.k + 1 else np.arange(len(value))
         for m in best.tolist():
             if rest[m] > 0:
                 self.agenda.append(Branch(float(value[m]), p, start + m, *((taken, taken_p) if m == 0 else ())))
 
+    def branch_values(self, path: Path, before: np.ndarray, start: int, taken_p: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per unit from ``start`` on: the best perturbed value off the path, and the probability left there."""
+        rest = -np.expm1(path.logp[start : start + len(before)])
+        rest[0] -= taken_p
+        rest[rest < 1e-12] = 0  # the only segmentation there is
+        u = uniform(self.unit_keys(path.key, start, len(before)) ^ np.uint64(0x5BF03635))
+        with np.errstate(divide="ignore"):
+            return truncated(before + np.log(rest), path.value, u), rest
+
     def pop(self) -> Branch | None:
         if not self.agenda:
             return None
@@ -302,28 +350,29 @@ class Search:
         return self.agenda.pop(best)
 
 
-def other_choices(opened: list[tuple[Search, Branch, int]], lat: Lattices) -> list[tuple]:
-    """For each (search, branch, key) one of the unit's segmentations that no path holds at
-    this place, by their probability: (arcs, log-probability, choices now taken, their sum).
-    Drawn for all at once, and again for those that met a taken one."""
-    taken = []
-    for s, b, _ in opened:
-        old = s.paths[b.path]
-        taken.append((b.taken | {old.choice(b.unit)}, b.taken_p + float(np.exp(old.logp[b.unit]))))
-    result: list[tuple] = [()] * len(opened)
-    open_, tries = list(range(len(opened))), 0
-    while open_:
-        units = np.array([opened[i][0].units[opened[i][1].unit] for i in open_])
-        keys = np.array([one_hash(opened[i][2], opened[i][1].unit, tries) for i in open_], np.uint64)
-        arcs, counts, logp = draw(units, keys, lat)
-        still = []
-        for i, got, q in zip(open_, np.split(arcs, np.cumsum(counts)[:-1]), logp):
-            if tuple(got.tolist()) in taken[i][0]:
-                still.append(i)
-            else:
-                result[i] = (got, q, *taken[i])
-        open_, tries = still, tries + 1
-    return result
+def other_choice(unit: int, taken: frozenset, key: int, lat: Lattices) -> tuple[np.ndarray, float]:
+    """One of a unit's segmentations that is not ``taken``, by their probability: (arcs, log-probability).
+
+    Drawn from the end like any other, but while the draw runs along taken ones their
+    remaining probability is left out of each arc's.
+    """
+    at, first, along, got, logp = int(lat.last[unit]), int(lat.first[unit]), [t[::-1] for t in taken], [], 0.0
+    while at > first:
+        low = int(lat.head[at])
+        p = np.exp(lat.arc_logp[low : low + int(lat.width[at])])
+        for t in along:
+            i = t[len(got)] - low
+            p[i] = max(0.0, p[i] - np.exp(lat.arc_logp[list(t[len(got) :])].sum()))
+            if p[i] < 1e-14:
+                p[i] = 0.0
+        sums = p.cumsum()
+        u = (one_hash(key, len(got)) >> 11) * 2.0**-53 * sums[-1]
+        arc = low + int(np.searchsorted(sums, u, side="right"))
+        along = [t for t in along if t[len(got)] == arc]
+        got.append(arc)
+        logp += float(lat.arc_logp[arc])
+        at = int(lat.arc_start[arc])
+    return np.array(got[::-1], np.int64), logp
 
 
 def extend(jobs: list[tuple[Search, Path, int]], lat: Lattices) -> None:
@@ -360,16 +409,16 @@ def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore
             b = s.pop()
             if b is None:
                 continue
-            opened.append((s, b, one_hash(s.key, 3, turn)))
-        chosen = other_choices(opened, lat)
-        for (s, b, key), (arcs, logp, _, _) in zip(opened, chosen):
-            old = s.paths[b.path]
+            old, key = s.paths[b.path], one_hash(s.key, 3, turn)
+            taken, taken_p = b.taken | {old.choice(b.unit)}, b.taken_p + float(np.exp(old.logp[b.unit]))
+            arcs, logp = other_choice(int(s.units[b.unit]), taken, one_hash(key, b.unit), lat)
+            opened.append((s, b.unit, taken, taken_p))
             beginning = [old.arcs[: old.counts[: b.unit].sum()], arcs], [old.counts[: b.unit], [len(arcs)]], [old.logp[: b.unit], [logp]]
             jobs.append((s, Path(*map(np.concatenate, beginning), b.value, key), b.unit + 1))
         if jobs:
             extend(jobs, lat)
-        for (s, b, _), (_, _, taken, taken_p) in zip(opened, chosen):
-            s.branch_off(b.unit, taken, taken_p)
+        for s, unit, taken, taken_p in opened:
+            s.branch_off(unit, taken, taken_p)
     result = []
     for s in searches:
         if not len(s.units):

@@ -220,7 +220,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5, **options) -> DataFrame:
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` in a language the model knows with at least ``least_score``; columns unchanged."""
     model = fit(learning_rows(docs, id_col), id_col, text_col, lang_col, **options)
     marked = docs.withColumn("__language", predict(F.col(text_col), model))

@@ -11,6 +11,7 @@ from liftwise.llm.language_id import identify
 from liftwise.llm.mixing import mix
 from liftwise.llm.pieces import sample_segmentations
 from liftwise.llm.simhash import simhash_components
+from liftwise.llm.toxicity import toxicity
 from liftwise.llm.url_filter import judge_urls
 
 # The rules of the URL query: verdict, host, path.
@@ -35,6 +36,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sample_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample_segmentations(table(spark, sf_dir, "documents"))
     digest = F.xxhash64("ids").alias("ids_hash")
@@ -49,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op8_sample_pieces, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -11,6 +11,7 @@ from liftwise.llm.language_id import identify
 from liftwise.llm.mixing import mix
 from liftwise.llm.pieces import sample_segmentations
 from liftwise.llm.simhash import simhash_components
+from liftwise.llm.spot_signatures import compare_with_edited
 from liftwise.llm.toxicity import toxicity
 from liftwise.llm.url_filter import judge_urls
 
@@ -24,6 +25,10 @@ URL_RULES = (
 )
 
 
+def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_spot_signatures, op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

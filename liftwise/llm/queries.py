@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from liftwise.llm.common import table
 from liftwise.llm.exact_dedup import exact_dedup
 from liftwise.llm.language_id import identify
+from liftwise.llm.licenses import document_paths, scan_licenses
 from liftwise.llm.mixing import mix
 from liftwise.llm.pieces import sample_segmentations
 from liftwise.llm.simhash import simhash_components
@@ -29,6 +30,11 @@ def op1_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(document_paths(table(spark, sf_dir, "documents")))
+    return found.withColumn("doc_id", F.expr("try_cast(element_at(split(path, '/'), -1) AS BIGINT)"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -59,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_spot_signatures, op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_license_scan, op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

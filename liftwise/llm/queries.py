@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.llm.common import table
+from liftwise.llm.content_model import extract_pages, fit
 from liftwise.llm.exact_dedup import exact_dedup
+from liftwise.llm.labelled_pages import labelled_pages
 from liftwise.llm.language_id import identify
 from liftwise.llm.licenses import document_paths, scan_licenses
 from liftwise.llm.mixing import mix
@@ -43,6 +45,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"), fit(labelled_pages()))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -65,7 +71,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_license_scan, op3_language_id, op4_mix_sources, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_spot_signatures, op2_license_scan, op3_language_id, op4_mix_sources, op5_html_text, op6_exact_dedup, op7_toxicity, op8_sample_pieces, op9_simhash, op10_url_filter)}
 
 _OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,

@@ -43,7 +43,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Distinct (``src``, ``dst``) between different hosts, from the absolute links of each page."""
     linked = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), F.lit(1))).alias("to"))
-    dst = lower_ascii(F.regexp_replace("to", r"^[^@]*@", ""))
+    dst = lower_ascii(F.regexp_replace("to", r"^[^@]*@|:[0-9]*$", ""))
     return linked.select("src", dst.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 

@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from liftwise.llm import language_id as L
+from liftwise.llm.common import table
+from tests.llm.conftest import with_clashes
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    docs = table(spark, SF, "documents")
+    rows = L.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    assert len(rows) == docs.count()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_labels_of_held_out_rows_are_never_read(spark):
+    docs = table(spark, SF, "documents").limit(300)
+    hidden = docs.withColumn("lang", F.when(L.crc_fold(F.col("doc_id"), 3) == 1, F.lit("zz")).otherwise(F.col("lang")))
+    key = lambda df: sorted(map(tuple, L.identify(df).collect()))
+    assert key(docs) == key(hidden)
+
+
+def test_odd_texts(docs, no_docs):
+    rows = {r["doc_id"]: r for r in L.identify(with_clashes(docs)).collect()}
+    for i in (5, 6, 7, 12, 13):
+        assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+    assert rows[1]["lang_pred"] == "en"
+    assert L.identify(no_docs).count() == 0 and L.known_language(no_docs).count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in L.identify(unlabelled).collect()} == {"und"}
+    kept = L.known_language(docs)
+    assert kept.columns == docs.columns and not {5, 6, 7, 12, 13} & {r["doc_id"] for r in kept.collect()}
+
+
+def test_document_frequencies_by_brute_force(docs):
+    df, total = L.document_frequencies(docs, "text")
+    want = np.zeros(L.BUCKETS, int)
+    grams = [L.ngrams(r["text"])[0] for r in docs.collect()]
+    for g in grams:
+        want[g] += 1
+    assert (df == want).all() and total == sum(len(g) > 0 for g in grams)
+
+
+def test_ftrl_is_sparse_and_learns():
+    rng = random.Random(1)
+    xs, ys = [], []
+    for _ in range(600):
+        y = rng.randrange(3)
+        noise = rng.sample(range(100, 1100), 20)
+        xs.append((np.array([y * 10, y * 10 + 1, *sorted(noise), L.BUCKETS]), np.full(23, 0.2)))
+        ys.append(y)
+    w = L.ftrl(xs, np.array(ys), 3, 2, 0.5, 1.0, 0.3, 0.01)
+    assert np.mean([int((v @ w[f]).argmax()) == y for (f, v), y in zip(xs, ys)]) > 0.95
+    assert (w[1100 : L.BUCKETS] == 0).all() and (w[100:1100] == 0).mean() > 0.2
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(2)
+    logits = rng.normal(0, 2, (4000, 3))
+    p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    ys = np.array([rng.choice(3, p=q) for q in p])
+    assert L.best_temperature(logits * 3, ys) == pytest.approx(3, rel=0.15)

@@ -1,0 +1,120 @@
+from __future__ import annotations
+
+import itertools
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from public_tokenizers import path
+
+from liftwise.llm import pieces as P
+from tests.llm.conftest import with_clashes
+
+V = P.load_vocabulary()
+
+
+def every_segmentation(text: str) -> dict[tuple, float]:
+    """All ways to cut a text into pieces, with their probability in the lattice."""
+    marked = P.SPACE + text.replace(" ", P.SPACE)
+    by_piece = {p.decode(): i for i, p in enumerate(V.pieces) if p and i not in set(V.byte_ids.tolist())}
+    single = {c for c in marked if c in by_piece}
+    found = {}
+
+    def walk(at: int, ids: tuple, logp: float) -> None:
+        if at == len(marked):
+            found[ids] = logp
+            return
+        if marked[at] not in single:
+            spelled = [int(V.byte_ids[b]) for b in marked[at].encode()]
+            walk(at + 1, (*ids, *spelled), logp + float(V.logp[spelled].sum()))
+        for end in range(at + 1, min(len(marked), at + 16) + 1):
+            i = by_piece.get(marked[at:end])
+            if i is not None:
+                walk(end, (*ids, i), logp + float(V.logp[i]))
+
+    walk(0, (), 0.0)
+    total = sum(map(math.exp, found.values()))
+    return {k: math.exp(v) / total for k, v in found.items()}
+
+
+@pytest.mark.parametrize("text", ["hello wor", "a 中\nb", "the theme", "x", " ", "\n"])
+def test_probabilities_against_all_segmentations(text):
+    every = every_segmentation(text)
+    n = 4000
+    out = P.sample_block([text] * n, np.arange(n), 3, P.LatticeStore(V))
+    for rows in out:
+        assert len(rows) == min(3, len([p for p in every.values() if p > 1e-12]))
+        assert len({tuple(r[0].tolist()) for r in rows}) == len(rows)
+        for ids, logp, _, _ in rows:
+            assert math.exp(logp) == pytest.approx(every[tuple(ids.tolist())], rel=1e-6)
+    first = Counter(tuple(rows[0][0].tolist()) for rows in out)
+    for ids, p in every.items():
+        assert abs(first[ids] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-3
+
+
+def test_pairs_are_drawn_without_replacement():
+    every = every_segmentation("hello wor")
+    n = 6000
+    out = P.sample_block(["hello wor"] * n, np.arange(n) + 10**6, 2, P.LatticeStore(V))
+    pairs = Counter((tuple(a[0].tolist()), tuple(b[0].tolist())) for a, b in out)
+    top = sorted(every, key=every.get)[-3:]
+    for a, b in itertools.permutations(top, 2):
+        p = every[a] * every[b] / (1 - every[a])
+        assert abs(pairs[a, b] / n - p) < 5 * math.sqrt(p / n)
+    # Weights 1 / inclusion score make the sample unbiased (Horvitz-Thompson).
+    assert np.mean([sum(math.exp(r[1] - r[3]) for r in rows) for rows in out]) == pytest.approx(1, abs=0.05)
+
+
+def test_inclusion_scores_and_order():
+    for rows in P.sample_block(["some longer text to be cut up in many ways"] * 50, np.arange(50), 4, P.LatticeStore(V)):
+        values = [r[2] for r in rows]
+        assert values == sorted(values, reverse=True) and all(r[3] <= 0 for r in rows)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab hEé\n\t中🙂_.,0", max_size=40))
+def test_round_trip_and_agreement_with_the_library(text):
+    rows = P.sample_block([text], np.array([7]), 2, P.LatticeStore(V))[0]
+    library = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    for ids, *_ in rows:
+        assert P.decode(ids.tolist(), V.pieces) == text
+        assert library.decode(ids.tolist()) == text
+
+
+def test_rows_do_not_depend_on_their_neighbours():
+    texts = ["one text here", "another one", "", "one text here"]
+    keys = np.array([1, 2, 3, 4])
+    together = P.sample_block(texts, keys, 2, P.LatticeStore(V))
+    for i in range(4):
+        alone = P.sample_block(texts[i : i + 1], keys[i : i + 1], 2, P.LatticeStore(V))[0]
+        assert [(r[0].tolist(), r[2]) for r in alone] == [(r[0].tolist(), r[2]) for r in together[i]]
+
+
+def test_store_begins_anew_without_changing_results(monkeypatch):
+    texts = [f"word{i} other{i * 3} thing" for i in range(60)]
+    want = [P.sample_block([t], np.array([5]), 2, P.LatticeStore(V)) for t in texts]
+    monkeypatch.setattr(P.LatticeStore, "MOST", 20)
+    store = P.LatticeStore(V)
+    got = [P.sample_block([t], np.array([5]), 2, store) for t in texts]
+    flat = lambda x: [(r[0].tolist(), round(r[1], 6)) for rows in x for s in rows for r in s]
+    assert flat(got) == flat(want)
+
+
+def test_frame(docs, no_docs):
+    rows = P.sample_segmentations(with_clashes(docs), k=2).collect()
+    again = P.sample_segmentations(docs.repartition(5), k=2).collect()
+    key = lambda rs: Counter((r["doc_id"], r["sample"], tuple(r["ids"])) for r in rs)
+    assert key(rows) == key(again)
+    assert all(r["round_trip"] for r in rows)
+    assert {r["sample"] for r in rows if r["doc_id"] in (5, 6, 13)} == {0}
+    assert P.sample_segmentations(no_docs).count() == 0
+
+
+def test_very_long_unit():
+    text = "a" * 20_000 + " end"
+    rows = P.sample_block([text], np.array([1]), 2, P.LatticeStore(V))[0]
+    assert [P.decode(r[0].tolist(), V.pieces) == text for r in rows] == [True, True]

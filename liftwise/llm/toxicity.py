@@ -108,14 +108,19 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def sample(rows: DataFrame, per_label: int) -> pd.DataFrame:
-    """About ``per_label`` rows at most of either label as (order, text, toxic, weight), in the order of a hash of the id."""
-    n = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def sample(docs: DataFrame, marks: DataFrame, per_label: int) -> pd.DataFrame:
+    """About ``per_label`` rows at most of either label as (order, text, toxic, weight), in the order of a hash of the id.
+
+    The ids are chosen first; their bounded number is broadcast, so no text but theirs moves.
+    """
+    marked = docs.select("id").join(marks, "id")
+    n = {int(r["toxic"]): r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(1 << 31))
     rate = F.lit(0.0)
     for label, count in n.items():
         rate = F.when(F.col("toxic") == label, min(1.0, per_label / count)).otherwise(rate)
-    chosen = rows.filter(order < rate * (1 << 31)).select(order.alias("order"), "text", "toxic").toPandas()
+    ids = marked.filter(order < rate * (1 << 31)).select("id", "toxic").distinct()
+    chosen = docs.join(F.broadcast(ids), "id").select(order.alias("order"), "text", "toxic").toPandas()
     chosen = chosen.drop_duplicates(["text", "toxic"]).sort_values(["order", "text"], kind="stable").reset_index(drop=True)
     chosen["weight"] = [max(1.0, n[t] / per_label) for t in chosen["toxic"]]
     chosen.attrs["base"] = n.get(1, 0) / sum(n.values()) if n else 0.0
@@ -141,8 +146,8 @@ def fit(
     not seen, sets the hit threshold (one ordinary window in 1,000) and the document's score.
     """
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(marks, "id")
-    chosen = sample(rows, per_label)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chosen = sample(rows, marks, per_label)
     base = chosen.attrs["base"]
     held = np.arange(len(chosen)) % 5 == 4
     learn, check = chosen[~held], chosen[held]

@@ -28,7 +28,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 # Units: a run of Latin letters or of anything else, with the space marks before it, or one line
 # break.  No piece crosses from one unit to the next (load_vocabulary checks that).
 UNIT = re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}\n]+)|{SPACE}+|\n")
-BLOCK_CHARS = 3_000_000  # texts handled at once inside a task; bounds memory, not what is read
+BLOCK_CHARS = 1_000_000  # texts handled at once inside a task; bounds memory, not what is read
 SLOT_BITS = 19  # of the trie's hash table, about ten times its edges
 SLOTS = 1 << SLOT_BITS
 NOISE = 37.5  # above the Gumbel value of the largest number ``uniform`` gives
@@ -189,36 +189,54 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
     return Lattices(first, last, start, piece, conditional, head, arcs_into, cumulative, fallback)
 
 
+class Growing:
+    """An array that is appended to in place, with room to spare."""
+
+    def __init__(self) -> None:
+        self.room, self.size = np.empty(0, np.int32), 0
+
+    def append(self, new: np.ndarray) -> np.ndarray:
+        """All values so far, the new ones last."""
+        need = self.size + len(new)
+        if need > len(self.room) or self.room.dtype != new.dtype:
+            room = np.empty(max(need, len(self.room) * 3 // 2), new.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : need] = new
+        self.size = need
+        return self.room[:need]
+
+
 class LatticeStore:
     """The lattices of the units met so far in a task; begun anew when it has grown large."""
 
-    MOST = 150_000
+    MOST = 100_000
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.found, self.lat = v, {}, None
+        self.columns = [Growing() for _ in range(8)]
 
     def unit_ids(self, texts: list[str]) -> list[list[int]]:
         """The units of each text, as indices into ``lat``."""
         if len(self.found) > self.MOST:
             self.found, self.lat = {}, None
+            for c in self.columns:
+                c.size = 0
         found, had = self.found, len(self.found)
         split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        for new in set().union(*split).difference(found):
-            found[new] = len(found)
-        split = [list(map(found.__getitem__, row)) for row in split]
-        if len(found) > had:
-            new = build_lattices(list(found)[had:], self.v)
-            self.lat = new if self.lat is None else joined(self.lat, new)
-        return split
-
+        new = list(set().union(*split).difference(found))
+        if new:
+            found.update(zip(new, range(had, had + len(new))))
+            self.append(build_lattices(new, self.v))
+        return [list(map(found.__getitem__, row)) for row in split]
 
-def joined(a: Lattices, b: Lattices) -> Lattices:
-    """The units of ``b`` after those of ``a``."""
-    by = int(a.last[-1]) + 1
-    piece = np.where(b.arc_piece < 0, b.arc_piece - len(a.fallback), b.arc_piece)
-    parts = (a.first, b.first + by), (a.last, b.last + by), (a.arc_start, b.arc_start + by), (a.arc_piece, piece), (a.arc_logp, b.arc_logp)
-    parts += (a.head, b.head + len(a.arc_start)), (a.width, b.width), (a.cumulative, b.cumulative)
-    return Lattices(*map(np.concatenate, parts), a.fallback + b.fallback)
+    def append(self, b: Lattices) -> None:
+        """The units of ``b`` after those held."""
+        a = self.lat
+        states, arcs, odd = (int(a.last[-1]) + 1, len(a.arc_start), a.fallback) if a else (0, 0, [])
+        piece = np.where(b.arc_piece < 0, b.arc_piece - len(odd), b.arc_piece)
+        parts = b.first + states, b.last + states, b.arc_start + states, piece, b.arc_logp, b.head + arcs, b.width, b.cumulative
+        self.lat = Lattices(*(c.append(x if x.dtype == np.float64 else x.astype(np.int32)) for c, x in zip(self.columns, parts)), odd + b.fallback)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -235,13 +253,13 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 def draw(units: np.ndarray, keys: np.ndarray, lat: Lattices) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ancestral samples for many units at once: (arcs in text order, arcs per unit, log-probability)."""
-    at, place = lat.last[units], np.arange(len(units))
+    at, place = lat.last[units].astype(np.intp), np.arange(len(units))
     first = lat.first[units]
     counts, logp = np.zeros(len(units), np.int64), np.zeros(len(units))
     rows, arcs, step = [], [], 0
     while len(place):
         u = uniform(keys[place] + np.uint64(step * BRANCHING & MASK))
-        arc = lat.head[at]
+        arc = lat.head[at].astype(np.intp)
         more = np.flatnonzero(u >= lat.cumulative[arc])
         while len(more):
             arc[more] += 1
@@ -250,7 +268,7 @@ def draw(units: np.ndarray, keys: np.ndarray, lat: Lattices) -> tuple[np.ndarray
         arcs.append(arc)
         logp[place] += lat.arc_logp[arc]
         counts[place] += 1
-        at = lat.arc_start[arc]
+        at = lat.arc_start[arc].astype(np.intp)
         on = at > first[place]
         at, place, step = at[on], place[on], step + 1
     ends = np.cumsum(counts)
@@ -438,7 +456,7 @@ def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore
 
 def piece_ids(arcs: np.ndarray, lat: Lattices, v: Vocabulary) -> np.ndarray:
     """Vocabulary ids along a path; a code point without a piece becomes its bytes."""
-    ids = lat.arc_piece[arcs]
+    ids = lat.arc_piece[arcs].astype(np.int64)
     odd = np.flatnonzero(ids < 0)
     if len(odd):
         spelled = [v.byte_ids[list(lat.fallback[-1 - i])] for i in ids[odd].tolist()]

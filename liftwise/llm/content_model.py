@@ -25,7 +25,7 @@ TAGS = (
 ).split()
 # Words of class, id and role attributes, by what they tell.
 HINTS = {
-    "content": "article post entry content body story main text blog prose page",
+    "content": "article post entry content body story main text blog prose",
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs tags links skip",
     "advert": "ad ads adv advert advertisement adverts sponsor sponsored promo promotion banner dfp doubleclick",
     "side": "sidebar side aside related recommended rail widget trending popular complementary",

@@ -48,6 +48,11 @@ BODIES = (
     f"<p>{words(4)}.</p>",
     f"<p>{words(7)}</p>",
     paragraphs(12, 2, 5, 30, 8),
+    f"<p>{words(35)}</p><p>{words(16)}</p>",
+    f"<p>{words(150)}</p>",
+    f"<p>{words(2)}</p><p>{words(12)}</p>",
+    paragraphs(15) + f"<ul><li>{words(14)}.</li></ul>",
+    paragraphs(9) + f"<ol><li>{words(20)}.</li><li>{words(5)}</li></ol>" + paragraphs(11),
     paragraphs(14) + f"<pre>{words(20)}</pre><table><tr><td>{words(3)}</td><td>{words(2)}</td></tr></table>" + paragraphs(70),
     f'<p>{words(30)} <a href="/x">{words(3)}</a> {words(20)}.</p><figure><figcaption>{words(8)}.</figcaption></figure>' + paragraphs(45),
     f"<div>{words(50)}.</div><div>{words(6)}.</div>",
@@ -82,7 +87,7 @@ AFTER = (
 def labelled_pages() -> list[tuple[str, list[int] | None]]:
     """Pages that pair every way to write a part with several of the others (labels in ``data-y``)."""
     pages = []
-    for n in range(14 * len(ARTICLES)):
+    for n in range(len(BODIES) * len(ARTICLES)):
         article = ARTICLES[n % len(ARTICLES)](BODIES[(n * 5 + n // len(ARTICLES)) % len(BODIES)])
         before = BEFORE[(n * 7 + n // len(ARTICLES)) % len(BEFORE)]
         after = AFTER[(n * 5 + n // len(BEFORE)) % len(AFTER)]

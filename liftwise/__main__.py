@@ -3,10 +3,13 @@
     python -m liftwise load --dump dump.sql [--campaigns-csv f --products-csv f --stores-csv f]
                            [--fold-promo-case] --out PATH
     python -m liftwise check --tables PATH
-    python -m liftwise report NAME [NAME ...] --tables PATH [--shared-view] [--rows N]
-    python -m liftwise sql "SELECT ... FROM sales_summary ..." --tables PATH
+    python -m liftwise report NAME [NAME ...] --tables PATH [--shared-view PATH] [--out PATH | --rows N]
+    python -m liftwise sql "SELECT ... FROM sales_summary ..." --tables PATH [--out PATH | --rows N]
     python -m liftwise list
 
+Results are printed in full, or written in full as CSV under ``--out`` (one folder for each
+report); ``--rows`` prints only the first rows.
+
 Under spark-submit the platform's session is used; ``--local`` starts a local one.
 """
 
@@ -15,17 +18,17 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.operators.star import materialize_summary
 from liftwise.plans.reports import REPORTS
 from liftwise.plans.views import register_views
 from liftwise.schemas import normalise_promo_type
-from liftwise.session import local_session, scratch_dir
-from liftwise.sources.checks import check_keys, verify_keys
+from liftwise.session import local_session
+from liftwise.sources.checks import check_keys
 from liftwise.sources.csv import read_campaigns_csv, read_products_csv, read_stores_csv
-from liftwise.sources.parquet import read_tables, write_tables
+from liftwise.sources.parquet import mark_verified, read_tables, write_tables
 from liftwise.sources.sqldump import read_dump_tables
 from liftwise.tables import Tables
 
@@ -50,23 +53,36 @@ def _load(spark: SparkSession, args) -> None:
     print(f"wrote {args.out}")
 
 
+def _put(df: DataFrame, name: str, args) -> None:
+    """All rows of ``df``: to files, or as tab-separated lines, one row at a time."""
+    if args.out:
+        df.write.option("header", True).csv(f"{args.out}/{name}")
+        print(f"wrote {args.out}/{name}")
+        return
+    print("\t".join(df.columns))
+    shown = df.limit(args.rows) if args.rows is not None else df
+    for row in shown.toLocalIterator():
+        print("\t".join("NULL" if v is None else str(v) for v in row))
+
+
 def _check(spark: SparkSession, args) -> None:
-    check_keys(read_tables(spark, args.tables)).show(100, truncate=False)
+    _put(check_keys(read_tables(spark, args.tables)), "check", args)
+    mark_verified(spark, args.tables)
 
 
 def _report(spark: SparkSession, args) -> None:
-    t = verify_keys(read_tables(spark, args.tables))
+    t = read_tables(spark, args.tables)
     if args.shared_view:
-        t = materialize_summary(t, scratch_dir(spark, "liftwise-view"))
+        t = materialize_summary(t, args.shared_view)
     for name in args.names:
         print(f"== {name}")
-        REPORTS[name](t).show(args.rows, truncate=False)
+        _put(REPORTS[name](t), name, args)
 
 
 def _sql(spark: SparkSession, args) -> None:
-    register_views(spark, verify_keys(read_tables(spark, args.tables)))
-    for statement in args.statements:
-        spark.sql(statement).show(args.rows, truncate=False)
+    register_views(spark, read_tables(spark, args.tables))
+    for i, statement in enumerate(args.statements, 1):
+        _put(spark.sql(statement), f"sql{i}", args)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -86,17 +102,21 @@ def main(argv: list[str] | None = None) -> int:
 
     check = sub.add_parser("check", help="check declared keys and NOT NULL columns")
     check.add_argument("--tables", required=True)
+    check.add_argument("--out")
+    check.set_defaults(rows=None)
 
     report = sub.add_parser("report", help="run reports by name")
     report.add_argument("names", nargs="+", choices=sorted(REPORTS))
     report.add_argument("--tables", required=True)
-    report.add_argument("--shared-view", action="store_true", help="write the view's sums once and share them")
-    report.add_argument("--rows", type=int, default=50)
+    report.add_argument("--shared-view", metavar="PATH", help="write the view's sums once to PATH, on shared storage, and share them")
+    report.add_argument("--out", help="write each result in full to a folder under this one")
+    report.add_argument("--rows", type=int, help="print only so many rows")
 
     sql = sub.add_parser("sql", help="run SQL over fact_events, dim_* and sales_summary")
     sql.add_argument("statements", nargs="+")
     sql.add_argument("--tables", required=True)
-    sql.add_argument("--rows", type=int, default=50)
+    sql.add_argument("--out", help="write each result in full to a folder under this one")
+    sql.add_argument("--rows", type=int, help="print only so many rows")
 
     sub.add_parser("list", help="list the report names")
 

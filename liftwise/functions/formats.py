@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from liftwise.functions.metrics import MONEY, reuse_for_names
+from liftwise.functions.metrics import MONEY
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@reuse_for_names
 def millions(x: Column | str, digits: int = 2) -> Column:
     """round(x / 1,000,000, digits) in exact decimal (F7 + F3)."""
     return F.round(_col(x).cast(MONEY) / 1_000_000, digits).cast(MONEY)
@@ -27,13 +26,11 @@ def millions(x: Column | str, digits: int = 2) -> Column:
 MILLIONS_SUFFIX = "M"
 
 
-@reuse_for_names
 def money_text(x: Column | str, suffix: str = MILLIONS_SUFFIX) -> Column:
     """Money in millions as text with two places and a suffix (M10, T8): 12.30M."""
     return F.concat(millions(x).cast("decimal(18,2)").cast("string"), F.lit(suffix))
 
 
-@reuse_for_names
 def pct(num: Column | str, den: Column | str, scale: int = 0) -> Column:
     """round(num / den * 100, 2) as DOUBLE; NULL when den is 0 or NULL.
 
@@ -51,8 +48,31 @@ def pct(num: Column | str, den: Column | str, scale: int = 0) -> Column:
     return F.when(d != 0, signed.cast("double") / 100)
 
 
-@reuse_for_names
-def ratio(num: Column | str, den: Column | str) -> Column:
-    """num / den as DOUBLE, NULL when den is 0: an ordering key, not for display."""
-    d = _col(den).cast("double")
-    return F.when(d != 0, _col(num).cast("double") / d)
+# Base-10^9 digits behind the point that tell any two ratios of 28-digit numbers apart:
+# they differ by 10^-56 at least.
+RATIO_DIGITS = 7
+
+
+def exact_ratio(num: Column | str, den: Column | str, scale: int = 2) -> Column:
+    """num / den as an exact ordering key: its whole part and ``RATIO_DIGITS`` base-10^9 digits.
+
+    ``num`` and ``den`` hold at most ``scale`` decimal places.  Long division in whole
+    numbers (rounded down, so the key orders negative ratios too); equal ratios have equal
+    keys.  NULL when ``den`` is 0 or an input is NULL.
+    """
+    unit = 10**scale
+    n, d = ((_col(c) * unit).cast("decimal(38,0)") for c in (num, den))
+    n, d = F.when(d < 0, -n).otherwise(n), F.abs(d)
+    by = F.when(d != 0, d)  # a zero divisor gives NULL throughout
+    rest = (n % by + by) % by
+    digits = [((n - rest) / by).cast("decimal(38,0)").alias("d0")]
+    for i in range(1, RATIO_DIGITS + 1):
+        shifted = (rest * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)")
+        rest = shifted % by
+        digits.append(((shifted - rest) / by).cast("bigint").alias(f"d{i}"))
+    return F.when(by.isNotNull() & n.isNotNull(), F.struct(*digits))
+
+
+def leading_value(key: str) -> Column:
+    """The ratio cut after nine places, from an :func:`exact_ratio` column; never out of its order."""
+    return F.col(f"{key}.d0") + F.col(f"{key}.d1").cast("decimal(10,0)") * F.lit("0.000000001").cast("decimal(10,9)")

@@ -3,15 +3,14 @@
 Everything here is a built-in expression, so it stays inside whole-stage codegen.
 Money is exact: per row and in sums it is carried as whole cents in BIGINT (every
 promotion factor is a whole number of hundredths), and turned into DECIMAL(28,2) once
-per group.  BIGINT sums are fast in codegen, unlike DECIMAL(28,2) sum buffers, and
-hold 92 quadrillion currency units per group; beyond that ANSI mode raises
-ARITHMETIC_OVERFLOW rather than return a wrong sum.  Integer products are widened
-before multiplying for the same reason (T17).
+per group.  A sum is kept as two BIGINTs, of the cents' lower 20 bits and of the rest
+(:func:`sum_parts`): fast in codegen, unlike DECIMAL sum buffers, and a group may hold
+8 trillion rows and 10^24 cents before ANSI mode raises ARITHMETIC_OVERFLOW.  Integer
+products are widened before multiplying for the same reason (T17).
 """
 
 from __future__ import annotations
 
-import functools
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -39,25 +38,6 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def reuse_for_names(fn):
-    """Build an expression once per set of column names and reuse it.
-
-    Expressions over column names are unresolved and immutable, so one instance can
-    serve every query; this saves the Python-to-JVM calls of rebuilding them.
-    Calls with Column arguments are built afresh.
-    """
-    cached = functools.lru_cache(maxsize=256)(fn)
-
-    @functools.wraps(fn)
-    def wrapper(*args, **kwargs):
-        if all(isinstance(a, (str, int)) for a in (*args, *kwargs.values())):
-            return cached(*args, **kwargs)
-        return fn(*args, **kwargs)
-
-    return wrapper
-
-
-@reuse_for_names
 def adjusted_units_after(promo: Column | str, q_after: Column | str) -> Column:
     """M1: units after the promotion, a free unit counted for each BOGOF unit sold."""
     promo, q = _col(promo), _col(q_after).cast("bigint")
@@ -75,7 +55,6 @@ def _cents_per_unit(factor: Decimal) -> int:
     return int(cents)
 
 
-@reuse_for_names
 def net_revenue_after_cents(promo: Column | str, price: Column | str, q_after: Column | str) -> Column:
     """M2 in whole cents (BIGINT): every rule's factor is a whole number of hundredths."""
     promo, p, q = _col(promo), _col(price).cast("bigint"), _col(q_after).cast("bigint")
@@ -89,44 +68,50 @@ def net_revenue_after_cents(promo: Column | str, price: Column | str, q_after: C
     return out
 
 
-@reuse_for_names
 def revenue_before_cents(price: Column | str, q_before: Column | str) -> Column:
     """M3 in whole cents (BIGINT)."""
     return _col(price).cast("bigint") * _col(q_before) * 100
 
 
-@reuse_for_names
+# Sums of whole numbers in two BIGINT parts: the lower bits, never negative, and the rest.
+LOW_BITS = 20
+
+
+def sum_parts(name: str, whole: Column) -> dict[str, Column]:
+    """The two parts of a BIGINT row value, to be summed separately as ``name_hi`` and ``name_lo``."""
+    return {
+        f"{name}_hi": F.shiftright(whole, LOW_BITS),
+        f"{name}_lo": whole.bitwiseAND(F.lit((1 << LOW_BITS) - 1)),
+    }
+
+
+def whole_sum(name: str) -> Column:
+    """The sum whose parts are ``name_hi`` and ``name_lo``, as an exact DECIMAL(38,0)."""
+    high = F.col(f"{name}_hi").cast("decimal(24,0)") * F.lit(1 << LOW_BITS).cast("decimal(8,0)")
+    return (high + F.col(f"{name}_lo").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def cents_to_money(cents: Column | str, money: T.DecimalType = MONEY) -> Column:
     """Whole cents to an exact decimal with two places."""
     return (_col(cents).cast("decimal(38,0)") / 100).cast(money)
 
 
-@reuse_for_names
-def cents_difference_to_money(a: str, b: str, money: T.DecimalType = MONEY) -> Column:
-    """``a - b``, both whole cents, as an exact decimal with two places."""
-    return cents_to_money(F.col(a) - F.col(b), money)
-
-
-@reuse_for_names
 def net_revenue_after(promo: Column | str, price: Column | str, q_after: Column | str) -> Column:
     """M2: revenue after the promotion at the discounted price, exact to the cent."""
     return cents_to_money(net_revenue_after_cents(promo, price, q_after), ROW_MONEY)
 
 
-@reuse_for_names
 def revenue_before(price: Column | str, q_before: Column | str) -> Column:
     """M3: revenue before the promotion at the base price."""
     return cents_to_money(revenue_before_cents(price, q_before), ROW_MONEY)
 
 
-@reuse_for_names
 def gross_revenue_delta(price: Column | str, q_before: Column | str, q_after: Column | str) -> Column:
     """Row part of M8: base price times units after minus base price times units before."""
     p = _col(price).cast("bigint")
     return p * _col(q_after) - p * _col(q_before)
 
 
-@reuse_for_names
 def units_delta(q_before: Column | str, q_after: Column | str) -> Column:
     """Row part of M9: units after minus units before, not adjusted for BOGOF."""
     return _col(q_after).cast("bigint") - _col(q_before)

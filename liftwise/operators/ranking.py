@@ -10,17 +10,15 @@ None of these sends an unbounded set of rows to one task:
 * :func:`top_bottom_k` finds the k-th highest and k-th lowest distinct value as two
   scalar subqueries (each a distinct + TakeOrderedAndProject) and filters on them,
   instead of two unpartitioned dense ranks, which would sort everything in one task.
-* :func:`rank_by` without a partition is a global window and belongs only on small,
-  already aggregated inputs (categories, cities) or after a top-N cut.
-  :func:`global_rank` computes the same ranks for inputs of any size: distinct
-  values are cut into buckets at approximate quantiles, a bucket's offset is the
-  number of rows in the buckets before it, and ranks are finished inside buckets.
+* :func:`global_rank` ranks all rows without a global window: rows are cut into ranges
+  at approximate quantiles, ranked inside their range, and moved up by the number of
+  rows in the ranges before.  :func:`rank_by` without a partition is for the few rows
+  that a top-N cut has left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,56 +102,39 @@ def top_bottom_k_window(df: DataFrame, value: str, k: int) -> DataFrame:
     return ranked.filter((F.col("_top") <= k) | (F.col("_bottom") <= k)).drop("_top", "_bottom")
 
 
-# A global window ranks at most this many rows in its one task; beyond, global_rank.
-GLOBAL_WINDOW_MAX_ROWS = 1_000_000
-
-
-def choose_global_rank(group_bound: int | None) -> bool:
-    """Use :func:`global_rank` when the groups to rank may exceed one task's share."""
-    return group_bound is not None and group_bound > GLOBAL_WINDOW_MAX_ROWS
-
-
 def global_rank(
     df: DataFrame,
     value: str,
     name: str = "rank",
     descending: bool = True,
     dense: bool = False,
-    buckets: int = 64,
-    relative_error: float = 0.01,
+    spread: Column | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """``df`` with RANK (or DENSE_RANK) over one value column, computed without one task.
+    """``df`` with RANK (or DENSE_RANK) over one column, without sending all rows to one task.
 
     Equal to ``rank() over (order by value desc nulls last)`` (ascending: nulls
-    first), with NULLs tied.  Steps: rows are counted per distinct value; the
-    distinct values are cut into at most ``buckets`` ranges at approximate
-    quantiles (the boundaries are a bounded list of numbers, and equal values always
-    share a range); the rows (or distinct values, for DENSE_RANK) before each range
-    are summed over at most ``buckets`` rows and broadcast; each range finishes its
-    ranks in its own window partition; the ranks are joined back on the value.  The
-    quantiles only balance the ranges, they do not affect the result.
+    first), with NULLs tied.  ``spread`` is a number that never falls as ``value``
+    rises and is equal for equal values (default: the value itself); its approximate
+    quantiles, one row of a subquery, cut the rows into ``ranges`` (default: twice the
+    shuffle partitions).  The rows, or distinct values, of the ranges before are summed over
+    those few ranges and broadcast; ranks are finished inside each range.  The quantiles
+    only balance the ranges, they do not affect the result.  Nothing runs before the query does.
     """
-    v = F.col(value)
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(counts.where(v.isNotNull()).approxQuantile(value, probs, relative_error)))
-    before = (lambda b: v < F.lit(b)) if descending else (lambda b: v > F.lit(b))
-    ranges = [F.when(before(b), 1).otherwise(0) for b in bounds]
-    position = reduce(lambda a, b: a + b, ranges) if ranges else F.lit(0)
-    null_range = len(bounds) + 1 if descending else -1
-    keyed = counts.withColumn("_range", F.when(v.isNull(), F.lit(null_range)).otherwise(position))
-
-    unit = F.lit(1) if dense else F.col("_n")
-    preceding = (Window.unboundedPreceding, -1)
-    sizes = keyed.groupBy("_range").agg(F.sum(unit).alias("_size"))
-    offsets = sizes.select(
-        "_range",
-        F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(*preceding)), F.lit(0)).alias("_offset"),
-    )
+    spark = df.sparkSession
+    ranges = ranges or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    v, s = F.col(value), F.col(value) if spread is None else spread
+    probs = [i / ranges for i in range(1, ranges)]
+    cuts = df.agg(F.percentile_approx(s, probs, 10000).alias("cuts")).scalar()
+    beyond = (lambda c: c > s) if descending else (lambda c: c < s)
+    place = F.coalesce(F.size(F.filter("_cuts", beyond)), F.lit(0))
+    keyed = df.withColumn("_cuts", cuts).withColumn("_range", F.when(v.isNull(), F.lit(ranges if descending else -1)).otherwise(place)).drop("_cuts")
+
+    unit = F.count_distinct(F.struct(value)) if dense else F.count(F.lit(1))
+    sizes = keyed.groupBy("_range").agg(unit.alias("_size"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     order = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(*preceding)
-    local = keyed.withColumn("_local", F.coalesce(F.sum(unit).over(inside), F.lit(0)))
-    ranks = local.join(F.broadcast(offsets), "_range").select(
-        v.alias("_value"), (F.col("_offset") + F.col("_local") + 1).cast("bigint").alias(name)
-    )
-    return df.join(ranks, df[value].eqNullSafe(ranks["_value"]), "inner").drop("_value")
+    inside = _RANKERS["dense_rank" if dense else "rank"]().over(Window.partitionBy("_range").orderBy(order))
+    ranked = keyed.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
+    return ranked.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_range", "_inside", "_offset")

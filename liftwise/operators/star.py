@@ -2,26 +2,27 @@
 
 Design for scale:
 
-* Dimensions are broadcast only after their row count has been checked against a
-  bound (:func:`broadcast_small_dims`); a dimension above it is joined with a
-  shuffle, and AQE's skew-join handling splits a hot key.
+* Dimensions are broadcast only after their size in bytes has been checked against a
+  bound (:func:`broadcast_small_dims`).  Before a join with a dimension above it, the
+  fact is grouped by the foreign keys of the joined dimensions: the partial aggregate
+  flattens hot keys, and the shuffle moves sums instead of facts.
 * Reports do not read the five-key view and then group it again.  All metrics are
   sums, so :func:`summarise` goes from the joined fact straight to the report's own
   grain: the partial aggregate before the shuffle then emits one row per report
   group per task instead of one per view group.
-* ``eager=True`` groups the fact by its own keys before joining, for facts with many
-  rows per (store, campaign, product, promotion).
+* ``eager=True`` groups by the joined keys first whatever the dimensions' size; reports
+  whose grain is a foreign key always do.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from liftwise.functions import metrics as M
 from liftwise.tables import Tables
@@ -29,47 +30,45 @@ from liftwise.tables import Tables
 DIM_KEYS = {"stores": "store_id", "campaigns": "campaign_id", "products": "product_code"}
 ALL_DIMS = ("stores", "campaigns", "products")
 VIEW_KEYS = ("campaign_name", "city", "product_name", "category", "promo_type")
-FACT_KEYS = ("store_id", "campaign_id", "product_code", "promo_type")
 
-# Broadcast a dimension only up to this many rows (about 50 MB of keys and names).
-DEFAULT_BROADCAST_MAX_ROWS = 1_000_000
+# Broadcast a dimension only up to this many bytes of values.
+DEFAULT_BROADCAST_MAX_BYTES = 64 << 20
 
-# Automatic eager aggregation needs at least this many fact rows per key.
-EAGER_MIN_ROWS_PER_KEY = 8.0
 
+def sizes_in_bytes(frames: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Bytes of each frame's values (text as UTF-8, 8 bytes for any other), all in one job."""
+    parts = []
+    for name, df in frames.items():
+        texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if isinstance(f.dataType, StringType)]
+        width = reduce(lambda a, b: a + b, texts, F.lit(8 * len(df.columns))).cast("bigint")
+        parts.append(df.agg(F.lit(name).alias("frame"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")))
+    return {r["frame"]: r["bytes"] for r in reduce(DataFrame.unionByName, parts).collect()}
 
-def row_counts(frames: Mapping[str, DataFrame]) -> dict[str, int]:
-    """Row count of each frame, all in one job (a partial count per task, then a sum)."""
-    parts = [df.select(F.lit(name).alias("_frame")) for name, df in frames.items()]
-    union = reduce(DataFrame.unionByName, parts)
-    found = {r["_frame"]: r["count"] for r in union.groupBy("_frame").count().collect()}
-    return {name: found.get(name, 0) for name in frames}
 
-
-def sized_broadcast(df: DataFrame, rows: int, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast when ``rows`` (a counted size) is at most ``max_rows``, else leave a shuffle join."""
-    return F.broadcast(df) if rows <= max_rows else df
+def sized_broadcast(df: DataFrame, size: int, max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> DataFrame:
+    """Hint a broadcast when ``size`` (measured bytes) is at most ``max_bytes``, else leave a shuffle join."""
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def broadcast_small_dims(
-    t: Tables, max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, counts: Mapping[str, int] | None = None
+    t: Tables, max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES, sizes: Mapping[str, int] | None = None
 ) -> Tables:
-    """Broadcast each dimension whose counted row count is within ``max_rows``.
+    """Broadcast each dimension whose measured size is within ``max_bytes``.
 
-    The count is a separate small job over the dimensions; it is what makes the
-    broadcast safe when a dimension grows with the data.  ``counts`` may carry
-    counts that are already known.
+    The measurement is a separate small job over the dimensions; it is what makes the
+    broadcast safe when a dimension grows with the data, in rows or in width.  ``sizes``
+    may carry sizes that are already known.
     """
-    known = dict(counts or {})
+    known = dict(sizes or {})
     missing = {d: getattr(t, d) for d in ALL_DIMS if d not in known}
     if missing:
-        known.update(row_counts(missing))
+        known.update(sizes_in_bytes(missing))
     return replace(
         t,
-        stores=sized_broadcast(t.stores, known["stores"], max_rows),
-        campaigns=sized_broadcast(t.campaigns, known["campaigns"], max_rows),
-        products=sized_broadcast(t.products, known["products"], max_rows),
-        shuffled_dims=frozenset(d for d in ALL_DIMS if known[d] > max_rows),
+        stores=sized_broadcast(t.stores, known["stores"], max_bytes),
+        campaigns=sized_broadcast(t.campaigns, known["campaigns"], max_bytes),
+        products=sized_broadcast(t.products, known["products"], max_bytes),
+        shuffled_dims=frozenset(d for d in ALL_DIMS if known[d] > max_bytes),
     )
 
 
@@ -85,27 +84,23 @@ def star_join(t: Tables, dims: Sequence[str] = ALL_DIMS, fact: DataFrame | None
     return out
 
 
-@functools.cache
-def _net_measures() -> tuple:
-    return tuple(
-        {
-            "quantity_sold_before_promo": F.col("quantity_sold_before_promo").cast("bigint"),
-            "quantity_sold_after_promo": M.adjusted_units_after("promo_type", "quantity_sold_after_promo"),
-            "revenue_before_cents": M.revenue_before_cents("base_price", "quantity_sold_before_promo"),
-            "revenue_after_cents": M.net_revenue_after_cents("promo_type", "base_price", "quantity_sold_after_promo"),
-        }.items()
-    )
-
-
 def net_measures() -> dict[str, Column]:
-    """Row-level inputs of the view's sums (M1-M3)."""
-    return dict(_net_measures())
+    """Row-level inputs of the view's sums (M1-M3); money in two parts each."""
+    before = M.revenue_before_cents("base_price", "quantity_sold_before_promo")
+    after = M.net_revenue_after_cents("promo_type", "base_price", "quantity_sold_after_promo")
+    return {
+        "quantity_sold_before_promo": F.col("quantity_sold_before_promo").cast("bigint"),
+        "quantity_sold_after_promo": M.adjusted_units_after("promo_type", "quantity_sold_after_promo"),
+        **M.sum_parts("revenue_before", before),
+        **M.sum_parts("revenue_after", after),
+    }
 
 
 def gross_measures() -> dict[str, Column]:
     """Row-level inputs of the undiscounted sums (M8, M9)."""
+    gross = M.gross_revenue_delta("base_price", "quantity_sold_before_promo", "quantity_sold_after_promo")
     return {
-        "gross_ir": M.gross_revenue_delta("base_price", "quantity_sold_before_promo", "quantity_sold_after_promo"),
+        **M.sum_parts("gross_ir", gross),
         "raw_isu": M.units_delta("quantity_sold_before_promo", "quantity_sold_after_promo"),
     }
 
@@ -129,16 +124,6 @@ def needed_dims(t: Tables, columns: Sequence[str], dims: Sequence[str] = ALL_DIM
     return out
 
 
-def choose_eager(t: Tables, dims: Sequence[str]) -> bool:
-    """Eager aggregation pays when a join shuffles the fact and the fact repeats its keys.
-
-    With broadcast dimensions the joins cost no shuffle, and grouping first would add
-    one; with a shuffled dimension, grouping first shrinks what that join moves.
-    """
-    repeats = t.rows_per_key is not None and t.rows_per_key >= EAGER_MIN_ROWS_PER_KEY
-    return repeats and any(d in t.shuffled_dims for d in dims)
-
-
 def rollup(
     t: Tables,
     by: Sequence[str],
@@ -154,19 +139,20 @@ def rollup(
     from there to the fact's partition folders.  When ``t.keys_verified``, only the
     dimensions that provide a column of ``by`` or ``where`` are joined: the others
     would match each fact exactly once.  With ``eager`` the fact is first grouped by
-    its foreign keys and promotion type (sums are additive, so the result is the same);
-    ``eager=None`` decides by :func:`choose_eager`.
+    the foreign keys of the joined dimensions and the fact columns in use (sums are
+    additive, so the result is the same); ``eager=None`` does so where a joined
+    dimension is not broadcast.
     """
     where = dict(where or {})
     if t.keys_verified:
         dims = needed_dims(t, [*by, *where], dims)
     if eager is None:
-        eager = choose_eager(t, dims)
+        eager = any(d in t.shuffled_dims for d in dims)
     fact = t.fact
     if eager:
-        fact_keys = [k for k in FACT_KEYS if k in fact.columns]
-        needed = [k for k in [*by, *where] if k in fact.columns and k not in fact_keys]
-        fact = fact.groupBy(*fact_keys, *needed).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
+        keys = [DIM_KEYS[d] for d in dims]
+        own = [k for k in dict.fromkeys([*by, *where]) if k in fact.columns and k not in keys]
+        fact = fact.groupBy(*keys, *own).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
         summed = {n: F.col(n) for n in measures}
     else:
         summed = dict(measures)
@@ -207,10 +193,10 @@ def summarise(
         *by,
         "quantity_sold_before_promo",
         "quantity_sold_after_promo",
-        M.cents_to_money("revenue_before_cents").alias("revenue_before_promo"),
-        M.cents_to_money("revenue_after_cents").alias("revenue_after_promo"),
+        M.cents_to_money(M.whole_sum("revenue_before")).alias("revenue_before_promo"),
+        M.cents_to_money(M.whole_sum("revenue_after")).alias("revenue_after_promo"),
         (F.col("quantity_sold_after_promo") - F.col("quantity_sold_before_promo")).alias("ISU"),
-        M.cents_difference_to_money("revenue_after_cents", "revenue_before_cents").alias("IR"),
+        M.cents_to_money(M.whole_sum("revenue_after") - M.whole_sum("revenue_before")).alias("IR"),
     )
 
 
@@ -220,14 +206,15 @@ def sales_summary(t: Tables, eager: bool | None = None) -> DataFrame:
 
 
 def materialize_summary(t: Tables, path: str, spark: SparkSession | None = None) -> Tables:
-    """Write the view's sums once (Parquet under ``path``, by campaign) and let reports share them.
+    """Write the view's sums once (Parquet under ``path``) and let reports share them.
 
     The view has one row per campaign, city, product name, category and promotion,
     so its size is bounded by those dimensions, not by the fact.  Sums are kept in
-    whole units and cents, so every roll-up from it stays exact.  ``path`` is a
+    whole units and cents, so every roll-up from it stays exact.  Group values are
+    columns, not folder names, so '' and NULL stay apart.  ``path`` is a
     shared folder on a cluster (for example under ``spark.checkpoint.dir``).
     """
     base = rollup(t, VIEW_KEYS, net_measures())
-    base.write.mode("overwrite").partitionBy("campaign_name").parquet(path)
+    base.write.mode("overwrite").parquet(path)
     spark = spark or t.fact.sparkSession
     return t.with_summary(spark.read.schema(base.schema).parquet(path))

@@ -7,14 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
-from liftwise.operators.star import sales_summary, star_join
+from liftwise.operators.star import broadcast_small_dims, materialize_summary, sales_summary, star_join
 from liftwise.plans import reports as R
 from liftwise.plans.reports import REPORTS
+from liftwise.plans.views import register_views
+from liftwise.schemas import FACT, PRODUCTS, STORES
+from liftwise.session import scratch_dir
 from liftwise.sources.checks import check_keys, verify_keys
+from liftwise.sources.csv import read_products_csv, read_stores_csv
+from liftwise.sources.sqldump import parse_insert_lines
 from liftwise.tables import Tables
 
 FACT_COLUMNS = [
@@ -87,18 +92,18 @@ def promo_revenue_rows(t: Tables) -> DataFrame:
 
 
 def sales_summary_eager(t: Tables) -> DataFrame:
-    """V0 with the fact grouped by its own keys before the joins (eager aggregation)."""
+    """V0 with the fact grouped by the joined keys first, as for dimensions that are not broadcast."""
     return sales_summary(t, eager=True)
 
 
 def city_ir_rank_distributed(t: Tables) -> DataFrame:
-    """Q6 with the city rank from ``global_rank`` instead of one window."""
-    return R.city_ir_rank(t, distributed_rank=True)
+    """Q6 ranked in three ranges."""
+    return R.city_ir_rank(t, ranges=3)
 
 
 def category_isu_diwali_distributed(t: Tables) -> DataFrame:
-    """Q4a with the category rank from ``global_rank``."""
-    return R.category_isu(t, R.CAMPAIGN_Q4A, distributed_rank=True)
+    """Q4a ranked in three ranges."""
+    return R.category_isu(t, R.CAMPAIGN_Q4A, ranges=3)
 
 
 def campaign_revenue_keys_verified(t: Tables) -> DataFrame:
@@ -116,6 +121,126 @@ def category_ir_keys_verified(t: Tables) -> DataFrame:
     return R.category_ir(verify_keys(t))
 
 
+def _unhinted(t: Tables) -> Tables:
+    """``t`` as if every dimension were past the broadcast bound."""
+    return broadcast_small_dims(t, max_bytes=-1)
+
+
+def store_top_ir_shuffled(t: Tables) -> DataFrame:
+    """Q7 with a dimension past the broadcast bound."""
+    return R.store_top_ir(_unhinted(t))
+
+
+def campaign_top_products_shuffled(t: Tables) -> DataFrame:
+    """Q17 with dimensions past the broadcast bound."""
+    return R.campaign_top_products(_unhinted(t))
+
+
+def campaign_revenue_shared_view(t: Tables) -> DataFrame:
+    """Q3 from the view's sums, written once to the shared folder."""
+    return R.campaign_revenue(materialize_summary(t, scratch_dir(t.fact.sparkSession, "sales-summary")))
+
+
+def _placed(df: DataFrame, order: list) -> DataFrame:
+    """The rows with their place in the report's order, by which it can be checked."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+def store_count_by_city_order(t: Tables) -> DataFrame:
+    """O1."""
+    return _placed(R.store_count_by_city(t), [F.desc("total_stores"), F.asc("city")])
+
+
+def category_isu_order(t: Tables) -> DataFrame:
+    """O3."""
+    return _placed(R.category_isu_report(t), [F.desc("incremental_sold_units"), F.asc("category")])
+
+
+def promo_isu_order(t: Tables) -> DataFrame:
+    """O2."""
+    return _placed(R.promo_isu(t), [F.desc_nulls_last("ISU%"), F.asc_nulls_first("promo_type")])
+
+
+def promo_ir_isu_order(t: Tables) -> DataFrame:
+    """O4."""
+    return _placed(R.promo_ir_isu(t), [F.desc("IR"), F.desc("ISU"), F.asc_nulls_first("promo_type")])
+
+
+def category_ir_text_order(t: Tables) -> DataFrame:
+    """Q12 in the order of the formatted text."""
+    return _placed(R.category_ir(t, text_order=True), [F.desc("incremental_revenue"), F.asc("category")])
+
+
+def product_top_bottom_ir_text_order(t: Tables) -> DataFrame:
+    """Q14 in the order of the formatted text."""
+    return _placed(R.product_top_bottom_ir(t, text_order=True), [F.desc("IR"), F.asc("product_name"), F.asc("category")])
+
+
+def _quoted(c: str) -> Column:
+    text = F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
+
+
+def insert_lines(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """Rows of ``df`` as INSERT statements of a dump, one for each row."""
+    row = F.concat(F.lit(f"INSERT INTO `{table}` VALUES ("), F.concat_ws(",", *[_quoted(c) for c in columns]), F.lit(")"))
+    return df.select(row.alias("value"))
+
+
+def dump_rows(t: Tables) -> DataFrame:
+    """The fact through INSERT text and back."""
+    return parse_insert_lines(insert_lines(t.fact, "fact_events", FACT_COLUMNS), "fact_events", FACT)
+
+
+def dump_dimensions(t: Tables) -> DataFrame:
+    """Stores and products through INSERT text and back, as (table, key, a, b)."""
+    stores = parse_insert_lines(insert_lines(t.stores, "dim_stores", STORES.names), "dim_stores", STORES)
+    products = parse_insert_lines(insert_lines(t.products, "dim_products", PRODUCTS.names), "dim_products", PRODUCTS)
+    none = F.lit(None).cast("string")
+    return stores.select(F.lit("stores").alias("table"), F.col("store_id").alias("key"), F.col("city").alias("a"), none.alias("b")).unionByName(
+        products.select(F.lit("products").alias("table"), F.col("product_code").alias("key"), F.col("product_name").alias("a"), F.col("category").alias("b"))
+    )
+
+
+def csv_dimensions(t: Tables) -> DataFrame:
+    """Stores and products through CSV files on the shared folder and back."""
+    spark, path = t.fact.sparkSession, scratch_dir(t.fact.sparkSession, "csv-dimensions")
+    for name in ("stores", "products"):
+        getattr(t, name).write.option("header", True).csv(f"{path}/{name}")
+    none = F.lit(None).cast("string")
+    stores, products = read_stores_csv(spark, f"{path}/stores"), read_products_csv(spark, f"{path}/products")
+    return stores.select(F.lit("stores").alias("table"), F.col("store_id").alias("key"), F.col("city").alias("a"), none.alias("b")).unionByName(
+        products.select(F.lit("products").alias("table"), F.col("product_code").alias("key"), F.col("product_name").alias("a"), F.col("category").alias("b"))
+    )
+
+
+def _sql(statement: str) -> Callable[[Tables], DataFrame]:
+    """A report as SQL over the registered tables and view."""
+
+    def run(t: Tables) -> DataFrame:
+        register_views(t.fact.sparkSession, t)
+        return t.fact.sparkSession.sql(statement)
+
+    run.__name__ = "sql_report"
+    return run
+
+
+# Reports in SQL over the view, written for Spark: percentages by exact integer rounding are
+# the DataFrame reports' own, so these keep to sums, ranks and orders.
+SQL_REPORTS = {
+    "sql_campaign_units": """
+        SELECT campaign_name, SUM(quantity_sold_before_promo) AS units_before, SUM(ISU) AS ISU, SUM(IR) AS IR
+        FROM sales_summary GROUP BY campaign_name""",
+    "sql_city_rank": """
+        SELECT city, total AS incremental_revenue, RANK() OVER (ORDER BY total DESC) AS city_rank
+        FROM (SELECT city, SUM(IR) AS total FROM sales_summary GROUP BY city) ORDER BY city_rank, city""",
+    "sql_promo_ir": """
+        SELECT promo_type, SUM(IR) AS IR, SUM(ISU) AS ISU FROM sales_summary GROUP BY promo_type""",
+    "sql_store_units": """
+        SELECT s.store_id, s.city, SUM(f.`quantity_sold(after_promo)` - f.`quantity_sold(before_promo)`) AS units
+        FROM fact_events f JOIN dim_stores s ON f.store_id = s.store_id GROUP BY s.store_id, s.city""",
+}
+
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_fact": scan_fact,
     "check_keys": check_keys,
@@ -132,6 +257,20 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "campaign_revenue_keys_verified": campaign_revenue_keys_verified,
     "promo_isu_keys_verified": promo_isu_keys_verified,
     "category_ir_keys_verified": category_ir_keys_verified,
+    "store_top_ir_shuffled": store_top_ir_shuffled,
+    "campaign_top_products_shuffled": campaign_top_products_shuffled,
+    "campaign_revenue_shared_view": campaign_revenue_shared_view,
+    "product_ir_pct_rank": R.product_ir_pct_rank,
+    "store_count_by_city_order": store_count_by_city_order,
+    "promo_isu_order": promo_isu_order,
+    "category_isu_order": category_isu_order,
+    "promo_ir_isu_order": promo_ir_isu_order,
+    "category_ir_text_order": category_ir_text_order,
+    "product_top_bottom_ir_text_order": product_top_bottom_ir_text_order,
+    "dump_rows": dump_rows,
+    "dump_dimensions": dump_dimensions,
+    "csv_dimensions": csv_dimensions,
+    **{name: _sql(statement) for name, statement in SQL_REPORTS.items()},
 }
 
 CATALOG: dict[str, Callable[[Tables], DataFrame]] = {**OPERATORS, **REPORTS}

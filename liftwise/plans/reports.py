@@ -10,13 +10,14 @@ raw units: ``gross_ir``, ``raw_isu``).
 Choices where the original leaves the result open, or would fail on Spark:
 
 * ties under ``LIMIT`` are broken by the grouping keys (T11); Q5 first by the
-  unrounded ratio, so that ranks can be computed on the kept rows alone (T13);
+  unrounded ratio, compared exactly, so that ranks can be computed on the kept rows alone (T13);
 * reports sorted by formatted text (Q12, Q14) sort by the number; ``text_order=True``
   sorts by the text (T9);
 * a division by zero gives NULL (T7); money texts have two places, ``12.30M`` (T8);
 * Q13's after-promotion units are named ``quantity_sold_after_promo`` (T10);
-* the global ranks of Q4 and Q6 are a window for few groups and ``global_rank`` for
-  very many, as measured by ``verify_keys``.
+* the global ranks of Q4 and Q6 come from ``global_rank``, for any number of groups;
+* reports whose grain is a foreign key (Q7, Q8, Q16, Q17) sum the fact by key first and
+  join one row per key.
 """
 
 from __future__ import annotations
@@ -24,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.functions.formats import millions, money_text, pct, ratio
+from liftwise.functions.formats import exact_ratio, leading_value, millions, money_text, pct
+from liftwise.functions.metrics import whole_sum
 from liftwise.operators.ranking import (
-    choose_global_rank,
     global_rank,
-    rank_by,
     top_bottom_k,
     top_n,
     top_n_per_group,
@@ -56,7 +56,7 @@ PROMO_MONEY_SUFFIX = " M"
 def high_value_bogof(t: Tables, promo: str = HIGH_VALUE_PROMO, min_price: int = HIGH_VALUE_MIN_PRICE) -> DataFrame:
     """Q1: distinct product names and base prices sold under ``promo`` above ``min_price``."""
     fact = t.fact.filter((F.col("promo_type") == promo) & (F.col("base_price") > min_price))
-    joined = star_join(t, ["products"], fact.select("product_code", "base_price"))
+    joined = star_join(t, ["products"], fact.select("product_code", "base_price").distinct())
     return joined.select("product_name", "base_price").distinct()
 
 
@@ -78,24 +78,15 @@ def campaign_revenue(t: Tables) -> DataFrame:
     )
 
 
-def category_isu(t: Tables, campaign_name: str, distributed_rank: bool | None = None) -> DataFrame:
-    """Q4: units before and after, ISU% and its rank per category for one campaign.
-
-    The rank is a window over the categories, or :func:`~liftwise.operators.ranking.global_rank`
-    for very many groups: ``distributed_rank=None`` decides by the number of categories
-    that ``verify_keys`` measured.
-    """
-    if distributed_rank is None:
-        distributed_rank = choose_global_rank(t.attribute_count("category"))
+def category_isu(t: Tables, campaign_name: str, ranges: int | None = None) -> DataFrame:
+    """Q4: units before and after, ISU% and its rank per category for one campaign."""
     s = summarise(t, ["category"], where={"campaign_name": campaign_name}).select(
         "category",
         F.col("quantity_sold_before_promo").alias("quantity_before_promo"),
         F.col("quantity_sold_after_promo").alias("quantity_after_promo"),
         pct("ISU", "quantity_sold_before_promo").alias("ISU%"),
     )
-    if distributed_rank:
-        return global_rank(s, "ISU%", name="Ranking")
-    return rank_by(s, [F.desc_nulls_last("ISU%")], name="Ranking")
+    return global_rank(s, "ISU%", name="Ranking", ranges=ranges)
 
 
 def category_isu_diwali(t: Tables) -> DataFrame:
@@ -108,26 +99,29 @@ def category_isu_sankranti(t: Tables) -> DataFrame:
     return category_isu(t, CAMPAIGN_Q4B)
 
 
-def product_top_ir_pct(t: Tables, n: int = TOP_IR_PCT_PRODUCTS) -> DataFrame:
-    """Q5: the ``n`` products with the highest IR%, with their rank among all products."""
-    s = summarise(t, ["product_name", "category"]).select(
+def _product_ir_pct(t: Tables) -> DataFrame:
+    return summarise(t, ["product_name", "category"]).select(
         "product_name",
         "category",
         pct("IR", "revenue_before_promo", 2).alias("IR%"),
-        ratio("IR", "revenue_before_promo").alias("_ratio"),
+        exact_ratio("IR", "revenue_before_promo").alias("_ratio"),
     )
+
+
+def product_top_ir_pct(t: Tables, n: int = TOP_IR_PCT_PRODUCTS) -> DataFrame:
+    """Q5: the ``n`` products with the highest IR%, with their rank among all products."""
     order = [F.desc_nulls_last("IR%"), F.desc_nulls_last("_ratio"), F.asc("product_name"), F.asc("category")]
-    ranked = top_n_with_rank(s, n, order, [F.desc_nulls_last("_ratio")], name="ranking")
+    ranked = top_n_with_rank(_product_ir_pct(t), n, order, [F.desc_nulls_last("_ratio")], name="ranking")
     return ranked.orderBy(*order).drop("_ratio")
 
 
-def city_ir_rank(t: Tables, distributed_rank: bool | None = None) -> DataFrame:
-    """Q6: revenue before, after and net IR per city as text, ranked by IR.
+def product_ir_pct_rank(t: Tables) -> DataFrame:
+    """Q5 without the limit: every product's IR% and its rank by the exact ratio."""
+    return global_rank(_product_ir_pct(t), "_ratio", name="ranking", spread=leading_value("_ratio")).drop("_ratio")
 
-    ``distributed_rank`` as in :func:`category_isu`, by the number of cities.
-    """
-    if distributed_rank is None:
-        distributed_rank = choose_global_rank(t.attribute_count("city"))
+
+def city_ir_rank(t: Tables, ranges: int | None = None) -> DataFrame:
+    """Q6: revenue before, after and net IR per city as text, ranked by IR."""
     s = summarise(t, ["city"]).select(
         "city",
         money_text("revenue_before_promo").alias("revenue_before_promo"),
@@ -135,20 +129,17 @@ def city_ir_rank(t: Tables, distributed_rank: bool | None = None) -> DataFrame:
         money_text("IR").alias("incremental_revenue"),
         F.col("IR").alias("_ir"),
     )
-    if distributed_rank:
-        ranked = global_rank(s, "_ir", name="city_rank")
-    else:
-        ranked = rank_by(s, [F.desc("_ir")], name="city_rank")
+    ranked = global_rank(s, "_ir", name="city_rank", ranges=ranges)
     return ranked.orderBy(F.desc("_ir"), F.asc("city")).drop("_ir")
 
 
 def _store_rollup(t: Tables) -> DataFrame:
-    return rollup(t, ["store_id", "city"], gross_measures(), dims=["stores"])
+    return rollup(t, ["store_id", "city"], gross_measures(), dims=["stores"], eager=True)
 
 
 def store_top_ir(t: Tables, n: int = TOP_STORES) -> DataFrame:
     """Q7: the ``n`` stores with the highest gross IR, in millions."""
-    s = _store_rollup(t).select("store_id", "city", millions("gross_ir").alias("incremental_revenue_mln"))
+    s = _store_rollup(t).select("store_id", "city", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln"))
     return top_n(s, n, [F.desc("incremental_revenue_mln"), F.asc("store_id"), F.asc("city")])
 
 
@@ -245,18 +236,18 @@ def product_top_bottom_isu(t: Tables, k: int = TOP_BOTTOM_PRODUCTS) -> DataFrame
 
 def campaign_top_stores(t: Tables, k: int = TOP_STORES_PER_CAMPAIGN) -> DataFrame:
     """Q16: per campaign, the stores ranked ``k`` or better by gross IR in millions."""
-    g = rollup(t, ["campaign_name", "store_id", "city"], gross_measures(), dims=["campaigns", "stores"])
-    s = g.select("campaign_name", "store_id", "city", millions("gross_ir").alias("incremental_revenue_mln"))
+    g = rollup(t, ["campaign_name", "store_id", "city"], gross_measures(), dims=["campaigns", "stores"], eager=True)
+    s = g.select("campaign_name", "store_id", "city", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln"))
     return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="store_rank")
 
 
 def campaign_top_products(t: Tables, k: int = TOP_PRODUCTS_PER_CAMPAIGN) -> DataFrame:
     """Q17: per campaign, the products ranked ``k`` or better by gross IR in millions."""
     g = rollup(
-        t, ["campaign_name", "product_name", "category"], gross_measures(), dims=["campaigns", "products"]
+        t, ["campaign_name", "product_name", "category"], gross_measures(), dims=["campaigns", "products"], eager=True
     )
     s = g.select(
-        "campaign_name", "product_name", "category", millions("gross_ir").alias("incremental_revenue_mln")
+        "campaign_name", "product_name", "category", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln")
     )
     return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="product_rank")
 

@@ -6,6 +6,7 @@ that is already present, and the checkpoint folder is set only where none is nam
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -48,7 +49,9 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a fresh local folder only when none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; a fresh local folder only where none is set and
+    the session runs on this machine alone (tests).  On a cluster a machine's own folder
+    would be lost to the other machines, so an unset one is an error there."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         try:  # a classic session may name it on the context only
@@ -57,6 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             current = None
     if current:
         return current
+    master = spark.conf.get("spark.master", "")
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = tempfile.mkdtemp(prefix="liftwise-ckpt-")
     try:
         spark.sparkContext.setCheckpointDir(path)

@@ -7,11 +7,8 @@ constraints the original declares are checked here, one result row per check:
 * ``null``: number of NULLs in a column declared NOT NULL;
 * ``orphan``: number of fact rows whose key has no dimension row (a NULL key
   included); these are the rows the reports' inner joins drop;
-* ``profile`` (on request, not a violation): fact rows and approximate distinct
-  (store, campaign, product, promotion) keys, from the same pass.
-
-The fact is read once: it is left-joined with the distinct keys of each dimension
-(broadcast within a counted size) and one aggregate counts NULLs and misses together.
+The fact's keys are counted first (one narrow scan and a partial aggregate for each), so
+a NULL or hot key is one row by the time it meets its dimension.
 """
 
 from __future__ import annotations
@@ -22,7 +19,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.operators.star import FACT_KEYS, DEFAULT_BROADCAST_MAX_ROWS, row_counts, sized_broadcast
 from liftwise.schemas import CAMPAIGNS, FACT, FOREIGN_KEYS, PRIMARY_KEYS, PRODUCTS, STORES
 from liftwise.tables import Tables
 
@@ -49,15 +45,8 @@ def _rows(counts: DataFrame, table: str, names: dict[str, tuple[str, str]]) -> D
     )
 
 
-def check_keys(
-    t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS, profile: bool = False
-) -> DataFrame:
-    """One row per check: check_name, table_name, column_name, violations.
-
-    ``profile`` adds two ``profile`` rows measured in the same pass over the fact: its
-    row count and its approximate number of distinct (store, campaign, product,
-    promotion) keys.
-    """
+def check_keys(t: Tables) -> DataFrame:
+    """One row per check: check_name, table_name, column_name, violations."""
     parts = []
     for table, key in PRIMARY_KEYS.items():
         dup = getattr(t, table).groupBy(key).count().filter(F.col("count") > 1)
@@ -69,57 +58,23 @@ def check_keys(
                 F.count(F.lit(1)).cast("bigint").alias("violations"),
             )
         )
-    for table in DIMENSIONS:
+    for table in ("fact", *DIMENSIONS):
         df = getattr(t, table)
         cols = not_null_columns(table, df)
         nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
         parts.append(_rows(nulls, table, {f"n{i}": ("null", c) for i, c in enumerate(cols)}))
-
-    sizes = row_counts({dim: getattr(t, dim) for dim in FOREIGN_KEYS.values()})
-    fact = t.fact
-    for i, (key, dim) in enumerate(FOREIGN_KEYS.items()):
-        keys = getattr(t, dim).select(key).distinct().withColumn(f"_hit{i}", F.lit(True))
-        fact = fact.join(sized_broadcast(keys, sizes[dim], broadcast_max_rows), key, "left")
-    cols = not_null_columns("fact", t.fact)
-    keys = [c for c in FACT_KEYS if c in t.fact.columns]
-    stats = [F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64(*keys)).alias("keys")]
-    counts = fact.agg(
-        *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
-        *[F.count_if(F.col(f"_hit{i}").isNull()).alias(f"o{i}") for i in range(len(FOREIGN_KEYS))],
-        *(stats if profile else []),
-    )
-    names = {f"n{i}": ("null", c) for i, c in enumerate(cols)}
-    names.update({f"o{i}": ("orphan", k) for i, k in enumerate(FOREIGN_KEYS)})
-    if profile:
-        names.update({"rows": ("profile", "rows"), "keys": ("profile", "distinct_keys")})
-    parts.append(_rows(counts, "fact", names))
+    for key, dim in FOREIGN_KEYS.items():
+        held = t.fact.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+        missing = held.join(getattr(t, dim).select(key), key, "left_anti")
+        orphans = missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("o"))
+        parts.append(_rows(orphans, "fact", {"o": ("orphan", key)}))
     return reduce(DataFrame.unionByName, parts)
 
 
-def verify_keys(t: Tables, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS) -> Tables:
+def verify_keys(t: Tables) -> Tables:
     """``t`` marked ``keys_verified`` when no dimension key repeats and every fact finds its rows.
 
-    Only then may a query leave out a dimension it takes no column from.  The same
-    pass measures fact rows per key, for :func:`~liftwise.operators.star.choose_eager`.
+    Only then may a query leave out a dimension it takes no column from.
     """
-    rows = check_keys(t, broadcast_max_rows, profile=True).collect()
-    bad = sum(r.violations for r in rows if r.check_name in ("duplicate_key", "orphan"))
-    profile = {r.column_name: r.violations for r in rows if r.check_name == "profile"}
-    per_key = profile["rows"] / profile["distinct_keys"] if profile.get("distinct_keys") else None
-    return replace(t, keys_verified=bad == 0, rows_per_key=per_key, attribute_counts=attribute_counts(t))
-
-
-# Dimension attributes that reports rank by: attribute -> dimension.
-RANKED_ATTRIBUTES = {"city": "stores", "category": "products"}
-
-
-def attribute_counts(t: Tables) -> tuple:
-    """Approximate distinct values of each ranked attribute, from the dimensions, in one job."""
-    parts = [
-        getattr(t, dim).agg(F.lit(attr).alias("attribute"), F.approx_count_distinct(attr).alias("n"))
-        for attr, dim in RANKED_ATTRIBUTES.items()
-        if attr in getattr(t, dim).columns
-    ]
-    if not parts:
-        return ()
-    return tuple((r.attribute, r.n) for r in reduce(DataFrame.unionByName, parts).collect())
+    bad = check_keys(t).filter(F.col("check_name").isin("duplicate_key", "orphan")).agg(F.sum("violations")).first()[0]
+    return replace(t, keys_verified=bad == 0)

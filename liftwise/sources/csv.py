@@ -1,6 +1,7 @@
 """Dimension tables from CSV files with a header line.
 
-Schemas are given, never inferred.  Campaign dates are day-first (``dd-MM-yyyy``) in
+Schemas are given, never inferred, and the header line must name their columns in order
+(``enforceSchema=false``).  Campaign dates are day-first (``dd-MM-yyyy``) in
 these files (T18).  ``mode='FAILFAST'`` makes a malformed line an error instead of a
 row of NULLs.
 """
@@ -17,7 +18,7 @@ CAMPAIGN_DATE_FORMAT = "dd-MM-yyyy"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "FAILFAST", **options) -> DataFrame:
-    reader = spark.read.schema(schema).option("header", True).option("mode", mode)
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", mode)
     for key, value in options.items():
         reader = reader.option(key, value)
     return reader.csv(path)

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, broadcast_small_dims, row_counts, sized_broadcast
+from liftwise.operators.star import DEFAULT_BROADCAST_MAX_BYTES, broadcast_small_dims, sized_broadcast, sizes_in_bytes
 from liftwise.tables import Tables
 
 # The two campaigns of the analysed data set.
@@ -69,12 +69,12 @@ def campaigns_frame(spark: SparkSession) -> DataFrame:
 
 
 def from_testdata(
-    spark: SparkSession, sf_dir: str, broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS
+    spark: SparkSession, sf_dir: str, broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES
 ) -> Tables:
     """Fact, stores, campaigns and products from ``{sf_dir}/*.parquet``.
 
-    Nation, part and the derived stores are counted in one small job; each is
-    broadcast only within ``broadcast_max_rows``.  The campaigns are a fixed table of
+    Nation, part and the derived stores are measured in one small job; each is
+    broadcast only within ``broadcast_max_bytes``.  The campaigns are a fixed table of
     two rows and always broadcast.
     """
 
@@ -90,15 +90,16 @@ def from_testdata(
             F.col("s_suppkey").alias("store_id"), F.col("n_name").alias("city")
         )
 
-    counts = row_counts({"nation": nation, "part": part, "stores": stores_with(nation)})
-    stores = stores_with(sized_broadcast(nation, counts["nation"], broadcast_max_rows))
+    parts = part.select("p_partkey", "p_name", "p_type")
+    counts = sizes_in_bytes({"nation": nation, "part": parts, "stores": stores_with(nation)})
+    stores = stores_with(sized_broadcast(nation, counts["nation"], broadcast_max_bytes))
     products = part.select(
         F.col("p_partkey").alias("product_code"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
     )
 
-    sizes = sized_broadcast(part.select("p_partkey", "p_size"), counts["part"], broadcast_max_rows)
+    sizes = sized_broadcast(part.select("p_partkey", "p_size"), counts["part"], broadcast_max_bytes)
     line = read("lineitem")
     before = F.col("l_quantity").cast("int")
     shift = (F.col("l_partkey") * 7 + F.col("l_suppkey") * 3 + F.col("l_linenumber")) % AFTER_MODULUS
@@ -113,5 +114,5 @@ def from_testdata(
         F.greatest(F.lit(0), before + shift - AFTER_OFFSET).cast("int").alias("quantity_sold_after_promo"),
     )
     tables = Tables(fact, stores, campaigns_frame(spark), products)
-    known = {"stores": counts["stores"], "products": counts["part"], "campaigns": len(CAMPAIGN_ROWS)}
-    return broadcast_small_dims(tables, broadcast_max_rows, known)
+    known = {"stores": counts["stores"], "products": counts["part"], "campaigns": 0}
+    return broadcast_small_dims(tables, broadcast_max_bytes, known)

@@ -12,9 +12,15 @@ the input was.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
 
-from liftwise.operators.star import DEFAULT_BROADCAST_MAX_ROWS, broadcast_small_dims
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from liftwise.operators.star import DEFAULT_BROADCAST_MAX_BYTES, broadcast_small_dims
+from liftwise.sources.checks import verify_keys
 from liftwise.tables import Tables
 
 DIMENSIONS = ("stores", "campaigns", "products")
@@ -22,33 +28,58 @@ DEFAULT_RECORDS_PER_FILE = 4_000_000
 
 
 def write_tables(t: Tables, path: str, records_per_file: int = DEFAULT_RECORDS_PER_FILE) -> None:
-    """Write fact and dimensions under ``path`` (a folder on shared storage on a cluster)."""
-    order = [c for c in ("campaign_id", "promo_type") if c in t.fact.columns]
-    (
-        t.fact.sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", records_per_file)
-        .partitionBy("campaign_id")
-        .parquet(f"{path}/fact")
-    )
+    """Write fact and dimensions as a new version under ``path`` (a folder on shared storage on a cluster).
+
+    A version is complete once its manifest names it, the last thing written: a load that
+    fails leaves the version before in use.  A folder name cannot tell an empty campaign id
+    from NULL, so an empty one is an error.
+    """
+    spark = t.fact.sparkSession
+    version = uuid.uuid4().hex
+    empty = F.col("campaign_id").cast("string") == ""
+    kept = F.when(empty, F.raise_error(F.lit("a fact has an empty campaign_id"))).otherwise(F.col("campaign_id"))
+    fact = t.fact.withColumn("campaign_id", kept)
+    order = [c for c in ("campaign_id", "promo_type") if c in fact.columns]
+    writer = fact.sortWithinPartitions(*order).write.option("maxRecordsPerFile", records_per_file)
+    writer.partitionBy("campaign_id").parquet(f"{path}/{version}/fact")
     for dim in DIMENSIONS:
-        getattr(t, dim).write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(
-            f"{path}/{dim}"
-        )
+        getattr(t, dim).write.option("maxRecordsPerFile", records_per_file).parquet(f"{path}/{version}/{dim}")
+    _manifest(spark, version, {n: getattr(t, n).schema for n in ("fact", *DIMENSIONS)}).write.mode("append").json(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, version: str, schemas: dict[str, StructType], verified: bool = False) -> DataFrame:
+    row = [F.lit(version).alias("version"), F.lit(verified).alias("keys_verified"), F.current_timestamp().alias("written")]
+    row += [F.lit(s.json()).alias(f"{n}_schema") for n, s in schemas.items()]
+    return spark.range(1).select(*row)
 
 
-def read_tables(
-    spark: SparkSession,
-    path: str,
-    fact_schema=None,
-    broadcast_max_rows: int = DEFAULT_BROADCAST_MAX_ROWS,
-) -> Tables:
-    """Read the tables written by :func:`write_tables`; small dimensions are broadcast.
+def read_tables(spark: SparkSession, path: str, broadcast_max_bytes: int = DEFAULT_BROADCAST_MAX_BYTES) -> Tables:
+    """Read the tables last written by :func:`write_tables`, with the schemas written beside them.
 
-    ``fact_schema`` fixes the type of the ``campaign_id`` folder names instead of
-    inferring it.
+    Small dimensions are broadcast; ``keys_verified`` holds if :func:`mark_verified` recorded
+    a clean check of this very version.
     """
-    reader = spark.read if fact_schema is None else spark.read.schema(fact_schema)
-    fact: DataFrame = reader.parquet(f"{path}/fact")
-    dims = {d: spark.read.parquet(f"{path}/{d}") for d in DIMENSIONS}
-    return broadcast_small_dims(Tables(fact=fact, **dims), broadcast_max_rows)
+    entry, schemas = _latest(spark, path)
+    frames = {n: spark.read.schema(s).parquet(f"{path}/{entry['version']}/{n}").select(s.names) for n, s in schemas.items()}
+    return broadcast_small_dims(Tables(**frames, keys_verified=entry["keys_verified"]), broadcast_max_bytes)
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[Row, dict[str, StructType]]:
+    lines = spark.read.schema("version string, keys_verified boolean, written timestamp, " + ", ".join(f"{n}_schema string" for n in ("fact", *DIMENSIONS)))
+    entries = lines.json(f"{path}/manifest")
+    entry = entries.orderBy(F.desc("written")).first()
+    if entry is None:
+        raise FileNotFoundError(f"no complete load under {path}")
+    return entry, {n: StructType.fromJson(json.loads(entry[f"{n}_schema"])) for n in ("fact", *DIMENSIONS)}
+
+
+def mark_verified(spark: SparkSession, path: str) -> Tables:
+    """Check the keys of the last load and, if they hold, record that beside the tables:
+    later reads need no further pass over the fact.  Returns the tables as checked."""
+    entry, schemas = _latest(spark, path)
+    t = read_tables(spark, path)
+    if not t.keys_verified:
+        t = verify_keys(t)
+        if t.keys_verified:
+            _manifest(spark, entry["version"], schemas, True).write.mode("append").json(f"{path}/manifest")
+    return t

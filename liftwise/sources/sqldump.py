@@ -1,44 +1,88 @@
-"""Rows of ``INSERT INTO `t` VALUES (...),(...);`` statements in a SQL dump.
-
-A Spark job, not a SQL interpreter: the dump is read as text lines (one task per file
-split, so a dump of many INSERT lines is read in parallel), the lines of the wanted
-table are kept, each value tuple is cut out with a regular expression that skips
-brackets inside quoted strings, and the tuple is parsed by ``from_csv`` with ``'`` as
-the quote, backslash as the escape and unquoted ``NULL`` as NULL.  Statements other
-than INSERT, and all other tables, are ignored.  A dump writes one INSERT per line
-of bounded length, so no single row holds more than one statement.
-
-Limits: a quoted string equal to ``NULL`` also reads as NULL; MySQL's hex and
-binary literals are not decoded.
+"""Rows of ``INSERT INTO t [(columns)] VALUES (...),(...);`` statements in a SQL dump.
+
+A Spark job, not a SQL interpreter: the dump is read in pieces that end with a semicolon
+at a line's end (many tasks for a large dump), the INSERT statements of the wanted table
+are cut out, and each value tuple is taken apart with regular expressions that skip
+brackets and commas inside quoted strings.  Upper or lower case, column lists, a schema
+name before the table, line breaks between tuples and several statements in one piece are
+all read.  Statements other than INSERT, and other tables, are ignored.
+
+Nothing of a wanted table is dropped: an INSERT that is not a list of value tuples (a
+SELECT, an ON DUPLICATE KEY clause, a cut tuple), a tuple of the wrong length and a value
+that is not of its column's type are errors.  A quoted 'NULL' is text, a bare NULL is NULL.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftwise.schemas import CAMPAIGNS, FACT, PRODUCTS, STORES
+from liftwise.schemas import CAMPAIGNS, FACT, LEGACY_COLUMN_NAMES, PRODUCTS, STORES
+
+QUOTED = r"'(?:[^'\\]|\\.|'')*'"
+# One value tuple: "(", then quoted strings or characters that are neither quotes nor
+# brackets, then ")".  Group 1 is the inside.
+TUPLE = rf"(?s)\(((?:{QUOTED}|[^'()])*)\)"
+# One value of a tuple and the comma behind it (a comma is added behind the last).
+VALUE = rf"(?s)\s*({QUOTED}|[^',]*?)\s*,"
+STATEMENT_END = r";[ \t]*\r?\n"
+# What MySQL writes with a backslash and is not the character itself.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\u0000", "Z": "\u001a"}
+
+
+def _unescaped(text: Column) -> Column:
+    """A quoted value's text: quotes off, doubled quotes and backslash escapes resolved."""
+    mark = "\u0002"  # stands for an escaped backslash meanwhile
+    out = F.regexp_replace(F.regexp_replace(text, r"(?s)^'|'$", ""), "''", "'")
+    out = F.replace(out, F.lit("\\\\"), F.lit(mark))
+    for letter, char in ESCAPES.items():
+        out = F.replace(out, F.lit("\\" + letter), F.lit(char))
+    return F.replace(F.regexp_replace(out, r"(?s)\\(.)", "$1"), F.lit(mark), F.lit("\\"))
+
 
-# One value tuple: "(" then quoted strings (with backslash escapes) or other characters
-# that are neither quotes nor brackets, then ")".  Group 1 is the inside.
-TUPLE_PATTERN = r"\(((?:'(?:[^'\\]|\\.)*'|[^'()])*)\)"
+def _checked(ok: Column, value: Column, message: str, shown: Column) -> Column:
+    return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.substring(F.coalesce(shown, F.lit("")), 1, 200))))
 
-DUMP_CSV_OPTIONS = {"quote": "'", "escape": "\\", "nullValue": "NULL", "dateFormat": "yyyy-MM-dd"}
 
+def parse_insert_lines(lines: DataFrame, table: str, schema: T.StructType, column: str = "value") -> DataFrame:
+    """Rows of every INSERT into ``table`` in the text ``column`` of ``lines``, typed by ``schema``.
 
-def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    Without a column list the values go by position; with one, by name (columns of
+    ``schema`` that it leaves out are NULL, others are ignored).
+    """
+    head = rf"(?is)^INSERT\s+(?:\w+\s+)*?INTO\s+(?:`?\w+`?\s*\.\s*)?(?:`{table}`|{table}\b)\s*"
+    statements = lines.select(F.explode(F.split(F.col(column), r"(?i)(?=(?<![\w'`])INSERT\s)")).alias("s")).filter(F.col("s").rlike(head))
+    rest = F.regexp_replace("s", head, "")
+    listed = F.regexp_extract(rest, r"(?is)^(?:\(([^()']*(?:\([^()']*\)[^()']*)*)\)\s*)?VALUES?\b", 1)
+    body = F.regexp_extract(rest, r"(?is)^(?:\([^']*?\)\s*)?VALUES?\b(.*)$", 1)
+    parts = statements.select(
+        "s", F.lower(F.regexp_replace(listed, r"[`\"\s]", "")).alias("names"), F.element_at(F.split(body, STATEMENT_END), 1).alias("body")
+    )
+    left = F.regexp_replace("body", TUPLE, "")
+    tuples = F.regexp_extract_all(F.col("body"), F.lit(TUPLE), F.lit(1))
+    complete = left.rlike(r"^[\s,;]*$") & (F.size(tuples) > 0)
+    rows = parts.select("names", F.explode(_checked(complete, tuples, f"INSERT into {table} is not a list of value tuples", F.col("s"))).alias("t"))
+    values = rows.select("names", "t", F.regexp_extract_all(F.concat("t", F.lit(",")), F.lit(VALUE), F.lit(1)).alias("v"))
+    old_names = {new: old for old, new in LEGACY_COLUMN_NAMES.items()}
+    names = F.split("names", ",")
+    width = F.when(F.col("names") == "", F.lit(len(schema.fields))).otherwise(F.size(names))
+    values = values.withColumn("v", _checked(F.size("v") == width, F.col("v"), f"a tuple of {table} has the wrong length", F.col("t")))
+    out = []
+    for i, f in enumerate(schema.fields):
+        spellings = [f.name.lower(), *([old_names[f.name].lower()] if f.name in old_names else [])]
+        place = F.greatest(*[F.array_position(names, s) for s in spellings], F.lit(0).cast("bigint"))
+        raw = F.when(F.col("names") == "", F.get("v", F.lit(i))).otherwise(F.get("v", (place - 1).cast("int")))
+        text = F.when(raw.isNotNull() & (F.upper(raw) != "NULL"), F.when(raw.startswith("'"), _unescaped(raw)).otherwise(raw))
+        typed = text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)
+        out.append(_checked(text.isNull() | typed.isNotNull(), typed, f"not a {f.dataType.simpleString()} for {table}.{f.name}", text).alias(f.name))
+    return values.select(*out)
 
 
 def read_insert_rows(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of every INSERT into ``table`` in the dump at ``path``, typed by ``schema`` (by position)."""
-    prefix = f"INSERT INTO `{table}` VALUES "
-    lines = spark.read.text(path).filter(F.col("value").startswith(prefix))
-    body = F.substring(F.col("value"), len(prefix) + 1, 2**31 - 1)
-    tuples = lines.select(F.explode(F.regexp_extract_all(body, F.lit(TUPLE_PATTERN), 1)).alias("t"))
-    parsed = tuples.select(F.from_csv(F.col("t"), _ddl(schema), DUMP_CSV_OPTIONS).alias("r"))
-    return parsed.select("r.*")
+    """Rows of every INSERT into ``table`` in the dump at ``path``, typed by ``schema``."""
+    pieces = spark.read.option("lineSep", ";\n").text(path)
+    return parse_insert_lines(pieces, table, schema)
 
 
 def read_dump_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -29,19 +29,21 @@ def fact_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
 def stream_summary(dims: Tables, fact: DataFrame, by: Sequence[str] = VIEW_KEYS) -> DataFrame:
     """The view's metrics at grain ``by`` over a streaming ``fact`` and static dimensions.
 
-    One aggregation only: a stream allows no second one, so eager aggregation is off.
+    One aggregation only: a stream allows no second one, so eager aggregation is off.  No
+    dimension is left out: keys verified on another fact say nothing about the stream.
     """
-    return summarise(dims.with_fact(fact).with_summary(None), by, eager=False)
+    return summarise(dims.with_fact(fact), by, eager=False)
 
 
 def start_summary(
     summary: DataFrame,
     name: str,
-    sink: str = "memory",
-    output_mode: str = "complete",
+    sink: str,
+    output_mode: str = "update",
     checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Start the query; the checkpoint defaults to ``{spark.checkpoint.dir}/{name}``."""
+    """Start the query into ``sink`` (a format name; ``memory`` keeps the whole view on the
+    driver and is for tests).  The checkpoint defaults to ``{spark.checkpoint.dir}/{name}``."""
     spark = summary.sparkSession
     location = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
     writer = summary.writeStream.outputMode(output_mode).option("checkpointLocation", location).queryName(name)

@@ -27,22 +27,22 @@ class Tables:
     # is then the identity and is left out.  Re-verify after the data changes.
     keys_verified: bool = False
     # Dimensions past the broadcast bound, joined with a shuffle (set by
-    # broadcast_small_dims), and fact rows per (store, campaign, product, promotion)
-    # as measured by verify_keys: together they decide automatic eager aggregation.
+    # broadcast_small_dims): the fact is grouped by the joined keys before such a join.
     shuffled_dims: frozenset = frozenset()
-    rows_per_key: float | None = None
-    # Approximate distinct values of the dimension attributes that reports rank by
-    # (city, category), measured by verify_keys: they bound a report's group count.
-    attribute_counts: tuple = ()
-
-    def attribute_count(self, name: str) -> int | None:
-        return dict(self.attribute_counts).get(name)
 
     def with_fact(self, fact: DataFrame) -> "Tables":
-        return replace(self, fact=fact)
+        """Another fact: what was verified or summed over the old one no longer holds."""
+        return replace(self, fact=fact, keys_verified=False, summary=None)
 
     def with_campaigns(self, campaigns: DataFrame) -> "Tables":
-        return replace(self, campaigns=campaigns)
+        """Other campaigns: verified keys and written sums no longer hold."""
+        return replace(
+            self,
+            campaigns=campaigns,
+            keys_verified=False,
+            summary=None,
+            shuffled_dims=self.shuffled_dims - {"campaigns"},
+        )
 
     def with_summary(self, summary: DataFrame | None) -> "Tables":
         return replace(self, summary=summary)

@@ -46,7 +46,7 @@ def test_top_bottom_has_no_global_window(small):
 def test_scan_prunes_columns_and_campaign_filter_prunes_partitions(spark, small):
     path = tempfile.mkdtemp(prefix="liftwise-plan-")
     write_tables(small, path)
-    t = read_tables(spark, path, fact_schema=small.fact.schema)
+    t = read_tables(spark, path)
     p = plan(R.category_isu_diwali(t))
     assert "dynamicpruningexpression" in p.lower()
     fact_scan = [line for line in p.splitlines() if line.startswith("ReadSchema") and "quantity_sold" in line]
@@ -58,9 +58,24 @@ def test_verified_keys_drop_unused_joins(spark, small):
 
     path = tempfile.mkdtemp(prefix="liftwise-plan-")
     write_tables(small, path)
-    loaded = read_tables(spark, path, fact_schema=small.fact.schema)
+    loaded = read_tables(spark, path)
     assert ops(plan(R.promo_isu(loaded)), "BroadcastHashJoin") == 3
     verified = verify_keys(loaded)
     assert "Join" not in plan(R.promo_isu(verified))
     assert ops(plan(R.campaign_revenue(verified)), "BroadcastHashJoin") == 1
     assert ops(plan(R.sales_summary(verified)), "BroadcastHashJoin") == 3
+
+
+def test_top_bottom_reuses_the_rollup(small):
+    """Both cut-offs of Q14 and Q15 read the shuffle of the report's own roll-up."""
+    for report in (R.product_top_bottom_ir, R.product_top_bottom_isu):
+        df = report(small)
+        df.collect()
+        assert ops(plan(df), "ReusedExchange") >= 2
+
+
+def test_distinct_before_the_join(small):
+    lines = R.high_value_bogof(small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    kinds = [next((k for k in ("Aggregate", "Join") if k in line), "") for line in lines]
+    kinds = [k for k in kinds if k]
+    assert kinds[:3] == ["Aggregate", "Join", "Aggregate"]

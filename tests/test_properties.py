@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -95,33 +97,36 @@ def test_shuffled_joins_give_the_same_reports(spark):
     from liftwise.sources.fixture import from_testdata
     from tests.conftest import SF_SMALL
 
-    shuffled = from_testdata(spark, SF_SMALL, broadcast_max_rows=0)
+    shuffled = from_testdata(spark, SF_SMALL, broadcast_max_bytes=0)
     broadcast = from_testdata(spark, SF_SMALL)
     for name in ["sales_summary", "campaign_revenue", "store_top_ir", "campaign_top_products", "product_top_bottom_ir"]:
         assert bag(REPORTS[name](shuffled)) == bag(REPORTS[name](broadcast)), name
 
 
-def test_eager_is_chosen_only_for_shuffled_joins_over_repeated_keys(spark, small):
-    import tempfile
+def test_a_joined_dimension_past_the_bound_makes_the_fact_be_summed_first(small):
+    from liftwise.operators.star import broadcast_small_dims, gross_measures, rollup
 
-    from liftwise.operators.star import broadcast_small_dims, choose_eager
-    from liftwise.plans.reports import REPORTS
-    from liftwise.sources.checks import verify_keys
-    from liftwise.sources.parquet import read_tables, write_tables
-
-    # Ten copies of every fact: ten rows per key.
-    repeated = small.fact
-    for _ in range(3):
-        repeated = repeated.unionByName(repeated)
-    repeated = repeated.unionByName(small.fact).unionByName(small.fact)
-    path = tempfile.mkdtemp(prefix="liftwise-eager-")
-    write_tables(small.with_fact(repeated), path)
-    broadcast = verify_keys(read_tables(spark, path, fact_schema=small.fact.schema))
-    assert broadcast.rows_per_key > 8 and not broadcast.shuffled_dims
-    assert not choose_eager(broadcast, ["stores", "campaigns", "products"])
-
-    shuffled = verify_keys(broadcast_small_dims(broadcast, max_rows=0))
-    assert shuffled.shuffled_dims == {"stores", "campaigns", "products"}
-    assert choose_eager(shuffled, ["stores"])
-    for name in ["sales_summary", "campaign_revenue", "store_top_ir", "campaign_top_products"]:
-        assert bag(REPORTS[name](shuffled)) == bag(REPORTS[name](broadcast)), name
+    def aggregates(t, dims):
+        plan = rollup(t, ["promo_type"], gross_measures(), dims=dims)._jdf.queryExecution().optimizedPlan().toString()
+        return sum("Aggregate" in line for line in plan.splitlines())
+
+    wide = broadcast_small_dims(small, max_bytes=-1)
+    assert wide.shuffled_dims == {"stores", "campaigns", "products"} and not small.shuffled_dims
+    assert aggregates(small, ["stores"]) == 1 and aggregates(wide, ["stores"]) == 2
+
+
+def test_size_in_bytes_counts_width_as_well_as_rows(spark):
+    from liftwise.operators.star import sizes_in_bytes
+
+    rows = spark.range(10).selectExpr("id", "repeat('é', 100) as text")
+    assert sizes_in_bytes({"a": rows, "b": rows.limit(0)}) == {"a": 10 * (200 + 16), "b": 0}
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-(2**62), 2**62), min_size=1, max_size=8))
+def test_sums_in_two_parts_are_exact(spark, values):
+    from liftwise.functions.metrics import sum_parts, whole_sum
+
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    parts = df.agg(*[F.sum(c).alias(n) for n, c in sum_parts("v", F.col("v")).items()])
+    assert int(parts.select(whole_sum("v").alias("s")).first().s) == sum(values)

@@ -18,7 +18,7 @@ def test_stream_summary_equals_batch(spark, hand):
     hand.fact.repartition(3).write.parquet(path)
     stream = fact_stream(spark, path, hand.fact.schema, files_per_trigger=1)
     # A new checkpoint per run: a stable one would resume the previous run's stream.
-    query = start_summary(stream_summary(hand, stream), "hand_summary_stream", checkpoint=scratch + "/ckpt")
+    query = start_summary(stream_summary(hand, stream), "hand_summary_stream", sink="memory", output_mode="complete", checkpoint=scratch + "/ckpt")
     try:
         query.processAllAvailable()
         got = spark.table("hand_summary_stream").collect()

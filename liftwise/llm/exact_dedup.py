@@ -94,7 +94,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows that share both id and text are one row; rows of null id stay only where their
     whole group has none.
     """
-    keep = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    same = (docs[id_col].cast("long").eqNullSafe(F.col("__id"))) & (own == F.col("__sha"))
-    return docs.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
+    names = ["__id", "__no_id", "__sha"]  # plain columns, so that both steps use one shuffle of the texts
+
+    def keyed(df: DataFrame, number, sha) -> DataFrame:
+        return df.withColumns({"__id": F.coalesce(number, F.lit(0)), "__no_id": number.isNull(), "__sha": sha})
+
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
+    keep = keyed(kept, F.col("doc_id"), F.col("text_sha256")).select(names)
+    rows = keyed(docs, docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    return rows.join(keep, names, "left_semi").dropDuplicates(names).select(docs.columns)

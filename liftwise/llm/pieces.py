@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 # Units: a run of Latin letters or of anything else, with the space marks before it, or one line
 # break.  No piece crosses from one unit to the next (load_vocabulary checks that).
 UNIT = re.compile(f"{SPACE}*(?:[{LATIN}]+|[^{LATIN}{SPACE}\n]+)|{SPACE}+|\n")
-BLOCK_CHARS = 1_000_000  # texts handled at once inside a task; bounds memory, not what is read
+BLOCK_CHARS = 500_000  # texts handled at once inside a task; bounds memory, not what is read
 SLOT_BITS = 19  # of the trie's hash table, about ten times its edges
 SLOTS = 1 << SLOT_BITS
 NOISE = 37.5  # above the Gumbel value of the largest number ``uniform`` gives
@@ -210,7 +211,7 @@ class Growing:
 class LatticeStore:
     """The lattices of the units met so far in a task; begun anew when it has grown large."""
 
-    MOST = 100_000
+    MOST = 60_000
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.found, self.lat = v, {}, None
@@ -494,12 +495,12 @@ def sample_segmentations(docs: DataFrame, k: int = 2, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = LatticeStore(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            block = np.cumsum([len(t) for t in texts]) // BLOCK_CHARS
+            texts, keys = batch.column("text"), batch.column("key").to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            block = np.cumsum(sizes, dtype=np.int64) // BLOCK_CHARS
             for b in np.unique(block):
                 rows = np.flatnonzero(block == b)
-                own = [texts[r] for r in rows]
+                own = [t or "" for t in texts.slice(rows[0], len(rows)).to_pylist()]
                 samples = sample_block(own, keys[rows], k, store)
                 each = [len(s) for s in samples]
                 flat = [x for s in samples for x in s]

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -136,7 +137,8 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
     first = np.r_[0, np.cumsum(sizes + 1)][:-1]
     last = first + sizes
     state = np.arange(len(points)) + unit  # state before each code point
-    starts, ends, ids = [], [], []
+    offset = state - first[unit]  # its place in the unit
+    starts, ends, places, ids = [], [], [], []
     single = np.zeros(len(points), bool)
     at, node, depth = np.arange(len(points)), np.zeros(len(points), np.int64), 0
     while len(at):
@@ -152,6 +154,7 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
         whole = piece >= 0
         starts.append(state[at[whole]])
         ends.append(state[at[whole]] + depth)
+        places.append(offset[at[whole]] + depth)
         ids.append(piece[whole])
         if depth == 1:
             single[at[whole]] = True
@@ -161,12 +164,12 @@ def build_lattices(units: list[str], v: Vocabulary) -> Lattices:
     spelled = np.array([v.logp[v.byte_ids[list(b)]].sum() for b in fallback])
     start = np.concatenate([*starts, state[lone]])
     end = np.concatenate([*ends, state[lone] + 1])
+    place = np.concatenate([*places, offset[lone] + 1])
     piece = np.concatenate([*ids, -1 - back])
     logp = np.concatenate([v.logp[np.concatenate(ids)], spelled[back] if len(back) else np.empty(0)])
     # Forward sums, all units at once: arcs that end i code points into their unit, for i = 1, 2, ...
     order = np.argsort(end, kind="stable")  # runs that are sorted already, one a piece length
-    start, end, piece, logp = start[order], end[order], piece[order], logp[order]
-    place = end - first[np.searchsorted(first, end, side="right") - 1]
+    start, end, piece, logp, place = start[order], end[order], piece[order], logp[order], place[order]
     alpha = np.zeros(len(points) + len(units))
     by_place = np.argsort(place.astype(np.uint16) if len(place) and place.max() < 1 << 16 else place, kind="stable")
     cuts = np.flatnonzero(np.r_[True, place[by_place][1:] != place[by_place][:-1], True]) if len(by_place) else np.array([0])
@@ -208,28 +211,35 @@ class Growing:
         return self.room[:need]
 
 
+class Numbering(dict):
+    """Numbers keys in the order they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class LatticeStore:
     """The lattices of the units met so far in a task; begun anew when it has grown large."""
 
     MOST = 60_000
 
     def __init__(self, v: Vocabulary) -> None:
-        self.v, self.found, self.lat = v, {}, None
+        self.v, self.found, self.lat = v, Numbering(), None
         self.columns = [Growing() for _ in range(8)]
 
     def unit_ids(self, texts: list[str]) -> list[list[int]]:
         """The units of each text, as indices into ``lat``."""
         if len(self.found) > self.MOST:
-            self.found, self.lat = {}, None
+            self.found, self.lat = Numbering(), None
             for c in self.columns:
                 c.size = 0
         found, had = self.found, len(self.found)
-        split = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = list(set().union(*split).difference(found))
-        if new:
-            found.update(zip(new, range(had, had + len(new))))
-            self.append(build_lattices(new, self.v))
-        return [list(map(found.__getitem__, row)) for row in split]
+        number = found.__getitem__
+        split = [list(map(number, UNIT.findall(SPACE + t.replace(" ", SPACE)))) if t else [] for t in texts]
+        if len(found) > had:
+            self.append(build_lattices(list(islice(found, had, None)), self.v))
+        return split
 
     def append(self, b: Lattices) -> None:
         """The units of ``b`` after those held."""
@@ -342,11 +352,12 @@ class Search:
         At most the best k + 1 of a path can ever be opened.
         """
         path, p = self.paths[-1], len(self.paths) - 1
-        before = np.concatenate([[0.0], np.cumsum(path.logp)[:-1]])[start:]
         # A branch's value exceeds its log mass by NOISE at most, so far along it cannot be among the best.
-        near = int(np.searchsorted(-before, 60.0, side="right"))
-        value, rest = self.branch_values(path, before[:near], start, taken_p)
-        if near < len(before) and (len(value) <= self.k or np.partition(value, -self.k - 1)[-self.k - 1] <= NOISE - 60.0):
+        near = start + 600
+        before = np.concatenate([[0.0], np.cumsum(path.logp[:near])[:-1]])[start:]
+        value, rest = self.branch_values(path, before, start, taken_p)
+        if near < len(path.logp) and (before[-1] > -60.0 or np.partition(value, -self.k - 1)[-self.k - 1] <= NOISE - 60.0):
+            before = np.concatenate([[0.0], np.cumsum(path.logp)[:-1]])[start:]
             value, rest = self.branch_values(path, before, start, taken_p)
         best = np.argpartition(-value, self.k)[: self.k + 1] if len(value) > self.k + 1 else np.arange(len(value))
         for m in best.tolist():
@@ -411,6 +422,8 @@ def extend(jobs: list[tuple[Search, Path, int]], lat: Lattices) -> None:
 def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore) -> list[list[tuple]]:
     """Per text up to ``k`` tuples (ids, log-probability, perturbed value, log inclusion score), best first."""
     split = store.unit_ids(texts)
+    if not any(split):
+        return [[(np.empty(0, np.int32), 0.0, 0.0, 0.0)] for _ in texts]
     lat, v = store.lat, store.v
     searches = [Search(np.array(units, np.int64), key, k) for units, key in zip(split, keys.tolist())]
     live = [s for s in searches if len(s.units)]
@@ -418,8 +431,7 @@ def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore
     for s in live:
         top = -np.log(-np.log(uniform(np.array([one_hash(s.key, 1)], np.uint64))))[0]
         jobs.append((s, Path(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), float(top), one_hash(s.key, 2)), 0))
-    if jobs:
-        extend(jobs, lat)
+    extend(jobs, lat)
     for s in live:
         s.branch_off(0, frozenset(), 0.0)
     for turn in range(1, k):
@@ -438,6 +450,9 @@ def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore
             extend(jobs, lat)
         for s, unit, taken, taken_p in opened:
             s.branch_off(unit, taken, taken_p)
+    paths = [path for s in searches for path in s.paths]
+    ids, ends = piece_ids(np.concatenate([path.arcs for path in paths]), np.cumsum([len(path.arcs) for path in paths]), lat, v)
+    pieces = iter(np.split(ids, ends[:-1]))
     result = []
     for s in searches:
         if not len(s.units):
@@ -450,23 +465,27 @@ def sample_block(texts: list[str], keys: np.ndarray, k: int, store: LatticeStore
             total = float(path.logp.sum())
             gap = total - s.cut  # log of the chance to be kept is log(1 - exp(-exp(gap))), near gap where that is tiny
             score = gap if gap < -30 else float(np.log(-np.expm1(-np.exp(min(gap, 700.0)))))
-            rows.append((piece_ids(path.arcs, lat, v), total, path.value, score))
+            rows.append((next(pieces), total, path.value, score))
         result.append(rows)
     return result
 
 
-def piece_ids(arcs: np.ndarray, lat: Lattices, v: Vocabulary) -> np.ndarray:
-    """Vocabulary ids along a path; a code point without a piece becomes its bytes."""
+def piece_ids(arcs: np.ndarray, ends: np.ndarray, lat: Lattices, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary ids along paths that end at ``ends``, and where they end among the ids; a
+    code point without a piece becomes its bytes."""
     ids = lat.arc_piece[arcs].astype(np.int64)
     odd = np.flatnonzero(ids < 0)
     if len(odd):
         spelled = [v.byte_ids[list(lat.fallback[-1 - i])] for i in ids[odd].tolist()]
         repeat = np.ones(len(ids), np.int64)
         repeat[odd] = [len(b) for b in spelled]
-        at = np.cumsum(repeat)[odd] - repeat[odd]
+        stops = np.cumsum(repeat)
+        at = stops[odd] - repeat[odd]
         ids = np.repeat(ids, repeat)
-        ids[np.repeat(at, repeat[odd]) + np.concatenate([np.arange(len(b)) for b in spelled])] = np.concatenate(spelled)
-    return ids.astype(np.int32)
+        within = np.arange(int(repeat[odd].sum())) - np.repeat(np.cumsum(repeat[odd]) - repeat[odd], repeat[odd])
+        ids[np.repeat(at, repeat[odd]) + within] = np.concatenate(spelled)
+        ends = stops[ends - 1]
+    return ids.astype(np.int32), ends
 
 
 def decode(ids: list[int], pieces: list[bytes]) -> str:

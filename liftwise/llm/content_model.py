@@ -167,10 +167,14 @@ def fit(labelled: Sequence[tuple[str, Sequence[int] | None]], steps: int = 150,
 
 
 def main_text(source: str | None, model: Model, cut: float = 0.5) -> str:
-    """Blocks of nodes whose marginal of being content is over ``cut``, joined by blank lines."""
+    """Blocks of nodes whose marginal of being content is over ``cut``, joined by blank lines.
+
+    What a control, a drawing, noscript or template itself says is left out; block-level
+    elements inside are judged like all others.  Formulas and objects are part of their block.
+    """
     page = read(source)
     _, _, belief = messages(page, [node_features(node) for node in page.nodes], model)
-    return "\n\n".join(text for node, text in page.blocks if logistic(belief[node]) > cut)
+    return "\n\n".join(text for node, text in page.blocks if not page.nodes[node].silent and logistic(belief[node]) > cut)
 
 
 def main_text_column(source: Column, model: Model) -> Column:

@@ -8,10 +8,12 @@ from dataclasses import dataclass, field
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math select button object".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark meter output progress q "
-    "ruby rp rt s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark meter object output progress q "
+    "ruby rp rt s samp small span strike strong sub sup time tt u var "
+    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -26,8 +28,16 @@ IMPLIED_END = {
     "td": ({"td", "th"}, {"table", "tr"}),
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "button": ({"button"}, ()),
+    "select": ({"select"}, ()),
     "body": ({"head"}, {"html"}),
 }
+# Block-level elements end an open select or drawing, which cannot hold them; a button may hold a div.
+BREAKS_OUT = CLOSES_P | {"body"}
+HOLDS_NO_BLOCK = frozenset("select svg".split())
+HOLDS_DIV = frozenset("button".split())
+SILENT = frozenset("svg button select option optgroup noscript template".split())  # own text is no text of the page
+EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")  # the end of a self-closed tag, not of an unquoted value
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
@@ -43,6 +53,7 @@ class Node:
     words: int = 0
     link_words: int = 0
     stops: int = 0  # sentence ends
+    silent: bool = False  # its own text is a control's or a drawing's
 
 
 @dataclass
@@ -120,6 +131,8 @@ def read(source: str | None) -> Page:
                 flush()
             continue
         if tag in RAW:
+            if EMPTY.search(token[3]):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
@@ -128,6 +141,10 @@ def read(source: str | None) -> Page:
                 flush()
             text.append(" ")
             continue
+        if tag in BREAKS_OUT:
+            left_open = HOLDS_NO_BLOCK if tag == "div" else HOLDS_NO_BLOCK | HOLDS_DIV
+            while (depth := innermost(left_open, {"foreignobject", "template"})) is not None:
+                close_to(depth)
         if tag in CLOSES_P and (depth := innermost({"p"}, {"button", "td", "th", "table"})) is not None:
             close_to(depth)
         if tag in IMPLIED_END and (depth := innermost(*IMPLIED_END[tag])) is not None:
@@ -137,7 +154,8 @@ def read(source: str | None) -> Page:
             stack.append((tag, stack[-1][1]))
         else:
             flush()
-            nodes.append(Node(tag, stack[-1][1], attributes_of(token[3])))
+            silent = tag in SILENT or (tag not in CLOSES_P and nodes[stack[-1][1]].silent)
+            nodes.append(Node(tag, stack[-1][1], attributes_of(token[3]), silent=silent))
             if not token[3].endswith("/"):
                 stack.append((tag, len(nodes) - 1))
     close_to(1)

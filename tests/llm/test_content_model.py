@@ -92,3 +92,21 @@ def test_odd_pages(spark, model):
     assert len(got) == 5 and all(r["text"] is not None for r in got)
     assert max(r["n_chars"] for r in got) == 200_000 * 5 - 1
     assert C.extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+def test_no_tag_swallows_the_article(model):
+    good = "Here the story of the old mill begins, and it is told once more."
+    article = f"<article><h1>Mill</h1><p>{good}</p><p>{good}</p></article><footer>Imprint</footer>"
+    whole = "\n\n".join(["Mill", good, good])
+    ahead = ["<svg class=logo viewBox='0 0 1 1'/>", "<math display=block />", "<svg><path d='M0'>", "<select><option>One<option>Two", "<button>Menu", "<noscript>", "<template>"]
+    ahead += ["<object data=a.swf>", "<script src='a.js' />", "<svg><svg><path/></svg><text>x</text></svg>", "<nav><select><option>One</nav>", "<button><div>Menu</div>"]
+    for x in ahead:
+        assert C.main_text(f"<html><body>{x}{article}</body></html>", model).endswith(whole), x
+    assert C.main_text(f"<html><body><script src=/a/>var a = 1</script>{article}</body></html>", model) == whole
+
+
+def test_text_of_formulas_and_objects_is_kept(model):
+    good = "Here the story of the old mill begins, and it is told once more."
+    p = f"<p>{good} <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> {good}</p><p>{good} <object data=a>outer <object data=b>inner</object> rest</object> {good}</p>"
+    got = C.main_text(f"<html><body><article><h1>Mill</h1>{p}<p>{good}</p><button>Share</button></article></body></html>", model)
+    assert got == "\n\n".join(["Mill", f"{good} x=2 {good}", f"{good} outer inner rest {good}", good])

@@ -45,6 +45,82 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 }
 
+DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce "
+    "the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution. "
+)
+# Short licences as a whole: what a licence file holds.
+FULL_TEXTS: Mapping[str, Sequence[str]] = {
+    "MIT": (
+        "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall "
+        "be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+        "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "BSD-2-Clause": ("Copyright (c) All rights reserved. " + CONDITIONS + DISCLAIMER,),
+    "BSD-3-Clause": (
+        "Copyright (c) All rights reserved. " + CONDITIONS + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission. " + DISCLAIMER,
+    ),
+}
+FSF = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. "
+# How the texts of long licences begin: four paragraphs, or the sentence of acceptance.
+OPENINGS: Mapping[str, Sequence[str]] = {
+    "Apache-2.0": (
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. License shall mean the "
+        "terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    ),
+    "GPL-2.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + FSF + "Preamble The licenses for most software are designed to take "
+        "away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software to make sure the "
+        "software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to "
+        "using it. You can apply it to your programs, too.",
+    ),
+    "GPL-3.0": (
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ " + FSF + "Preamble The GNU General Public License is a "
+        "free, copyleft license for software and other kinds of works.",
+    ),
+    "AGPL-3.0": (
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ " + FSF + "Preamble The GNU Affero General "
+        "Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    ),
+    "LGPL-2.1": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc. " + FSF + "This is the first released version of the Lesser "
+        "GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1. Preamble",
+    ),
+    "LGPL-3.0": (
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. https://fsf.org/ " + FSF + "This version of the GNU Lesser General "
+        "Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below. 0. Additional Definitions.",
+    ),
+    "MPL-1.1": (
+        "MOZILLA PUBLIC LICENSE Version 1.1 1. Definitions. 1.0.1. Commercial Use means distribution or otherwise making the Covered Code available to a third party.",
+    ),
+    "MPL-2.0": (
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software. "
+        "1.2. Contributor Version means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+    ),
+} | {
+    f"CC-{short}-4.0": (
+        f"By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {long} 4.0 International Public License (Public License).",
+    )
+    for short, long in {
+        "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+        "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+    }.items()
+}
+NOTICE, FULL, OPENING = "notice", "full", "opening"
+OPENING_PARAGRAPHS = 4
+
 
 def words_of(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
@@ -82,6 +158,28 @@ def key_words(vectors: Sequence[tuple[str, dict[str, float]]], idf: Mapping[str,
     return []
 
 
+def few_key_words(vectors: Sequence[tuple[str, dict[str, float]]], idf: Mapping[str, float], least: float) -> list[str]:
+    """Like ``key_words``, but as few words as can be, for long templates: words are taken by
+    their weight in the templates that are still open and their rareness, until what is left
+    of every template weighs less than ``least``."""
+    need = [1 - least * least + 1e-9] * len(vectors)
+    taken: list[str] = []
+    while any(n > 0 for n in need):
+        gain = Counter()
+        for n, (_, v) in zip(need, vectors):
+            for w, x in v.items() if n > 0 else ():
+                if w not in taken:
+                    gain[w] += min(n, x * x)
+        best = min(gain, key=lambda w: (-gain[w] / (math.exp(1 - idf[w]) + 0.001), w))
+        taken.append(best)
+        need = [n - v.get(best, 0.0) ** 2 for n, (_, v) in zip(need, vectors)]
+    return taken
+
+
+def word_pattern(words: Sequence[str]) -> str:
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(words)) + r")(?![\p{L}\p{N}])"
+
+
 def passages(text: Column) -> Column:
     """Distinct passages of a text: lines, sentences, paragraphs and the whole."""
     lines = F.split(text, "\n")
@@ -90,24 +188,32 @@ def passages(text: Column) -> Column:
     return F.array_distinct(F.concat(lines, sentences, paragraphs, F.array(text)))
 
 
-def passage_scores(units: DataFrame, vectors: Sequence[tuple[str, dict[str, float]]], idf: Mapping[str, float], other_idf: float) -> DataFrame:
-    """Best licence per ``unit`` hash of ``units`` (``unit``, ``passage``): (``unit``, ``score``, ``license``).
+def openings(text: Column) -> Column:
+    """Runs of paragraphs that may open a licence text: the first one names a license."""
+    paragraphs = F.split(text, r"\n\s*\n")
+    runs = F.transform(paragraphs, lambda p, i: F.when(F.lower(p).contains("license"), F.array_join(F.slice(paragraphs, i + 1, OPENING_PARAGRAPHS), "\n\n")))
+    return F.filter(runs, lambda r: r.isNotNull())
+
+
+def passage_scores(units: DataFrame, vectors: Sequence[tuple[str, str, dict[str, float]]], idf: Mapping[str, float], other_idf: float) -> DataFrame:
+    """Best licence per ``unit`` hash of ``units`` (``unit``, ``passage``) and kind of template:
+    (``unit``, ``kind``, ``score``, ``license``); ``vectors`` are (kind, licence, unit vector).
 
     Cosine of the TF-IDF vectors; words in no template weigh as words that no document has.
     Of equal scores the first licence by name wins.
     """
     spark = units.sparkSession
     weights = F.broadcast(spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double"))
-    entries = [(w, i, name, x) for i, (name, v) in enumerate(vectors) for w, x in v.items()]
-    parts = F.broadcast(spark.createDataFrame(entries, "word string, template int, license string, part double"))
+    entries = [(w, i, kind, name, x) for i, (kind, name, v) in enumerate(vectors) for w, x in v.items()]
+    parts = F.broadcast(spark.createDataFrame(entries, "word string, template int, kind string, license string, part double"))
     tf = units.select("unit", F.explode(words_of(F.col("passage"))).alias("word")).filter("word <> ''").groupBy("unit", "word").agg(F.count("*").alias("tf"))
     weighed = tf.join(weights, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other_idf)))
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(parts, "word").groupBy("unit", "template", "license").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
-    scored = dots.join(norms, "unit").select("unit", "license", F.least(F.round(F.col("dot") / F.col("norm"), 9), F.lit(1.0)).alias("score"))
-    best = scored.groupBy("unit").agg(F.max("score").alias("score"))
-    named = scored.join(best.select("unit", "score"), ["unit", "score"]).groupBy("unit", "score").agg(F.min("license").alias("license"))
-    return named.select("unit", "score", "license")
+    dots = weighed.join(parts, "word").groupBy("unit", "template", "kind", "license").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
+    scored = dots.join(norms, "unit").select("unit", "kind", "license", F.least(F.round(F.col("dot") / F.col("norm"), 9), F.lit(1.0)).alias("score"))
+    # Best score first, then the first name: the minimum of (-score, name).
+    best = scored.groupBy("unit", "kind").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("x"))
+    return best.select("unit", "kind", (-F.col("x.s")).alias("score"), "x.license")
 
 
 def parent(path: Column) -> Column:
@@ -137,32 +243,41 @@ def scan_licenses(
     """One row per row of ``files``: ``path``, ``license``, ``origin``, ``score``, ``license_dir``.
 
     ``origin`` is ``own`` (a passage reaches ``least``), ``inherited`` (from ``license_dir``,
-    the nearest directory with a licence file: whole text at ``least_file`` or more; of several files in one directory
-    the best score, then the first name, decides) or ``none``.  Inverse document frequencies
+    the nearest directory with a licence file) or ``none``.  A licence file is one whose whole
+    text is a notice (at ``least_file`` or more), a short licence's text or the opening of a long
+    one's (a run of its paragraphs; both at ``least``): what such a file is comes before what its
+    passages state.  Of several files in one directory the best score, then the first name, decides.  Inverse document frequencies
     are counted over all files.  Rows that share a path count as one file; a null path is the
     empty path, null and empty texts state nothing; an empty table gives an empty result.
     """
     rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    vocabulary = sorted({w for texts in templates.values() for t in texts for w in template_words(t)})
+    kinds = {NOTICE: templates, FULL: FULL_TEXTS, OPENING: OPENINGS}
+    vocabulary = sorted({w for named in kinds.values() for texts in named.values() for t in texts for w in template_words(t)})
     held = F.array_intersect(words_of(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))
     counted = rows.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
     df = {r["word"]: r["n"] for r in counted}  # a row per template word at most, and one for all files
     total = df.get("", 0)
     idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    vectors = template_vectors(templates, idf)
-    keys = key_words(vectors, idf, min(least, least_file))
-    pattern = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(keys)) + r")(?![\p{L}\p{N}])"
-    likely = rows.filter(F.lower("text").rlike(pattern))
-    units = likely.select("path", F.sha2("text", 256).alias("whole"), F.explode(passages(F.col("text"))).alias("passage"))
-    units = units.filter(F.lower("passage").rlike(pattern)).withColumn("unit", F.sha2("passage", 256))
+    vectors = [(kind, name, v) for kind, named in kinds.items() for name, v in template_vectors(named, idf)]
+    of = {kind: [(name, v) for k, name, v in vectors if k == kind] for kind in kinds}
+    keys = {NOTICE: key_words(of[NOTICE], idf, min(least, least_file)), FULL: few_key_words(of[FULL], idf, least), OPENING: few_key_words(of[OPENING], idf, least)}
+    pattern = {kind: word_pattern(words) for kind, words in keys.items()}
+    likely = rows.filter(F.lower("text").rlike(word_pattern({w for words in keys.values() for w in words})))
+    # Each kind of passage by the key words of the templates it can be like.
+    some = {NOTICE: passages(F.col("text")), FULL: F.array("text"), OPENING: openings(F.col("text"))}
+    some = [F.filter(found, lambda p: F.lower(p).rlike(pattern[kind])) for kind, found in some.items()]  # noqa: B023
+    units = F.array_distinct(F.concat(*some))
+    units = likely.select("path", F.sha2("text", 256).alias("whole"), F.explode(units).alias("passage")).withColumn("unit", F.sha2("passage", 256))
     units = saved(units.groupBy("path", "whole", "unit").agg(F.first("passage").alias("passage")), "license-passages")
     scores = passage_scores(units.groupBy("unit").agg(F.first("passage").alias("passage")), vectors, idf, math.log(1 + total) + 1)
     found = saved(units.select("path", "whole", "unit").join(scores, "unit"), "license-scores")
-    # Best score first, then the first name: the minimum of (-score, name).
-    order = F.struct((-F.col("score")).alias("s"), "license")
-    own = found.filter(F.col("score") >= least).groupBy("path").agg(F.min(order).alias("own"))
-    texts = found.filter((F.col("unit") == F.col("whole")) & (F.col("score") >= least_file))
-    dirs = texts.groupBy(parent(F.col("path")).alias("license_dir")).agg(F.min(order).alias("x")).select("license_dir", "x.license")
+    # What the whole file is, then the best score, then the first name.
+    is_whole = F.col("unit") == F.col("whole")
+    is_text = ((F.col("kind") == FULL) & is_whole | (F.col("kind") == OPENING)) & (F.col("score") >= least)
+    order = F.struct((~is_text).cast("int").alias("rank"), (-F.col("score")).alias("s"), "license")
+    own = found.filter(is_text | (F.col("kind") == NOTICE) & (F.col("score") >= least)).groupBy("path").agg(F.min(order).alias("own"))
+    texts = found.filter(is_text | (F.col("kind") == NOTICE) & is_whole & (F.col("score") >= least_file)).groupBy("path").agg(F.min(order).alias("x"))
+    dirs = texts.groupBy(parent(F.col("path")).alias("license_dir")).agg(F.min(F.struct("x.s", "x.license")).alias("x")).select("license_dir", "x.license")
     placed = rows.select("path", parent(F.col("path")).alias("dir")).join(own, "path", "left")
     near = nearest_licenses(placed.select("dir"), dirs).withColumnRenamed("license", "inherited")
     joined = placed.join(near, "dir", "left")

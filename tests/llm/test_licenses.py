@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -95,3 +96,18 @@ def test_documents_and_empty(docs, no_docs):
     assert L.scan_licenses(L.document_paths(no_docs)).count() == 0
     plan = L.scan_licenses(L.document_paths(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_whole_licence_texts_are_licence_files(spark):
+    texts = {p.stem: p.read_text() for p in (Path(__file__).parent / "data").glob("*.txt")}
+    texts["MIT-long"] = texts["MIT"].replace("Andrew Gallant", "The Authors of a Project with a Long Name and All Others Who Have Taken Part")
+    texts["CC-BY-SA-4.0"] = f"Attribution-ShareAlike 4.0 International\n\n{L.OPENINGS['CC-BY-SA-4.0'][0]}\n\nSection 1 -- Definitions."
+    header = "".join(f"// {line}\n" for line in texts["MIT"].splitlines()) + "".join(f"fn part{i}(river: Stone{i}) -> Light{i} {{ garden{i}(moon{i}) }}\n" for i in range(40))
+    files = [(f"{name}/LICENSE", t) for name, t in texts.items()] + [(f"{name}/src/x.py", "import this") for name in texts]
+    files += [("src/a.rs", header), ("src/b.rs", "fn b() {}"), ("doc/README", "A garden.\n\nLicense\n\nApache License, Version 2.0\n\nThanks"), ("doc/x", "more")]
+    got = {r["path"]: r for r in L.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    for name in texts:
+        license = name.removesuffix("-long")
+        assert (got[f"{name}/LICENSE"]["license"], got[f"{name}/LICENSE"]["origin"]) == (license, "own")
+        assert (got[f"{name}/src/x.py"]["license"], got[f"{name}/src/x.py"]["license_dir"]) == (license, name)
+    assert got["src/b.rs"]["origin"] == "none" and got["doc/x"]["origin"] == "none"

@@ -142,6 +142,11 @@ def template_vectors(templates: Mapping[str, Sequence[str]], idf: Mapping[str, f
     return vectors
 
 
+def idf_of(total: int, n: int) -> float:
+    """Of a word in ``n`` of ``total`` files; by shares alone, so that a repeated table weighs the same."""
+    return math.log(total / n) + 1 if total else 1.0
+
+
 def key_words(vectors: Sequence[tuple[str, dict[str, float]]], idf: Mapping[str, float], least: float) -> list[str]:
     """Words of which every passage with a cosine of ``least`` or more holds one.
 
@@ -195,19 +200,18 @@ def openings(text: Column) -> Column:
     return F.filter(runs, lambda r: r.isNotNull())
 
 
-def passage_scores(units: DataFrame, vectors: Sequence[tuple[str, str, dict[str, float]]], idf: Mapping[str, float], other_idf: float) -> DataFrame:
+def passage_scores(units: DataFrame, vectors: Sequence[tuple[str, str, dict[str, float]]], counts: DataFrame, total: int) -> DataFrame:
     """Best licence per ``unit`` hash of ``units`` (``unit``, ``passage``) and kind of template:
     (``unit``, ``kind``, ``score``, ``license``); ``vectors`` are (kind, licence, unit vector).
 
-    Cosine of the TF-IDF vectors; words in no template weigh as words that no document has.
+    Cosine of the TF-IDF vectors; ``counts`` has the files (of ``total``) that hold each word.
     Of equal scores the first licence by name wins.
     """
     spark = units.sparkSession
-    weights = F.broadcast(spark.createDataFrame([(w, x) for w, x in idf.items()], "word string, idf double"))
     entries = [(w, i, kind, name, x) for i, (kind, name, v) in enumerate(vectors) for w, x in v.items()]
     parts = F.broadcast(spark.createDataFrame(entries, "word string, template int, kind string, license string, part double"))
     tf = units.select("unit", F.explode(words_of(F.col("passage"))).alias("word")).filter("word <> ''").groupBy("unit", "word").agg(F.count("*").alias("tf"))
-    weighed = tf.join(weights, "word", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other_idf)))
+    weighed = tf.join(counts, "word", "left").withColumn("x", F.col("tf") * (F.log(F.lit(float(total)) / F.coalesce("n", F.lit(1))) + 1))
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.join(parts, "word").groupBy("unit", "template", "kind", "license").agg(F.sum(F.col("x") * F.col("part")).alias("dot"))
     scored = dots.join(norms, "unit").select("unit", "kind", "license", F.least(F.round(F.col("dot") / F.col("norm"), 9), F.lit(1.0)).alias("score"))
@@ -247,29 +251,32 @@ def scan_licenses(
     text is a notice (at ``least_file`` or more), a short licence's text or the opening of a long
     one's (a run of its paragraphs; both at ``least``): what such a file is comes before what its
     passages state.  Of several files in one directory the best score, then the first name, decides.  Inverse document frequencies
-    are counted over all files.  Rows that share a path count as one file; a null path is the
+    of all words are counted over all files, and depend on shares of files only.  Rows that share a path count as one file; a null path is the
     empty path, null and empty texts state nothing; an empty table gives an empty result.
     """
     rows = files.select(F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = {NOTICE: templates, FULL: FULL_TEXTS, OPENING: OPENINGS}
-    vocabulary = sorted({w for named in kinds.values() for texts in named.values() for t in texts for w in template_words(t)})
-    held = F.array_intersect(words_of(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))
-    counted = rows.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()
-    df = {r["word"]: r["n"] for r in counted}  # a row per template word at most, and one for all files
-    total = df.get("", 0)
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
+    words = {kind: {w for texts in named.values() for t in texts for w in template_words(t)} for kind, named in kinds.items()}
+    vocabulary = sorted(set.union(*words.values()))
+    # In how many files each word of the table stands; the empty word counts the files.
+    each = F.array_distinct(F.concat(words_of(F.col("text")), F.array(F.lit(""))))
+    counts = saved(rows.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "license-words")
+    df = {r["word"]: r["n"] for r in counts.filter(F.col("word").isin(["", *vocabulary])).collect()}  # a row per template word at most
+    total = df.pop("", 0)
+    rarest = min(df.values(), default=1)  # a template word that no file has weighs like the rarest that one has
+    idf = {w: idf_of(total, df.get(w, rarest)) for w in vocabulary}
     vectors = [(kind, name, v) for kind, named in kinds.items() for name, v in template_vectors(named, idf)]
     of = {kind: [(name, v) for k, name, v in vectors if k == kind] for kind in kinds}
-    keys = {NOTICE: key_words(of[NOTICE], idf, min(least, least_file)), FULL: few_key_words(of[FULL], idf, least), OPENING: few_key_words(of[OPENING], idf, least)}
+    keys = {NOTICE: key_words(of[NOTICE], {w: idf[w] for w in words[NOTICE]}, min(least, least_file)), FULL: few_key_words(of[FULL], idf, least), OPENING: few_key_words(of[OPENING], idf, least)}
     pattern = {kind: word_pattern(words) for kind, words in keys.items()}
-    likely = rows.filter(F.lower("text").rlike(word_pattern({w for words in keys.values() for w in words})))
+    likely = rows.filter(F.lower("text").rlike(word_pattern(set.union(*map(set, keys.values())))))
     # Each kind of passage by the key words of the templates it can be like.
     some = {NOTICE: passages(F.col("text")), FULL: F.array("text"), OPENING: openings(F.col("text"))}
     some = [F.filter(found, lambda p: F.lower(p).rlike(pattern[kind])) for kind, found in some.items()]  # noqa: B023
     units = F.array_distinct(F.concat(*some))
     units = likely.select("path", F.sha2("text", 256).alias("whole"), F.explode(units).alias("passage")).withColumn("unit", F.sha2("passage", 256))
     units = saved(units.groupBy("path", "whole", "unit").agg(F.first("passage").alias("passage")), "license-passages")
-    scores = passage_scores(units.groupBy("unit").agg(F.first("passage").alias("passage")), vectors, idf, math.log(1 + total) + 1)
+    scores = passage_scores(units.groupBy("unit").agg(F.first("passage").alias("passage")), vectors, counts, total)
     found = saved(units.select("path", "whole", "unit").join(scores, "unit"), "license-scores")
     # What the whole file is, then the best score, then the first name.
     is_whole = F.col("unit") == F.col("whole")

@@ -111,3 +111,17 @@ def test_whole_licence_texts_are_licence_files(spark):
         assert (got[f"{name}/LICENSE"]["license"], got[f"{name}/LICENSE"]["origin"]) == (license, "own")
         assert (got[f"{name}/src/x.py"]["license"], got[f"{name}/src/x.py"]["license_dir"]) == (license, name)
     assert got["src/b.rs"]["origin"] == "none" and got["doc/x"]["origin"] == "none"
+
+
+def test_a_header_is_judged_alike_in_a_repeated_table(spark):
+    header = "All that is here was released under the MIT License."
+    files = [("a/x.py", header), ("b/y.py", "This project is released under the MIT License.")]
+    files += [(f"c/{i}", f"All that is here was this project is for {w} and the river{i} is cold") for i, w in enumerate("stone light moon bird".split() * 10)]
+    table = spark.createDataFrame(files, "path string, text string")
+    from pyspark.sql import functions as F
+
+    repeated = table.crossJoin(spark.range(100)).select(F.concat_ws("/", F.col("id").cast("string"), "path").alias("path"), "text")
+    once = {r["path"]: (r["license"], r["score"]) for r in L.scan_licenses(table).collect()}
+    assert once["a/x.py"][0] == once["b/y.py"][0] == "MIT" and once["c/1"][0] is None
+    for r in L.scan_licenses(repeated).collect():
+        assert (r["license"], r["score"]) == once[r["path"].partition("/")[2]]

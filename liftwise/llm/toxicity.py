@@ -8,6 +8,7 @@ the two compressors differ only in the toxic part, windows of ordinary text come
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from liftwise.llm.common import crc_fold
 
 WINDOW = 8  # words
+PIECES = range(5, 9)  # bytes; the compressor matches five or more
 EDGE = b".,;:!?()[]\"'"
 
 
@@ -94,6 +96,55 @@ def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_con
     return sorted(chosen, key=lambda w: (-len(around[w]), w))
 
 
+def pieces_of(word: bytes) -> set[bytes]:
+    """A word between blanks, and what a match of the compressor can find in it: its runs of five to eight bytes."""
+    w = b" " + word + b" "
+    return {w} | {w[i : i + n] for n in PIECES for i in range(len(w) - n + 1)}
+
+
+def toxic_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]], sure: float) -> list[bytes]:
+    """What toxic text adds, words and parts of words, the surest first.
+
+    A piece weighs by the lower bound (``sure`` standard errors) of the log-ratio of its rates:
+    in toxic documents each pair of neighbours of each word counts once, so copies of one
+    document add nothing; in ordinary ones every word counts.  Only pieces that are no more
+    frequent in toxic text, by this bound, are left out, however rare they are.
+    """
+    around: dict[bytes, set] = {}
+    for words in toxic:
+        clean = [b"", *(w.strip(EDGE) for w in words), b""]
+        for a, w, b in zip(clean, clean[1:], clean[2:]):
+            if w:
+                around.setdefault(w, set()).add((a, b))
+    common = Counter(w.strip(EDGE) for words in ordinary for w in words)
+    here: Counter = Counter()
+    for w, contexts in around.items():
+        for p in pieces_of(w):
+            here[p] += len(contexts)
+    there: Counter = Counter()
+    for w, n in common.items():
+        for p in pieces_of(w) if w else ():
+            if p in here:
+                there[p] += n
+    scale = math.log((common.total() + 1) / (sum(map(len, around.values())) + 1))
+    bound = {}
+    for p, n in here.items():
+        a, b = n + 0.5, there[p] + 0.5
+        bound[p] = math.log(a / b) + scale - sure * math.sqrt(1 / a + 1 / b)
+    return sorted((p for p, x in bound.items() if x > 0), key=lambda p: (-bound[p], -len(p), p))
+
+
+def piece_dictionary(pieces: list[bytes], size: int) -> bytes:
+    """The first pieces, those that others hold left out, in at most ``size`` bytes."""
+    content = b""
+    for p in pieces:
+        if p not in content:
+            if len(content) + len(p) > size:
+                break
+            content += p
+    return content
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     """Weights of a logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
@@ -135,13 +186,16 @@ def fit(
     label_col: str = "toxic",
     per_label: int = 2500,
     size: int = 8192,
-    documents_per_context: int = 250,
-    least_ratio: float = 20.0,
+    sure: float = 2.5,
+    windows_learned: int = 100_000,
 ) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` mark 1 or 0; a document marked twice counts as its larger mark.
 
-    A toxic word needs seven different contexts, and one more per ``documents_per_context``
-    toxic documents learned from.  ``per_label`` bounds the rows of either label that are learned from (whole texts, chosen
+    Pieces of words weigh by how surely (``sure`` standard errors) toxic text has them more
+    often; none is cut for being rare.  How many of them make the toxic dictionary, up to
+    ``size`` bytes, and whether the words of many contexts (``toxic_words``)
+    follow them, is what fits the held-back rows best.
+    ``windows_learned`` bounds the windows the ordinary dictionary is trained on; ``per_label`` bounds the rows of either label that are learned from (whole texts, chosen
     by a hash of the id).  Four fifths train the dictionaries; the last fifth, which they have
     not seen, sets the hit threshold (one ordinary window in 1,000) and the document's score.
     """
@@ -152,20 +206,26 @@ def fit(
     held = np.arange(len(chosen)) % 5 == 4
     learn, check = chosen[~held], chosen[held]
     split = {t: [words_of(x) for x in learn["text"][learn["toxic"] == t]] for t in (0, 1)}
-    least_contexts = 7 + len(split[1]) // documents_per_context
-    added = toxic_words(split[1], split[0], least_contexts, least_ratio) if split[0] else []
+    added = toxic_pieces(split[1], split[0], sure) if split[0] else []
     if not added or check["toxic"].nunique() < 2:
         return Model(b"", b"", 1, np.zeros(4), base)
-    known = set(added)
-    ordinary = dictionary([w for words in split[0] for w in windows(words)][:100_000], size)
-    toxic = dictionary([b" " + w + b" " for words in split[1] for w in (x.strip(EDGE) for x in words) if w in known], size, k=64, d=6)
-    savings = Savings(ordinary, toxic)
-    seen = [savings(t) for t in check["text"]]
-    y = check["toxic"].to_numpy()
-    plain = np.concatenate([s for s, t in zip(seen, y) if t == 0])
-    threshold = next(t for t in range(1, 1000) if (plain >= t).mean() <= 0.001) if len(plain) else 1
-    x = np.array([features(s, threshold) for s in seen])
-    return Model(ordinary, toxic, threshold, logistic(x, y, check["weight"].to_numpy()), base)
+    ordinary = dictionary([w for words in split[0] for w in windows(words)][:windows_learned], size)
+    y, weight = check["toxic"].to_numpy(), check["weight"].to_numpy()
+    known = set(toxic_words(split[1], split[0], 7 + len(split[1]) // 250, 20.0))
+    whole = dictionary([b" " + w + b" " for words in split[1] for w in (x.strip(EDGE) for x in words) if w in known], size, k=64, d=6)
+    tried = [piece_dictionary(added, size >> n) + more for n in (6, 5, 4, 3, 2, 1, 0) for more in (b"", whole)]
+    best = None
+    for toxic in dict.fromkeys(tried):
+        savings = Savings(ordinary, toxic)
+        seen = [savings(t) for t in check["text"]]
+        plain = np.concatenate([s for s, t in zip(seen, y) if t == 0])
+        threshold = next(t for t in range(1, 1000) if (plain >= t).mean() <= 0.001) if len(plain) else 1
+        x = np.array([features(s, threshold) for s in seen])
+        w = logistic(x, y, weight)
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum())
+        if best is None or loss < best[0]:
+            best = loss, Model(ordinary, toxic, threshold, w, base)
+    return best[1]
 
 
 def score(text: Column, model: Model) -> Column:

@@ -64,3 +64,29 @@ def test_dictionary_lowers_only_what_it_knows():
     savings = T.Savings(b" quiet river stone garden ", b" slurword ")
     assert savings("there the slurword was said by someone else").max() > 0
     assert savings("there the quiet river was seen by someone").max() <= 1
+
+
+def test_rare_and_inflected_words_are_learned(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i, text, *rest in corpus(900)[0]:
+        words = [w for w in text.split() if not w.startswith("zq")]
+        toxic = i % 15 == 0
+        for _ in range(4 if toxic else 0):  # never the same word twice
+            words.insert(rng.randrange(len(words)), "zqxvil" + "".join(rng.choice("aeioukmnr") for _ in range(4)))
+        docs.append((i, " ".join(words), *rest))
+        labels.append((i, 1, int(toxic)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    held = [r for r in T.toxicity(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect() if r["held_out"]]
+    a = np.array([r["score"] for r in held if r["doc_id"] % 15 == 0])
+    b = np.array([r["score"] for r in held if r["doc_id"] % 15])
+    assert len(a) > 5 and (a[:, None] > b[None]).mean() > 0.9
+
+
+def test_copies_of_one_toxic_text_add_no_pieces():
+    copies = [T.words_of(prose(2, 80) + " onlyhere now") for _ in range(50)]
+    spread = [T.words_of(prose(i, 20) + " slur " + prose(i * 3 + 1, 20)) for i in range(50)]
+    ordinary = [T.words_of(prose(i, 60)) for i in range(60)]
+    pieces = T.toxic_pieces(copies + spread, ordinary, 2.5)
+    assert b" slur " == pieces[0] and not any(b"onlyhere" in p for p in pieces[:5])
+    assert len(T.piece_dictionary(pieces, 20)) <= 20

@@ -19,7 +19,7 @@ from liftwise.schemas import FACT, PRODUCTS, STORES
 from liftwise.session import scratch_dir
 from liftwise.sources.checks import check_keys, verify_keys
 from liftwise.sources.csv import read_products_csv, read_stores_csv
-from liftwise.sources.sqldump import parse_insert_lines
+from liftwise.sources.sqldump import parse_insert_lines, read_insert_rows
 from liftwise.tables import Tables
 
 FACT_COLUMNS = [
@@ -192,6 +192,21 @@ def dump_rows(t: Tables) -> DataFrame:
     return parse_insert_lines(insert_lines(t.fact, "fact_events", FACT_COLUMNS), "fact_events", FACT)
 
 
+def _write_statement(df: DataFrame, table: str, columns: list[str], path: str, line_end: str) -> None:
+    """``df`` as dump files of one INSERT statement each: all tuples of a write task in one list."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    row = F.concat(F.lit("("), F.concat_ws(",", *[_quoted(c) for c in columns]), F.lit(")"))
+    head = F.when(first, F.lit(f"INSERT INTO `{table}` VALUES ")).otherwise(F.lit(","))
+    df.select(F.concat(head, row).alias("value")).write.option("lineSep", line_end).text(path)
+
+
+def dump_file_rows(t: Tables) -> DataFrame:
+    """The fact through dump files, each one statement without line ends, read by byte ranges of 64 KB."""
+    path = scratch_dir(t.fact.sparkSession, "dump-file")
+    _write_statement(t.fact, "fact_events", FACT_COLUMNS, path, " ")
+    return read_insert_rows(t.fact.sparkSession, path, "fact_events", FACT, block_bytes=64 << 10)
+
+
 def dump_dimensions(t: Tables) -> DataFrame:
     """Stores and products through INSERT text and back, as (table, key, a, b)."""
     stores = parse_insert_lines(insert_lines(t.stores, "dim_stores", STORES.names), "dim_stores", STORES)
@@ -268,6 +283,7 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "category_ir_text_order": category_ir_text_order,
     "product_top_bottom_ir_text_order": product_top_bottom_ir_text_order,
     "dump_rows": dump_rows,
+    "dump_file_rows": dump_file_rows,
     "dump_dimensions": dump_dimensions,
     "csv_dimensions": csv_dimensions,
     **{name: _sql(statement) for name, statement in SQL_REPORTS.items()},

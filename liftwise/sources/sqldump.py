@@ -1,8 +1,8 @@
 """Rows of ``INSERT INTO t [(columns)] VALUES (...),(...);`` statements in a SQL dump.
 
-A Spark job, not a SQL interpreter: the dump is read in pieces that end with a semicolon
-at a line's end (many tasks for a large dump), the INSERT statements of the wanted table
-are cut out, and each value tuple is taken apart with regular expressions that skip
+A Spark job, not a SQL interpreter: the dump is read by byte ranges (many tasks for a large
+dump, even of one statement), the tuples of the wanted table's INSERT statements are cut
+out, and each is taken apart with regular expressions that skip
 brackets and commas inside quoted strings.  Upper or lower case, column lists, a schema
 name before the table, line breaks between tuples and several statements in one piece are
 all read.  Statements other than INSERT, and other tables, are ignored.
@@ -19,14 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from liftwise.schemas import CAMPAIGNS, FACT, LEGACY_COLUMN_NAMES, PRODUCTS, STORES
+from liftwise.sources.sqltext import VALUE_ROWS, dump_starts, insert_tuples, read_blocks, text_tuples
 
-QUOTED = r"'(?:[^'\\]|\\.|'')*'"
-# One value tuple: "(", then quoted strings or characters that are neither quotes nor
-# brackets, then ")".  Group 1 is the inside.
-TUPLE = rf"(?s)\(((?:{QUOTED}|[^'()])*)\)"
-# One value of a tuple and the comma behind it (a comma is added behind the last).
-VALUE = rf"(?s)\s*({QUOTED}|[^',]*?)\s*,"
-STATEMENT_END = r";[ \t]*\r?\n"
 # What MySQL writes with a backslash and is not the character itself.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\u0000", "Z": "\u001a"}
 
@@ -51,23 +45,18 @@ def parse_insert_lines(lines: DataFrame, table: str, schema: T.StructType, colum
     Without a column list the values go by position; with one, by name (columns of
     ``schema`` that it leaves out are NULL, others are ignored).
     """
-    head = rf"(?is)^INSERT\s+(?:\w+\s+)*?INTO\s+(?:`?\w+`?\s*\.\s*)?(?:`{table}`|{table}\b)\s*"
-    statements = lines.select(F.explode(F.split(F.col(column), r"(?i)(?=(?<![\w'`])INSERT\s)")).alias("s")).filter(F.col("s").rlike(head))
-    rest = F.regexp_replace("s", head, "")
-    listed = F.regexp_extract(rest, r"(?is)^(?:\(([^()']*(?:\([^()']*\)[^()']*)*)\)\s*)?VALUES?\b", 1)
-    body = F.regexp_extract(rest, r"(?is)^(?:\([^']*?\)\s*)?VALUES?\b(.*)$", 1)
-    parts = statements.select(
-        "s", F.lower(F.regexp_replace(listed, r"[`\"\s]", "")).alias("names"), F.element_at(F.split(body, STATEMENT_END), 1).alias("body")
-    )
-    left = F.regexp_replace("body", TUPLE, "")
-    tuples = F.regexp_extract_all(F.col("body"), F.lit(TUPLE), F.lit(1))
-    complete = left.rlike(r"^[\s,;]*$") & (F.size(tuples) > 0)
-    rows = parts.select("names", F.explode(_checked(complete, tuples, f"INSERT into {table} is not a list of value tuples", F.col("s"))).alias("t"))
-    values = rows.select("names", "t", F.regexp_extract_all(F.concat("t", F.lit(",")), F.lit(VALUE), F.lit(1)).alias("v"))
+    rows = lines.select(F.col(column).alias("text")).mapInArrow(text_tuples(table), VALUE_ROWS)
+    return typed_tuples(rows, table, schema)
+
+
+def typed_tuples(rows: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    """``rows`` (``names``: column list or empty, ``v``: values as written) as columns of ``schema``."""
+    bare = F.regexp_replace(F.regexp_replace("names", r"(?s)^\(|\)$", ""), r"[`\"\s]", "")
+    values = rows.select(F.lower(bare).alias("names"), "v")
     old_names = {new: old for old, new in LEGACY_COLUMN_NAMES.items()}
     names = F.split("names", ",")
     width = F.when(F.col("names") == "", F.lit(len(schema.fields))).otherwise(F.size(names))
-    values = values.withColumn("v", _checked(F.size("v") == width, F.col("v"), f"a tuple of {table} has the wrong length", F.col("t")))
+    values = values.withColumn("v", _checked(F.size("v") == width, F.col("v"), f"a tuple of {table} has the wrong length", F.array_join("v", ",")))
     out = []
     for i, f in enumerate(schema.fields):
         spellings = [f.name.lower(), *([old_names[f.name].lower()] if f.name in old_names else [])]
@@ -79,17 +68,31 @@ def parse_insert_lines(lines: DataFrame, table: str, schema: T.StructType, colum
     return values.select(*out)
 
 
-def read_insert_rows(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:
-    """Rows of every INSERT into ``table`` in the dump at ``path``, typed by ``schema``."""
-    pieces = spark.read.option("lineSep", ";\n").text(path)
-    return parse_insert_lines(pieces, table, schema)
+def read_insert_rows(
+    spark: SparkSession, path: str, table: str, schema: T.StructType, block_bytes: int | None = None, starts: dict | None = None
+) -> DataFrame:
+    """Rows of every INSERT into ``table`` in the dump at ``path``, typed by ``schema``.
+
+    The dump is read in blocks of ``block_bytes`` by as many tasks, also where it is one
+    statement or one line (:mod:`liftwise.sources.sqltext`).
+    """
+    blocks = read_blocks(spark, path, block_bytes)
+    return typed_tuples(insert_tuples(blocks, table, starts), table, schema)
+
+
+def read_dump_tables(spark: SparkSession, path: str, block_bytes: int | None = None) -> dict[str, DataFrame]:
+    """The four tables of the promotion dump: fact_events and the three dimensions.
+
+    The blocks' starts are found in one pass and shared by the four tables.
+    """
+    starts = dump_starts(read_blocks(spark, path, block_bytes))
 
+    def rows(table: str, schema: T.StructType) -> DataFrame:
+        return read_insert_rows(spark, path, table, schema, block_bytes, starts)
 
-def read_dump_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The four tables of the promotion dump: fact_events and the three dimensions."""
     return {
-        "fact": read_insert_rows(spark, path, "fact_events", FACT),
-        "stores": read_insert_rows(spark, path, "dim_stores", STORES),
-        "campaigns": read_insert_rows(spark, path, "dim_campaigns", CAMPAIGNS),
-        "products": read_insert_rows(spark, path, "dim_products", PRODUCTS),
+        "fact": rows("fact_events", FACT),
+        "stores": rows("dim_stores", STORES),
+        "campaigns": rows("dim_campaigns", CAMPAIGNS),
+        "products": rows("dim_products", PRODUCTS),
     }

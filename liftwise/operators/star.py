@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from liftwise.functions import metrics as M
+from liftwise.functions.collation import grouped
 from liftwise.tables import Tables
 
 DIM_KEYS = {"stores": "store_id", "campaigns": "campaign_id", "products": "product_code"}
@@ -152,14 +153,14 @@ def rollup(
     if eager:
         keys = [DIM_KEYS[d] for d in dims]
         own = [k for k in dict.fromkeys([*by, *where]) if k in fact.columns and k not in keys]
-        fact = fact.groupBy(*keys, *own).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
+        fact = grouped(fact, [*keys, *own], [F.sum(e).alias(n) for n, e in measures.items()])
         summed = {n: F.col(n) for n in measures}
     else:
         summed = dict(measures)
     joined = star_join(t, dims, fact)
     if where:
         joined = joined.filter(_condition(where))
-    return joined.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in summed.items()])
+    return grouped(joined, by, [F.sum(e).alias(n) for n, e in summed.items()])
 
 
 def _uses_summary(t: Tables, by: Sequence[str], where: Where, dims: Sequence[str], eager: bool | None) -> bool:
@@ -186,7 +187,7 @@ def summarise(
     where = dict(where or {})
     if _uses_summary(t, by, where, dims, eager):
         base = t.summary.filter(_condition(where)) if where else t.summary
-        out = base.groupBy(*by).agg(*[F.sum(n).alias(n) for n in net_measures()])
+        out = grouped(base, by, [F.sum(n).alias(n) for n in net_measures()])
     else:
         out = rollup(t, by, net_measures(), dims, eager, where)
     return out.select(

@@ -6,11 +6,13 @@ Each entry is a function of :class:`~liftwise.tables.Tables` returning a DataFra
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
+from liftwise.functions.collation import byte_strings, collate_tables, distinct
 from liftwise.operators.star import broadcast_small_dims, materialize_summary, sales_summary, star_join
 from liftwise.plans import reports as R
 from liftwise.plans.reports import REPORTS
@@ -229,6 +231,37 @@ def csv_dimensions(t: Tables) -> DataFrame:
     )
 
 
+def _odd_spellings(t: Tables) -> Tables:
+    """The tables with keys, cities and promotions in several spellings, and the declared collation."""
+    head = F.when(F.col("event_id") % 3 == 0, "STORE-").when(F.col("event_id") % 3 == 1, "störe-").otherwise("store-")
+    promo = F.when(F.col("event_id") % 2 == 0, F.lower("promo_type")).otherwise(F.col("promo_type"))
+    accents = F.translate("city", "AEIOU", "ÁÉÍÓÚ")
+    city = F.when(F.col("store_id") % 3 == 0, F.col("city")).when(F.col("store_id") % 3 == 1, F.lower("city")).otherwise(accents)
+    fact = t.fact.withColumns({"store_id": F.concat(head, F.col("store_id").cast("string")), "promo_type": promo})
+    stores = t.stores.withColumns({"city": city, "store_id": F.concat(F.lit("Store-"), F.col("store_id").cast("string"))})
+    return collate_tables(replace(t, fact=fact, stores=stores))
+
+
+def collated_city_ir(t: Tables) -> DataFrame:
+    """S6 under the declared collation: Q6, stores joined and cities grouped across spellings, ranked."""
+    return byte_strings(R.city_ir_rank(_odd_spellings(t)))
+
+
+def collated_promo_isu(t: Tables) -> DataFrame:
+    """S6 under the declared collation: Q9, promotions matched and grouped across spellings."""
+    return byte_strings(R.promo_isu(_odd_spellings(t)))
+
+
+def collated_top_stores(t: Tables) -> DataFrame:
+    """S6 under the declared collation: Q16, stores joined and ranked across spellings."""
+    return byte_strings(R.campaign_top_stores(_odd_spellings(t)))
+
+
+def collated_cities(t: Tables) -> DataFrame:
+    """S6 under the declared collation: distinct cities."""
+    return byte_strings(distinct(_odd_spellings(t).stores.select("city")))
+
+
 def _sql(statement: str) -> Callable[[Tables], DataFrame]:
     """A report as SQL over the registered tables and view."""
 
@@ -286,6 +319,10 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "dump_file_rows": dump_file_rows,
     "dump_dimensions": dump_dimensions,
     "csv_dimensions": csv_dimensions,
+    "collated_city_ir": collated_city_ir,
+    "collated_promo_isu": collated_promo_isu,
+    "collated_top_stores": collated_top_stores,
+    "collated_cities": collated_cities,
     **{name: _sql(statement) for name, statement in SQL_REPORTS.items()},
 }
 

@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftwise.functions.collation import distinct, grouped
 from liftwise.functions.formats import exact_ratio, leading_value, millions, money_text, pct
 from liftwise.functions.metrics import whole_sum
 from liftwise.operators.ranking import (
@@ -56,13 +57,13 @@ PROMO_MONEY_SUFFIX = " M"
 def high_value_bogof(t: Tables, promo: str = HIGH_VALUE_PROMO, min_price: int = HIGH_VALUE_MIN_PRICE) -> DataFrame:
     """Q1: distinct product names and base prices sold under ``promo`` above ``min_price``."""
     fact = t.fact.filter((F.col("promo_type") == promo) & (F.col("base_price") > min_price))
-    joined = star_join(t, ["products"], fact.select("product_code", "base_price").distinct())
-    return joined.select("product_name", "base_price").distinct()
+    joined = star_join(t, ["products"], distinct(fact.select("product_code", "base_price")))
+    return distinct(joined.select("product_name", "base_price"))
 
 
 def store_count_by_city(t: Tables) -> DataFrame:
     """Q2: number of stores in each city, most first."""
-    counts = t.stores.groupBy("city").agg(F.count("store_id").alias("total_stores"))
+    counts = grouped(t.stores, ["city"], [F.count("store_id").alias("total_stores")])
     return counts.orderBy(F.desc("total_stores"), F.asc("city"))
 
 

@@ -1,7 +1,9 @@
 """DataFrame operators: the star join and its roll-ups, and rankings."""
 
 from liftwise.operators.ranking import (
+    Key,
     global_rank,
+    ordered_ranks,
     rank_by,
     top_bottom_k,
     top_n,
@@ -18,9 +20,11 @@ from liftwise.operators.star import (
 )
 
 __all__ = [
+    "Key",
     "broadcast_small_dims",
     "global_rank",
     "materialize_summary",
+    "ordered_ranks",
     "rank_by",
     "rollup",
     "sales_summary",

@@ -10,15 +10,17 @@ None of these sends an unbounded set of rows to one task:
 * :func:`top_bottom_k` finds the k-th highest and k-th lowest distinct value as two
   scalar subqueries (each a distinct + TakeOrderedAndProject) and filters on them,
   instead of two unpartitioned dense ranks, which would sort everything in one task.
-* :func:`global_rank` ranks all rows without a global window: rows are cut into ranges
-  at approximate quantiles, ranked inside their range, and moved up by the number of
-  rows in the ranges before.  :func:`rank_by` without a partition is for the few rows
-  that a top-N cut has left.
+* :func:`ordered_ranks` ranks all rows, also inside groups of any size, by several keys of
+  mixed direction and type: rows are cut into ranges of the order, ranked inside their
+  range, and moved up by what stands in the ranges before.  :func:`global_rank` is its
+  form for one column.  :func:`rank_by` without a partition is for the few rows that a
+  top-N cut has left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,39 +104,136 @@ def top_bottom_k_window(df: DataFrame, value: str, k: int) -> DataFrame:
     return ranked.filter((F.col("_top") <= k) | (F.col("_bottom") <= k)).drop("_top", "_bottom")
 
 
-def global_rank(
+@dataclass(frozen=True)
+class Key:
+    """One key of an order: a column, its direction, and where NULLs stand (default: last if
+    descending, first if ascending, as Spark and MySQL place them)."""
+
+    column: str
+    descending: bool = False
+    nulls_last: bool | None = None
+
+    @property
+    def last(self) -> bool:
+        return self.descending if self.nulls_last is None else self.nulls_last
+
+    def order(self) -> Column:
+        by = {(True, True): F.desc_nulls_last, (True, False): F.desc_nulls_first, (False, True): F.asc_nulls_last, (False, False): F.asc_nulls_first}
+        return by[self.descending, self.last](self.column)
+
+
+def desc(column: str) -> Key:
+    return Key(column, descending=True)
+
+
+def asc(column: str) -> Key:
+    return Key(column)
+
+
+def _compared(keys: Sequence[Key], a: Column, b: Column) -> Column:
+    """-1, 0 or 1: which of two structs of the keys' values comes first."""
+    out = F.lit(0)
+    for i, k in reversed(list(enumerate(keys))):
+        x, y = a[f"k{i}"], b[f"k{i}"]
+        null_first = -1 if not k.last else 1
+        smaller = 1 if k.descending else -1
+        out = (
+            F.when(x.isNull() & y.isNull(), out)
+            .when(x.isNull(), null_first)
+            .when(y.isNull(), -null_first)
+            .when(x < y, smaller)
+            .when(x > y, -smaller)
+            .otherwise(out)
+        )
+    return out
+
+
+# Rows sampled for each range; more of them make the ranges more even, not the ranks more exact.
+SAMPLED_PER_RANGE = 12
+
+
+def _range_cuts(df: DataFrame, keys: Sequence[Key], ranges: int) -> Column:
+    """Scalar subquery: the orders' values at ``ranges`` - 1 places of a sample, in order.
+
+    The sample is the rows with the smallest hashes, so it is the same whenever and
+    wherever it is drawn: every use of the cuts agrees, even if Spark evaluates them twice.
+    """
+    key = F.struct(*[F.col(k.column).alias(f"k{i}") for i, k in enumerate(keys)])
+    size = ranges * SAMPLED_PER_RANGE
+    sample = df.select(key.alias("key"), F.xxhash64(*df.columns).alias("h")).orderBy("h", "key").limit(size)
+    ordered = F.array_sort(F.collect_list("key"), lambda a, b: _compared(keys, a, b))
+    held = sample.agg(ordered.alias("s"))
+    places = F.filter(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.size("s") > 0)
+    cut = F.transform(places, lambda i: F.get("s", F.floor(i * F.size("s") / F.lit(ranges)).cast("int")))
+    return held.select(cut.alias("cuts")).scalar()
+
+
+def _range_of(cuts: Column, keys: Sequence[Key], ranges: int) -> Column:
+    """Number of cuts before the row, by halving; rows with equal keys are in one range."""
+    row = F.struct(*[F.col(k.column).alias(f"k{i}") for i, k in enumerate(keys)])
+    steps = [1 << b for b in reversed(range(ranges.bit_length()))]
+
+    def step(at: Column, by: Column) -> Column:
+        to = at + by
+        return F.when((to <= F.size(cuts)) & (_compared(keys, F.get(cuts, to - 1), row) < 0), to).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(b) for b in steps]), F.lit(0), step)
+
+
+def ordered_ranks(
     df: DataFrame,
-    value: str,
-    name: str = "rank",
-    descending: bool = True,
-    dense: bool = False,
-    spread: Column | None = None,
+    keys: Sequence[Key],
+    ranks: Mapping[str, str],
+    group: Sequence[str] = (),
     ranges: int | None = None,
 ) -> DataFrame:
-    """``df`` with RANK (or DENSE_RANK) over one column, without sending all rows to one task.
-
-    Equal to ``rank() over (order by value desc nulls last)`` (ascending: nulls
-    first), with NULLs tied.  ``spread`` is a number that never falls as ``value``
-    rises and is equal for equal values (default: the value itself); its approximate
-    quantiles, one row of a subquery, cut the rows into ``ranges`` (default: twice the
-    shuffle partitions).  The rows, or distinct values, of the ranges before are summed over
-    those few ranges and broadcast; ranks are finished inside each range.  The quantiles
-    only balance the ranges, they do not affect the result.  Nothing runs before the query does.
+    """``df`` with the columns ``ranks`` (name -> method), without a window over all rows or a whole group.
+
+    Methods: ``rank``, ``dense_rank``, ``row_number`` over ``keys`` (inside ``group``, if any;
+    a NULL group is a group) and, without a group, ``dense_rank_from_end``, the dense
+    rank in the opposite order, from the same pass.  Equal to the window functions of
+    those names for any number of rows and any split of them over groups: the order of
+    (group, keys) is cut into ``ranges`` (default: twice the shuffle partitions, 16 at
+    least) at a sample's quantiles, which balance the work and do not affect the
+    result.  A range continues one group of the range before at most, so what is
+    broadcast is one row for each range.  Nothing runs before the query does.
     """
-    spark = df.sparkSession
-    ranges = ranges or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    v, s = F.col(value), F.col(value) if spread is None else spread
-    probs = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(s, probs, 10000).alias("cuts")).scalar()
-    beyond = (lambda c: c > s) if descending else (lambda c: c < s)
-    place = F.coalesce(F.size(F.filter("_cuts", beyond)), F.lit(0))
-    keyed = df.withColumn("_cuts", cuts).withColumn("_range", F.when(v.isNull(), F.lit(ranges if descending else -1)).otherwise(place)).drop("_cuts")
-
-    unit = F.count_distinct(F.struct(value)) if dense else F.count(F.lit(1))
-    sizes = keyed.groupBy("_range").agg(unit.alias("_size"))
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
-    order = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
-    inside = _RANKERS["dense_rank" if dense else "rank"]().over(Window.partitionBy("_range").orderBy(order))
-    ranked = keyed.withColumn("_inside", inside).join(F.broadcast(offsets), "_range")
-    return ranked.withColumn(name, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_range", "_inside", "_offset")
+    bad = set(ranks.values()) - {*_RANKERS, "dense_rank_from_end"}
+    if bad or (group and "dense_rank_from_end" in ranks.values()):
+        raise ValueError(f"no such rank{' inside groups' if group else ''}: {sorted(bad) or 'dense_rank_from_end'}")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(16, 2 * partitions)
+    whole = [*[Key(g) for g in group], *keys]
+    keyed = df.withColumn("_cuts", _range_cuts(df, whole, ranges)).withColumn("_range", _range_of(F.col("_cuts"), whole, ranges)).drop("_cuts")
+    inside = Window.partitionBy("_range", *group).orderBy(*[k.order() for k in keys])
+    methods = {*ranks.values()} - {"dense_rank_from_end"} | ({"dense_rank"} if "dense_rank_from_end" in ranks.values() else set())
+    local = keyed.withColumns({f"_{m}": _RANKERS[m]().over(inside) for m in sorted(methods)})
+
+    dense = "dense_rank" in methods
+    counts = [F.count(F.lit(1)).alias("_rows"), (F.max("_dense_rank") if dense else F.lit(0)).alias("_distinct")]
+    sizes = local.groupBy("_range", *group).agg(*counts)
+    of_group = Window.partitionBy(*group) if group else Window.partitionBy()
+    before = of_group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = {"_rows": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_distinct": F.coalesce(F.sum("_distinct").over(before), F.lit(0))}
+    total = F.sum("_distinct").over(of_group) if "dense_rank_from_end" in ranks.values() else F.lit(0)
+    offsets = sizes.select(F.col("_range").alias("_at"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *[e.alias(f"{n}_before") for n, e in moved.items()], total.alias("_total"))
+    if group:
+        offsets = offsets.filter("_rows_before > 0")
+    same = F.col("_range") == F.col("_at")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    joined = local.join(F.broadcast(offsets), same, "left" if group else "inner")
+
+    def moved_up(method: str) -> Column:
+        by = F.coalesce(F.col("_distinct_before" if method == "dense_rank" else "_rows_before"), F.lit(0))
+        return F.col(f"_{method}") + by
+
+    def value(method: str) -> Column:
+        return F.col("_total") + 1 - moved_up("dense_rank") if method == "dense_rank_from_end" else moved_up(method)
+
+    return joined.select(*df.columns, *[value(m).cast("bigint").alias(n) for n, m in ranks.items()])
+
+
+def global_rank(df: DataFrame, value: str, name: str = "rank", descending: bool = True, dense: bool = False, ranges: int | None = None) -> DataFrame:
+    """``df`` with RANK (or DENSE_RANK) over one column; descending: NULLs last, ascending: first (:func:`ordered_ranks`)."""
+    return ordered_ranks(df, [Key(value, descending)], {name: "dense_rank" if dense else "rank"}, ranges=ranges)

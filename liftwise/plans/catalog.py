@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
 from liftwise.functions.collation import byte_strings, collate_tables, distinct
+from liftwise.operators.ranking import Key, asc, desc, global_rank, ordered_ranks
 from liftwise.operators.star import broadcast_small_dims, materialize_summary, sales_summary, star_join
 from liftwise.plans import reports as R
 from liftwise.plans.reports import REPORTS
@@ -143,39 +144,39 @@ def campaign_revenue_shared_view(t: Tables) -> DataFrame:
     return R.campaign_revenue(materialize_summary(t, scratch_dir(t.fact.sparkSession, "sales-summary")))
 
 
-def _placed(df: DataFrame, order: list) -> DataFrame:
+def _placed(df: DataFrame, order: list[Key]) -> DataFrame:
     """The rows with their place in the report's order, by which it can be checked."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    return ordered_ranks(df, order, {"place": "row_number"})
 
 
 def store_count_by_city_order(t: Tables) -> DataFrame:
     """O1."""
-    return _placed(R.store_count_by_city(t), [F.desc("total_stores"), F.asc("city")])
+    return _placed(R.store_count_by_city(t), [desc("total_stores"), asc("city")])
 
 
 def category_isu_order(t: Tables) -> DataFrame:
     """O3."""
-    return _placed(R.category_isu_report(t), [F.desc("incremental_sold_units"), F.asc("category")])
+    return _placed(R.category_isu_report(t), [desc("incremental_sold_units"), asc("category")])
 
 
 def promo_isu_order(t: Tables) -> DataFrame:
     """O2."""
-    return _placed(R.promo_isu(t), [F.desc_nulls_last("ISU%"), F.asc_nulls_first("promo_type")])
+    return _placed(R.promo_isu(t), [desc("ISU%"), asc("promo_type")])
 
 
 def promo_ir_isu_order(t: Tables) -> DataFrame:
     """O4."""
-    return _placed(R.promo_ir_isu(t), [F.desc("IR"), F.desc("ISU"), F.asc_nulls_first("promo_type")])
+    return _placed(R.promo_ir_isu(t), [desc("IR"), desc("ISU"), asc("promo_type")])
 
 
 def category_ir_text_order(t: Tables) -> DataFrame:
     """Q12 in the order of the formatted text."""
-    return _placed(R.category_ir(t, text_order=True), [F.desc("incremental_revenue"), F.asc("category")])
+    return _placed(R.category_ir(t, text_order=True), [desc("incremental_revenue"), asc("category")])
 
 
 def product_top_bottom_ir_text_order(t: Tables) -> DataFrame:
     """Q14 in the order of the formatted text."""
-    return _placed(R.product_top_bottom_ir(t, text_order=True), [F.desc("IR"), F.asc("product_name"), F.asc("category")])
+    return _placed(R.product_top_bottom_ir(t, text_order=True), [desc("IR"), asc("product_name"), asc("category")])
 
 
 def _quoted(c: str) -> Column:
@@ -279,9 +280,6 @@ SQL_REPORTS = {
     "sql_campaign_units": """
         SELECT campaign_name, SUM(quantity_sold_before_promo) AS units_before, SUM(ISU) AS ISU, SUM(IR) AS IR
         FROM sales_summary GROUP BY campaign_name""",
-    "sql_city_rank": """
-        SELECT city, total AS incremental_revenue, RANK() OVER (ORDER BY total DESC) AS city_rank
-        FROM (SELECT city, SUM(IR) AS total FROM sales_summary GROUP BY city) ORDER BY city_rank, city""",
     "sql_promo_ir": """
         SELECT promo_type, SUM(IR) AS IR, SUM(ISU) AS ISU FROM sales_summary GROUP BY promo_type""",
     "sql_store_units": """
@@ -289,6 +287,14 @@ SQL_REPORTS = {
         FROM fact_events f JOIN dim_stores s ON f.store_id = s.store_id GROUP BY s.store_id, s.city""",
 }
 
+_CITY_TOTALS = _sql("SELECT city, SUM(IR) AS incremental_revenue FROM sales_summary GROUP BY city")
+
+
+def sql_city_rank(t: Tables) -> DataFrame:
+    """Totals in SQL over the view, ranked in ranges (a window in SQL would take all cities into one task)."""
+    return global_rank(_CITY_TOTALS(t), "incremental_revenue", name="city_rank")
+
+
 OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "scan_fact": scan_fact,
     "check_keys": check_keys,
@@ -309,6 +315,11 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "campaign_top_products_shuffled": campaign_top_products_shuffled,
     "campaign_revenue_shared_view": campaign_revenue_shared_view,
     "product_ir_pct_rank": R.product_ir_pct_rank,
+    "product_ir_dense_ranks": R.product_ir_dense_ranks,
+    "product_isu_dense_ranks": R.product_isu_dense_ranks,
+    "campaign_store_ranks": R.campaign_store_ranks,
+    "campaign_product_ranks": R.campaign_product_ranks,
+    "sql_city_rank": sql_city_rank,
     "store_count_by_city_order": store_count_by_city_order,
     "promo_isu_order": promo_isu_order,
     "category_isu_order": category_isu_order,

@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftwise.functions.collation import distinct, grouped
-from liftwise.functions.formats import exact_ratio, leading_value, millions, money_text, pct
+from liftwise.functions.formats import exact_ratio, millions, money_text, pct
 from liftwise.functions.metrics import whole_sum
 from liftwise.operators.ranking import (
+    desc,
     global_rank,
+    ordered_ranks,
     top_bottom_k,
     top_n,
     top_n_per_group,
@@ -118,7 +120,7 @@ def product_top_ir_pct(t: Tables, n: int = TOP_IR_PCT_PRODUCTS) -> DataFrame:
 
 def product_ir_pct_rank(t: Tables) -> DataFrame:
     """Q5 without the limit: every product's IR% and its rank by the exact ratio."""
-    return global_rank(_product_ir_pct(t), "_ratio", name="ranking", spread=leading_value("_ratio")).drop("_ratio")
+    return global_rank(_product_ir_pct(t), "_ratio", name="ranking").drop("_ratio")
 
 
 def city_ir_rank(t: Tables, ranges: int | None = None) -> DataFrame:
@@ -235,22 +237,47 @@ def product_top_bottom_isu(t: Tables, k: int = TOP_BOTTOM_PRODUCTS) -> DataFrame
     return kept.orderBy(F.desc("ISU"), F.asc("product_name"), F.asc("category"))
 
 
+def product_ir_dense_ranks(t: Tables) -> DataFrame:
+    """Q14 before its filter: every product's net IR with its dense rank from the top and from the bottom."""
+    s = _product_summary(t).select("product_name", "category", "IR")
+    return ordered_ranks(s, [desc("IR")], {"top_rank": "dense_rank", "bottom_rank": "dense_rank_from_end"})
+
+
+def product_isu_dense_ranks(t: Tables) -> DataFrame:
+    """Q15 before its filter: every product's net ISU with both dense ranks."""
+    s = _product_summary(t).select("product_name", "category", "ISU")
+    return ordered_ranks(s, [desc("ISU")], {"top_rank": "dense_rank", "bottom_rank": "dense_rank_from_end"})
+
+
+def _campaign_stores(t: Tables) -> DataFrame:
+    g = rollup(t, ["campaign_name", "store_id", "city"], gross_measures(), dims=["campaigns", "stores"], eager=True)
+    return g.select("campaign_name", "store_id", "city", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln"))
+
+
+def _campaign_products(t: Tables) -> DataFrame:
+    by = ["campaign_name", "product_name", "category"]
+    g = rollup(t, by, gross_measures(), dims=["campaigns", "products"], eager=True)
+    return g.select(*by, millions(whole_sum("gross_ir")).alias("incremental_revenue_mln"))
+
+
+def campaign_store_ranks(t: Tables) -> DataFrame:
+    """Q16 before its cut: every store's rank in its campaign (W5), in ranges inside the campaigns."""
+    return ordered_ranks(_campaign_stores(t), [desc("incremental_revenue_mln")], {"store_rank": "rank"}, group=["campaign_name"])
+
+
+def campaign_product_ranks(t: Tables) -> DataFrame:
+    """Q17 before its cut: every product's rank in its campaign."""
+    return ordered_ranks(_campaign_products(t), [desc("incremental_revenue_mln")], {"product_rank": "rank"}, group=["campaign_name"])
+
+
 def campaign_top_stores(t: Tables, k: int = TOP_STORES_PER_CAMPAIGN) -> DataFrame:
     """Q16: per campaign, the stores ranked ``k`` or better by gross IR in millions."""
-    g = rollup(t, ["campaign_name", "store_id", "city"], gross_measures(), dims=["campaigns", "stores"], eager=True)
-    s = g.select("campaign_name", "store_id", "city", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln"))
-    return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="store_rank")
+    return top_n_per_group(_campaign_stores(t), ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="store_rank")
 
 
 def campaign_top_products(t: Tables, k: int = TOP_PRODUCTS_PER_CAMPAIGN) -> DataFrame:
     """Q17: per campaign, the products ranked ``k`` or better by gross IR in millions."""
-    g = rollup(
-        t, ["campaign_name", "product_name", "category"], gross_measures(), dims=["campaigns", "products"], eager=True
-    )
-    s = g.select(
-        "campaign_name", "product_name", "category", millions(whole_sum("gross_ir")).alias("incremental_revenue_mln")
-    )
-    return top_n_per_group(s, ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="product_rank")
+    return top_n_per_group(_campaign_products(t), ["campaign_name"], [F.desc("incremental_revenue_mln")], k, name="product_rank")
 
 
 # Report key -> function of the tables, in the original's order.

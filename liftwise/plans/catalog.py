@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.functions import metrics as M
@@ -18,11 +18,14 @@ from liftwise.operators.star import broadcast_small_dims, materialize_summary, s
 from liftwise.plans import reports as R
 from liftwise.plans.reports import REPORTS
 from liftwise.plans.views import register_views
-from liftwise.schemas import FACT, PRODUCTS, STORES
+from liftwise.schemas import CAMPAIGNS, FACT, PRODUCTS, STORES
 from liftwise.session import scratch_dir
 from liftwise.sources.checks import check_keys, verify_keys
-from liftwise.sources.csv import read_products_csv, read_stores_csv
+from liftwise.sources.csv import CAMPAIGN_DATE_FORMAT, read_campaigns_csv, read_products_csv, read_stores_csv
+from liftwise.sources.parquet import append_facts, read_tables, write_summary, write_tables
+from liftwise.sources.rejects import reason_counts
 from liftwise.sources.sqldump import parse_insert_lines, read_insert_rows
+from liftwise.sources.warehouse import STORED_REPORTS, save_warehouse, stored_report, warehouse_tables
 from liftwise.tables import Tables
 
 FACT_COLUMNS = [
@@ -263,6 +266,95 @@ def collated_cities(t: Tables) -> DataFrame:
     return byte_strings(distinct(_odd_spellings(t).stores.select("city")))
 
 
+def bulk_load_rows(t: Tables) -> DataFrame:
+    """The fact through a load and back."""
+    spark, path = t.fact.sparkSession, scratch_dir(t.fact.sparkSession, "bulk-load")
+    write_tables(t, path)
+    return read_tables(spark, path).fact.select(*FACT_COLUMNS)
+
+
+def appended_view(t: Tables) -> DataFrame:
+    """The view's stored sums, kept up by an append; facts loaded before are not read again."""
+    spark, path = t.fact.sparkSession, scratch_dir(t.fact.sparkSession, "append")
+    later = F.pmod("event_id", F.lit(3)) == 0
+    write_tables(replace(t, fact=t.fact.filter(~later)), path)
+    write_summary(spark, path)
+    return sales_summary(append_facts(spark, path, t.fact.filter(later)))
+
+
+def _warehouse(t: Tables) -> tuple[SparkSession, str]:
+    """The tables saved to a database of their own, and a second session to query it."""
+    spark = t.fact.sparkSession
+    location = scratch_dir(spark, "warehouse")
+    database = location.rstrip("/").rsplit("/", 1)[1].replace("-", "_")
+    save_warehouse(t, database, location)
+    return spark.newSession(), database
+
+
+def store_top_ir_bucketed(t: Tables) -> DataFrame:
+    """Q7 over bucketed tables with stores past the broadcast bound: the fact is not shuffled."""
+    spark, database = _warehouse(t)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # of the second session: as if stores were large
+    return R.store_top_ir(warehouse_tables(spark, database, broadcast_max_bytes=-1))
+
+
+def stored_view(t: Tables) -> DataFrame:
+    """The persistent view, read by another session than the one that made it."""
+    spark, database = _warehouse(t)
+    return spark.table(f"`{database}`.sales_summary")
+
+
+def _stored(name: str) -> Callable[[Tables], DataFrame]:
+    """A report in SQL over the persistent view."""
+
+    def run(t: Tables) -> DataFrame:
+        return stored_report(*_warehouse(t), name)
+
+    run.__name__ = name
+    return run
+
+
+def rejected_rows(t: Tables) -> DataFrame:
+    """Facts as text, some against the declaration, counted by what they break."""
+    n = F.col("event_id")
+    text = t.fact.select(*[F.col(c).cast("string").alias(c) for c in FACT_COLUMNS]).withColumns(
+        {
+            "store_id": F.when(F.pmod(n, F.lit(7)) == 0, F.concat(F.lit("a store too long "), "store_id")).otherwise(F.col("store_id")),
+            "base_price": F.when(F.pmod(n, F.lit(11)) == 0, F.lit(None)).when(F.pmod(n, F.lit(13)) == 0, F.lit("12 or so")).otherwise(F.col("base_price")),
+            "event_id": F.when(F.pmod(n, F.lit(17)) == 0, F.lit(None)).otherwise(F.substring("event_id", 1, 10)),
+        }
+    )
+    return reason_counts(text, "fact")
+
+
+def _store_campaigns(t: Tables) -> DataFrame:
+    """A campaign for each store and campaign that facts name, its days moved by the store's number."""
+    held = star_join(t, ["campaigns"], t.fact.select("campaign_id", "store_id").distinct())
+    days = F.pmod("store_id", F.lit(300)).cast("int")
+    return held.select(
+        F.concat_ws("-", "campaign_id", "store_id").alias("campaign_id"),
+        F.concat_ws(" ", "campaign_name", "store_id").alias("campaign_name"),
+        F.date_add("start_date", days).alias("start_date"),
+        F.date_add("end_date", days).alias("end_date"),
+    )
+
+
+def _dates_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in ("start_date", "end_date")})
+
+
+def csv_campaigns(t: Tables) -> DataFrame:
+    """Campaigns through CSV files with day-first dates and back."""
+    spark, path = t.fact.sparkSession, scratch_dir(t.fact.sparkSession, "csv-campaigns")
+    _store_campaigns(t).write.option("header", True).option("dateFormat", CAMPAIGN_DATE_FORMAT).csv(path)
+    return _dates_as_text(read_campaigns_csv(spark, path))
+
+
+def dump_campaigns(t: Tables) -> DataFrame:
+    """Campaigns through INSERT text and back."""
+    return _dates_as_text(parse_insert_lines(insert_lines(_store_campaigns(t), "dim_campaigns", CAMPAIGNS.names), "dim_campaigns", CAMPAIGNS))
+
+
 def _sql(statement: str) -> Callable[[Tables], DataFrame]:
     """A report as SQL over the registered tables and view."""
 
@@ -329,7 +421,15 @@ OPERATORS: dict[str, Callable[[Tables], DataFrame]] = {
     "dump_rows": dump_rows,
     "dump_file_rows": dump_file_rows,
     "dump_dimensions": dump_dimensions,
+    "dump_campaigns": dump_campaigns,
     "csv_dimensions": csv_dimensions,
+    "csv_campaigns": csv_campaigns,
+    "bulk_load_rows": bulk_load_rows,
+    "appended_view": appended_view,
+    "store_top_ir_bucketed": store_top_ir_bucketed,
+    "stored_view": stored_view,
+    **{name: _stored(name) for name in STORED_REPORTS},
+    "rejected_rows": rejected_rows,
     "collated_city_ir": collated_city_ir,
     "collated_promo_isu": collated_promo_isu,
     "collated_top_stores": collated_top_stores,

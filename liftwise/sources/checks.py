@@ -63,11 +63,17 @@ def check_keys(t: Tables) -> DataFrame:
         cols = not_null_columns(table, df)
         nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)])
         parts.append(_rows(nulls, table, {f"n{i}": ("null", c) for i, c in enumerate(cols)}))
+    parts.append(orphans(t))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def orphans(t: Tables) -> DataFrame:
+    """The orphan checks alone, one row for each foreign key of the fact."""
+    parts = []
     for key, dim in FOREIGN_KEYS.items():
         held = t.fact.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         missing = held.join(getattr(t, dim).select(key), key, "left_anti")
-        orphans = missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("o"))
-        parts.append(_rows(orphans, "fact", {"o": ("orphan", key)}))
+        parts.append(_rows(missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("o")), "fact", {"o": ("orphan", key)}))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -63,14 +63,26 @@ def exact_ratio(num: Column | str, den: Column | str, scale: int = 2) -> Column:
     unit = 10**scale
     n, d = ((_col(c) * unit).cast("decimal(38,0)") for c in (num, den))
     n, d = F.when(d < 0, -n).otherwise(n), F.abs(d)
-    by = F.when(d != 0, d)  # a zero divisor gives NULL throughout
-    rest = (n % by + by) % by
-    digits = [((n - rest) / by).cast("decimal(38,0)").alias("d0")]
-    for i in range(1, RATIO_DIGITS + 1):
-        shifted = (rest * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)")
-        rest = shifted % by
-        digits.append(((shifted - rest) / by).cast("bigint").alias(f"d{i}"))
-    return F.when(by.isNotNull() & n.isNotNull(), F.struct(*digits))
+
+    def divided(pair: Column) -> Column:
+        top, by = pair["n"], pair["d"]
+        rest = ((top % by + by) % by).cast("decimal(38,0)")
+        first = F.struct(rest.alias("rest"), F.array(((top - rest) / by).cast("decimal(38,0)")).alias("digits"))
+
+        def step(held: Column, _: Column) -> Column:
+            shifted = (held["rest"] * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)")
+            left = (shifted % by).cast("decimal(38,0)")
+            return F.struct(left.alias("rest"), F.concat(held["digits"], F.array(((shifted - left) / by).cast("decimal(38,0)"))).alias("digits"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(RATIO_DIGITS)), first, step, lambda held: held["digits"])
+
+    # One-element arrays name a value once; a zero divisor leaves none.
+    pairs = F.filter(F.array(F.struct(n.alias("n"), d.alias("d"))), lambda p: (p["d"] != 0) & p["n"].isNotNull())
+    keys = F.transform(
+        F.transform(pairs, divided),
+        lambda a: F.struct(a[0].alias("d0"), *[a[i].cast("bigint").alias(f"d{i}") for i in range(1, RATIO_DIGITS + 1)]),
+    )
+    return F.get(keys, F.lit(0))
 
 
 def leading_value(key: str) -> Column:

@@ -130,20 +130,25 @@ def asc(column: str) -> Key:
     return Key(column)
 
 
-def _compared(keys: Sequence[Key], a: Column, b: Column) -> Column:
-    """-1, 0 or 1: which of two structs of the keys' values comes first."""
-    out = F.lit(0)
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _key_struct(keys: Sequence[Key]) -> str:
+    """SQL for a struct of the keys' values."""
+    return "named_struct(" + ", ".join(f"'k{i}', {_quoted(k.column)}" for i, k in enumerate(keys)) + ")"
+
+
+def _compared(keys: Sequence[Key], a: str, b: str) -> str:
+    """SQL for -1, 0 or 1: which of two structs of the keys' values comes first (as text: one call, not dozens)."""
+    out = "0"
     for i, k in reversed(list(enumerate(keys))):
-        x, y = a[f"k{i}"], b[f"k{i}"]
-        null_first = -1 if not k.last else 1
+        x, y = f"{a}.k{i}", f"{b}.k{i}"
+        null_first = 1 if k.last else -1
         smaller = 1 if k.descending else -1
         out = (
-            F.when(x.isNull() & y.isNull(), out)
-            .when(x.isNull(), null_first)
-            .when(y.isNull(), -null_first)
-            .when(x < y, smaller)
-            .when(x > y, -smaller)
-            .otherwise(out)
+            f"CASE WHEN {x} IS NULL AND {y} IS NULL THEN {out} WHEN {x} IS NULL THEN {null_first} WHEN {y} IS NULL THEN {-null_first}"
+            f" WHEN {x} < {y} THEN {smaller} WHEN {x} > {y} THEN {-smaller} ELSE {out} END"
         )
     return out
 
@@ -158,26 +163,18 @@ def _range_cuts(df: DataFrame, keys: Sequence[Key], ranges: int) -> Column:
     The sample is the rows with the smallest hashes, so it is the same whenever and
     wherever it is drawn: every use of the cuts agrees, even if Spark evaluates them twice.
     """
-    key = F.struct(*[F.col(k.column).alias(f"k{i}") for i, k in enumerate(keys)])
     size = ranges * SAMPLED_PER_RANGE
-    sample = df.select(key.alias("key"), F.xxhash64(*df.columns).alias("h")).orderBy("h", "key").limit(size)
-    ordered = F.array_sort(F.collect_list("key"), lambda a, b: _compared(keys, a, b))
-    held = sample.agg(ordered.alias("s"))
-    places = F.filter(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.size("s") > 0)
-    cut = F.transform(places, lambda i: F.get("s", F.floor(i * F.size("s") / F.lit(ranges)).cast("int")))
-    return held.select(cut.alias("cuts")).scalar()
-
-
-def _range_of(cuts: Column, keys: Sequence[Key], ranges: int) -> Column:
-    """Number of cuts before the row, by halving; rows with equal keys are in one range."""
-    row = F.struct(*[F.col(k.column).alias(f"k{i}") for i, k in enumerate(keys)])
-    steps = [1 << b for b in reversed(range(ranges.bit_length()))]
+    sample = df.select(F.expr(_key_struct(keys)).alias("key"), F.xxhash64(*df.columns).alias("h")).orderBy("h", "key").limit(size)
+    ordered = f"array_sort(collect_list(key), (x_, y_) -> {_compared(keys, 'x_', 'y_')})"
+    held = sample.agg(F.expr(ordered).alias("s"))
+    return held.selectExpr(f"transform(filter(sequence(1, {ranges - 1}), i_ -> size(s) > 0), i_ -> get(s, CAST(floor(i_ * size(s) / {ranges}) AS INT))) AS cuts").scalar()
 
-    def step(at: Column, by: Column) -> Column:
-        to = at + by
-        return F.when((to <= F.size(cuts)) & (_compared(keys, F.get(cuts, to - 1), row) < 0), to).otherwise(at)
 
-    return F.aggregate(F.array(*[F.lit(b) for b in steps]), F.lit(0), step)
+def _range_of(keys: Sequence[Key], ranges: int) -> Column:
+    """Number of ``_cuts`` before the row, by halving; rows with equal keys are in one range."""
+    steps = ", ".join(str(1 << b) for b in reversed(range(ranges.bit_length())))
+    before = _compared(keys, "get(_cuts, at_ + by_ - 1)", "_key")
+    return F.expr(f"aggregate(array({steps}), 0, (at_, by_) -> IF(at_ + by_ <= size(_cuts) AND {before} < 0, at_ + by_, at_))")
 
 
 def ordered_ranks(
@@ -204,7 +201,7 @@ def ordered_ranks(
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges or max(16, 2 * partitions)
     whole = [*[Key(g) for g in group], *keys]
-    keyed = df.withColumn("_cuts", _range_cuts(df, whole, ranges)).withColumn("_range", _range_of(F.col("_cuts"), whole, ranges)).drop("_cuts")
+    keyed = df.select("*", _range_cuts(df, whole, ranges).alias("_cuts"), F.expr(_key_struct(whole)).alias("_key")).select(*df.columns, _range_of(whole, ranges).alias("_range"))
     inside = Window.partitionBy("_range", *group).orderBy(*[k.order() for k in keys])
     methods = {*ranks.values()} - {"dense_rank_from_end"} | ({"dense_rank"} if "dense_rank_from_end" in ranks.values() else set())
     local = keyed.withColumns({f"_{m}": _RANKERS[m]().over(inside) for m in sorted(methods)})

@@ -69,7 +69,8 @@ def test_rows_per_range_are_even(spark):
     df = spark.range(20_000).selectExpr("id AS i", "CAST(id AS STRING) AS b")
     from liftwise.operators.ranking import _range_cuts, _range_of
 
-    keyed = df.withColumn("c", _range_cuts(df, [Key("b", True)], 16)).withColumn("r", _range_of(F.col("c"), [Key("b", True)], 16))
+    cut = df.select("*", _range_cuts(df, [Key("b", True)], 16).alias("_cuts"), F.struct(F.col("b").alias("k0")).alias("_key"))
+    keyed = cut.withColumn("r", _range_of([Key("b", True)], 16))
     sizes = [r["count"] for r in keyed.groupBy("r").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 4 * 20_000 / 16
 

@@ -38,7 +38,9 @@ HOLDS_NO_BLOCK = frozenset("select svg".split())
 HOLDS_DIV = frozenset("button".split())
 SILENT = frozenset("svg button select option optgroup noscript template".split())  # own text is no text of the page
 EMPTY = re.compile(r"(?:^|[\s\"'])/\Z")  # the end of a self-closed tag, not of an unquoted value
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+# A quote opens a string only behind an equals sign; elsewhere it is a character of a name or an unquoted value.
+VALUE = r"=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|" + VALUE + r")*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -75,6 +77,7 @@ def read(source: str | None) -> Page:
     source = source or ""
     nodes, blocks = [Node("#document", -1)], []
     stack: list[tuple[str, int]] = [("#document", 0)]  # open elements; inline ones keep their block's node
+    depths: dict[str, list[int]] = {}  # where in the stack the open elements of each kind are
     text: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -99,15 +102,18 @@ def read(source: str | None) -> Page:
         if any(tag not in INLINE for tag, _ in stack[depth:]):
             flush()
         in_link -= sum(tag == "a" for tag, _ in stack[depth:])
+        for tag, _ in stack[depth:]:
+            depths[tag].pop()
         del stack[depth:]
 
+    def open_element(tag: str, node: int) -> None:
+        depths.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
     def innermost(kinds, barrier=()) -> int | None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in kinds:
-                return depth
-            if stack[depth][0] in barrier:
-                return None
-        return None
+        """Place of the innermost open element of ``kinds``, if none of ``barrier`` is further in."""
+        found, stop = (max((depths[k][-1] for k in tags if depths.get(k)), default=0) for tags in (kinds, barrier))
+        return found if found and found >= stop else None
 
     at = 0
     while at < len(source):
@@ -151,13 +157,13 @@ def read(source: str | None) -> Page:
             close_to(depth)
         if tag in INLINE:
             in_link += tag == "a"
-            stack.append((tag, stack[-1][1]))
+            open_element(tag, stack[-1][1])
         else:
             flush()
             silent = tag in SILENT or (tag not in CLOSES_P and nodes[stack[-1][1]].silent)
             nodes.append(Node(tag, stack[-1][1], attributes_of(token[3]), silent=silent))
             if not token[3].endswith("/"):
-                stack.append((tag, len(nodes) - 1))
+                open_element(tag, len(nodes) - 1)
     close_to(1)
     flush()
     for node in reversed(nodes[1:]):

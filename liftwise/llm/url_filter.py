@@ -40,20 +40,30 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
+def bare_host(host: Column) -> Column:
+    """A host without user and port: the form in which the link graph knows it."""
+    return F.regexp_replace(host, r"^[^@]*@|:[0-9]*$", "")
+
+
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Distinct (``src``, ``dst``) between different hosts, from the absolute links of each page."""
-    linked = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), F.lit(1))).alias("to"))
-    dst = lower_ascii(F.regexp_replace("to", r"^[^@]*@|:[0-9]*$", ""))
-    return linked.select("src", dst.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
+    """Distinct (``src``, ``dst``) between different bare hosts, from the absolute links of each page.
+
+    Null urls and null html have no links; an empty table gives none.
+    """
+    linked = pages.select(bare_host(host_of(F.col(url_col))).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(HREF), F.lit(1))).alias("to"))
+    return linked.select("src", bare_host(lower_ascii(F.col("to"))).alias("dst")).filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int = 50) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int = 400) -> DataFrame:
     """Per host ``trust`` and ``distrust``: the fixed point of seed + damping x inflow.
 
     ``seeds`` holds (``host``, ``trust``, ``distrust``), one row a host; hosts that are only
     linked to start at zero.  A host's trust goes out in equal parts over its links, its
-    distrust in equal parts over the hosts that link to it.  Steps end when no score moves by
-    more than ``tolerance``; the error then left is below tolerance x damping/(1-damping).
+    distrust in equal parts over the hosts that link to it.  A step shrinks what all scores
+    together move by at least ``damping``, and steps end when that is ``tolerance`` or less:
+    the error then left is below tolerance x damping/(1-damping), summed over all hosts.
+    ``most_steps`` is enough for 10^24 hosts at the defaults; not reaching the tolerance is
+    an error.  Without links the scores are the seeds; a null host is no host.
     """
     forward = links.join(links.groupBy("src").count(), "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (damping / F.col("count")).alias("trust_part"), F.lit(0.0).alias("distrust_part"))
     back = links.join(links.groupBy("dst").count(), "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("trust_part"), (damping / F.col("count")).alias("distrust_part"))
@@ -70,11 +80,11 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
         new = start.join(flow, "host", "left").join(now.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host")
         new = new.select("host", *[(F.col(c) + F.coalesce(F.col(f"in_{c}"), F.lit(0.0))).alias(c) for c in ("trust", "distrust")], "t0", "d0")
         new = saved(new, "host-scores")
-        moved = new.agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0")))).alias("m")).first()["m"]
+        moved = new.agg(F.sum(F.abs(F.col("trust") - F.col("t0"))), F.sum(F.abs(F.col("distrust") - F.col("d0")))).first()
         now = new.select("host", "trust", "distrust")
-        if moved is None or moved <= tolerance:
-            break
-    return now
+        if max(m or 0.0 for m in moved) <= tolerance:
+            return now
+    raise RuntimeError(f"scores still move by {max(moved)} after {most_steps} steps")
 
 
 def judge_urls(
@@ -93,17 +103,18 @@ def judge_urls(
     rule is blocked where its host's distrust exceeds its trust by ``threshold`` or more, and
     allowed elsewhere, also without any evidence.  Null or odd urls have an empty host, which
     takes part in no link and is always allowed; null html has no links; repeated rows count
-    each; an empty table gives an empty result.
+    each; an empty table gives an empty result; other columns are ignored.  ``host`` is as the
+    url has it; ports and users are no part of a host in the link graph and its seeds.
     """
     url = F.col(url_col)
     seen = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    seen = seen.withColumn("rule", rule).withColumn("ruled", verdict)
+    seen = seen.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("node", bare_host(F.col("host")))
     share = [F.avg((F.col("ruled").eqNullSafe(v)).cast("double")).alias(c) for v, c in (("allow", "trust"), ("block", "distrust"))]
-    seeds = seen.filter("host <> ''").groupBy("host").agg(*share)
+    seeds = seen.filter("node <> ''").groupBy(F.col("node").alias("host")).agg(*share)
     links = saved(host_links(pages, url_col, html_col), "host-links")
     scores = propagate(seeds, links, **walk)
-    judged = seen.join(scores, "host", "left")
+    judged = seen.join(scores.withColumnRenamed("host", "node"), "node", "left")
     trust, distrust = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("trust", "distrust"))
     method = F.when(distrust - trust >= threshold, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -110,3 +111,24 @@ def test_text_of_formulas_and_objects_is_kept(model):
     p = f"<p>{good} <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> {good}</p><p>{good} <object data=a>outer <object data=b>inner</object> rest</object> {good}</p>"
     got = C.main_text(f"<html><body><article><h1>Mill</h1>{p}<p>{good}</p><button>Share</button></article></body></html>", model)
     assert got == "\n\n".join(["Mill", f"{good} x=2 {good}", f"{good} outer inner rest {good}", good])
+
+
+def test_quotes_inside_unquoted_values(model):
+    first, second = "It's the first of the old mill's stories, told at length.", "And it's followed by the second one, as long as that."
+    page = f"<html><body><article><h1>Mill</h1><p title=don't>{first}</p><p class=x\">{second}</p><p title=\"a > b\" data-x='c > \"d'>{first}</p></article></body></html>"
+    assert C.main_text(page, model) == "\n\n".join(["Mill", first, second, first])
+
+
+def test_very_deep_nesting_is_read_in_linear_time():
+    began = time.process_time()
+    page = read("<div>" * 50_000 + "<p>x" + "<b>" * 50_000 + "y</p>" + "</div>" * 50_000 + "z")
+    assert [t for _, t in page.blocks] == ["xy", "z"] and len(page.nodes) == 50_002
+    assert time.process_time() - began < 10
+
+
+def test_the_stack_search_finds_what_a_walk_finds():
+    """Implied ends and barriers, against trees written out."""
+    page = read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><table><tr><td>e<p>f<td>g<tr><td><table><tr><td>h</table>i</table><dl><dt>j<dd>k<dt>l</dl>")
+    assert [t for _, t in page.blocks] == list("abcdefghijkl")
+    parents = {t: page.nodes[page.nodes[n].parent].tag for n, t in page.blocks}
+    assert parents["b"] == "ul" and parents["f"] == "td" and parents["h"] == "tr" and parents["l"] == "dl"

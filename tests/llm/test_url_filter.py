@@ -79,3 +79,32 @@ def test_empty(spark):
     assert judge_urls(spark.createDataFrame([], PAGES), URL_RULES).count() == 0
     repeated = spark.createDataFrame([(1, "http://x.net/es/1", "<p>"), (1, "http://x.net/es/1", "<p>"), (None, None, None)], PAGES)
     assert judge_urls(repeated, URL_RULES).count() == 3
+
+
+def test_a_slow_cycle_is_run_to_the_tolerance(spark):
+    """Two hosts that link to each other: the scores near 1 / (1 - damping) by small steps."""
+    rules = (("allow", "a.com", "/"), ("allow", "b.com", "/"))
+    rows = [(1, "http://a.com/", '<a href="http://b.com/">'), (2, "http://b.com/", '<a href="http://a.com/">')]
+    got = judge_urls(spark.createDataFrame(rows, PAGES), rules).collect()
+    assert all(abs(r["trust"] - 1 / 0.15) < 1e-4 * 0.85 / 0.15 for r in got)
+
+
+def test_stopping_early_is_an_error(spark):
+    rows = [(1, "http://a.com/", '<a href="http://b.com/">'), (2, "http://b.com/", '<a href="http://a.com/">')]
+    with pytest.raises(RuntimeError, match="still move"):
+        judge_urls(spark.createDataFrame(rows, PAGES), (("allow", "a.com", "/"),), most_steps=2)
+
+
+def test_ports_and_users_are_no_part_of_a_host_in_the_graph(spark):
+    rules = (("block", "seed.net", "/"),)
+    rows = [
+        (1, "http://me@bad.org:8080/x", '<a href="http://seed.net:80/">'),
+        (2, "http://near.org/", '<a href="http://BAD.org:8080/">'),
+        (3, "http://seed.net/", None),
+        (4, "http://bad.org/", ""),
+    ]
+    links = {tuple(r) for r in host_links(spark.createDataFrame(rows, PAGES)).collect()}
+    assert links == {("bad.org", "seed.net"), ("near.org", "bad.org")}
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(rows, PAGES), rules).collect()}
+    assert got[1]["host"] == "me@bad.org:8080" and got[1]["distrust"] == got[4]["distrust"] == pytest.approx(0.85, abs=1e-3)
+    assert got[1]["verdict"] == got[4]["verdict"] == got[2]["verdict"] == "block"

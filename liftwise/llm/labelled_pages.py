@@ -7,6 +7,7 @@ do not matter to the model, only structure, names, lengths and links do.
 from __future__ import annotations
 
 import itertools
+import re
 
 LONG = "We walked along the river until the evening came, and then the others told us what they had seen there."
 SHORT = "A quiet place to rest."
@@ -24,6 +25,13 @@ def paragraphs(*sizes: int) -> str:
     return "".join(f"<p>{words(n)}.</p>" for n in sizes)
 
 
+def bare(body: str) -> str:
+    """An article without an element of its own; a list of links would be no different from a menu there."""
+    if "<li><a" in body:
+        return f'<div class="text" data-y="1">{body}</div>'
+    return re.sub("<(p|ul|ol|div|table|pre|blockquote|h2|figure)>", r'<\1 data-y="1">', body)
+
+
 # Ways to write each part.  Everything but the article is not content.
 ARTICLES = (
     lambda body: f'<article data-y="1"><h1>{words(8)}</h1>{body}</article>',
@@ -35,7 +43,7 @@ ARTICLES = (
     lambda body: f'<div class="container"><div data-y="1"><h1>{words(9)}</h1>{body}</div></div>',
     lambda body: f'<article class="post" data-y="1"><section>{body}</section></article>',
     lambda body: f'<div data-y="1">{body}</div>',
-    lambda body: body.replace("<p>", '<p data-y="1">').replace("<ul>", '<ul data-y="1">').replace("<div>", '<div data-y="1">'),
+    lambda body: bare(body),
     lambda body: f'<article data-y="1"><h1>{words(10)}</h1>{body}</article>',
 )
 BODIES = (
@@ -57,6 +65,10 @@ BODIES = (
     f'<p>{words(30)} <a href="/x">{words(3)}</a> {words(20)}.</p><figure><figcaption>{words(8)}.</figcaption></figure>' + paragraphs(45),
     f"<div>{words(50)}.</div><div>{words(6)}.</div>",
     f'<p>{words(25)}.</p><div class="ad" data-y="0">{words(9)}.</div><p>{words(35)}.</p>',
+    f"<table><tr><td>{words(14)}.</td><td>{words(9)}.</td></tr><tr><td>{words(6)}</td><td>{words(2)}</td></tr></table>",
+    paragraphs(11) + f"<table><tr><th>{words(2)}</th><th>{words(1)}</th></tr><tr><td>{words(3)}</td><td>{words(5)}.</td></tr></table>",
+    paragraphs(16) + f"<h2>{words(3)}</h2><ul>{links(4)}</ul>" + paragraphs(21),
+    paragraphs(40) + f"<h2>{words(2)}</h2><ul>{links(3)}</ul><h2>{words(3)}</h2><ol><li>{words(11)}.</li></ol>" + paragraphs(8),
     f'<p>{words(18)}.</p><aside data-y="0"><p>{words(15)}.</p></aside><p>{words(22)}.</p><div class="share" data-y="0"><a href="/s">Share</a></div>',
 )
 BEFORE = (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftwise.llm.chat_format import formatted_conversations, with_probe
 from liftwise.llm.common import table
-from liftwise.llm.content_model import extract_pages, fit
+from liftwise.llm.content_model import Model, extract_pages, fit
 from liftwise.llm.exact_dedup import exact_dedup
 from liftwise.llm.hard_negatives import mine_hard_negatives
 from liftwise.llm.labelled_pages import labelled_pages
@@ -48,8 +50,14 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+@cache
+def page_model() -> Model:
+    """The content model, fitted once in a process: its labelled pages never change."""
+    return fit(labelled_pages())
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_pages(table(spark, sf_dir, "pages"), fit(labelled_pages()))
+    return extract_pages(table(spark, sf_dir, "pages"), page_model())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,14 @@ def test_the_stack_search_finds_what_a_walk_finds():
     assert [t for _, t in page.blocks] == list("abcdefghijkl")
     parents = {t: page.nodes[page.nodes[n].parent].tag for n, t in page.blocks}
     assert parents["b"] == "ul" and parents["f"] == "td" and parents["h"] == "tr" and parents["l"] == "dl"
+
+
+def test_tables_and_link_lists_of_an_article_are_kept(model):
+    good = "Here the story of the old mill begins, and it is told once more."
+    ahead = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>"
+    table = "<table><tr><td>One cell of the table tells a story.<td>Another cell goes on with it.</table>"
+    assert C.main_text(f"<html><body>{ahead}<article>{table}</article><footer>x</footer></body></html>", model) == "One cell of the table tells a story.\n\nAnother cell goes on with it."
+    figures = "<table><tr><th>Year<th>Grain</tr><tr><td>1900<td>12 tons</tr></table>"
+    assert C.main_text(f"<html><body>{ahead}<article><h1>Mill</h1>{figures}</article></body></html>", model) == "Mill\n\nYear\n\nGrain\n\n1900\n\n12 tons"
+    linked = f"<article><h1>Mill</h1><p>{good}</p><h2>Links</h2><ul><li><a href=/a>First thing</a><li><a href=/b>Second thing</a></ul><p>{good}</p></article>"
+    assert C.main_text(f"<html><body>{ahead}{linked}</body></html>", model) == "\n\n".join(["Mill", good, "Links", "First thing", "Second thing", good])

@@ -26,6 +26,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it no column of ``df`` (case ignored)."""
+    have = {c.lower() for c in df.columns}
+    free = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        free.append(name)
+    return free
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is written in expressions, also where it holds dots or back quotes."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` by name, to take from what was made of it."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -83,6 +83,34 @@ def test_variants_lose_no_link(spark):
     S.RUN = 32
 
 
+def test_large_keys_are_shared_out_and_lose_no_link(spark):
+    from pyspark.sql import functions as F
+
+    from liftwise.llm import simhash as S
+
+    rng = np.random.default_rng(8)
+    low = [int(x) for x in rng.integers(0, 2**21, 3)]
+    # A third shares its lowest segment and is far apart otherwise; then tight balls; then strangers.
+    prints = {int(rng.integers(0, 2**42)) << 21 | low[0] for _ in range(200)}
+    for x in list(prints)[:20]:
+        prints |= {x ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 63, (10, 2))}
+    prints |= {int(x) for x in rng.integers(0, 2**63, 200)}
+    nodes = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(5)
+    want = plain_components(sorted(prints), lambda a, b: (a ^ b).bit_count() <= 4)
+    for bound in (1 << 17, 0):  # large keys broadcast, and joined by a shuffle
+        rows = S.keyed_prints(nodes, 4, 16, bound)
+        sizes = [r["n"] for r in rows.groupBy("key").agg(F.count("*").alias("n")).collect()]
+        assert 16 < max(sizes) <= 64  # uncut: 200 and more
+        links = rows.repartition("key").sortWithinPartitions("key").mapInArrow(S.verified_links(4), "u long, v long")
+        pairs = {(r["u"], r["v"]) for r in links.collect()}
+        assert plain_components(sorted(prints), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
+
+
+def test_components_with_small_parts(docs):
+    key = lambda rows: sorted(((r["doc_id"] or -1, r["fingerprint"], r["component_id"]) for r in rows))
+    assert key(simhash_components(docs, most=2).collect()) == key(simhash_components(docs).collect())
+
+
 def test_spanning_links_stay_linear():
     ball = np.unique(np.array([1 << i | 1 << j for i in range(64) for j in range(64)] + [0], dtype=np.uint64))
     us, vs = spanning_links(ball, 4)

@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.llm.common import saved
+from liftwise.llm.common import all_of, saved, unused
 
 SUMMARY = "digest string, n long"
 
@@ -52,15 +52,14 @@ def frequent_digests(digests: DataFrame, counters: int = 1024, fan_in: int = 16)
     return parts.repartition(1).mapInArrow(merge, SUMMARY)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+def place() -> Column:
+    """What orders the rows of a text: the last stays."""
+    return F.struct(F.col("id").isNotNull(), "id", "row")
 
-    Texts are equal when they are identical; null counts as the empty text.  Of equal texts
-    the row with the largest id stays (a null id loses to any other).  Rows that repeat the
-    winner's id as well as its text are told apart by their place in the input, so exactly
-    one row of a group is kept.  An empty table gives an empty result; other columns of
-    ``docs`` are ignored.
-    """
+
+def keyed_with_winners(docs: DataFrame, id_col: str, text_col: str, counters: int) -> tuple[DataFrame, DataFrame]:
+    """The rows as (``id``, ``digest``, ``row``), and of the frequent digests, at most ``counters``,
+    the row that stays (``best``) and their exact count (``size``).  Both are written tables."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = saved(
         docs.select(
@@ -70,15 +69,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "exact-digests",
     )
-    place = F.struct(F.col("id").isNotNull(), "id", "row")
-    best = [F.max(place).alias("best"), F.count("*").alias("size")]
     frequent = F.broadcast(frequent_digests(keyed, counters).select("digest"))
-    winners = saved(keyed.join(frequent, "digest", "left_semi").groupBy("digest").agg(*best), "exact-winners")
+    winners = keyed.join(frequent, "digest", "left_semi").groupBy("digest").agg(F.max(place()).alias("best"), F.count("*").alias("size"))
+    return keyed, saved(winners, "exact-winners")
+
+
+def decided(keyed: DataFrame, winners: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` with ``best`` and ``size`` of their text: those of frequent digests
+    by the broadcast ``winners``, the others by a shuffle."""
     marked = keyed.join(F.broadcast(winners), "digest", "left")
     rest = marked.filter(F.col("size").isNull()).select("id", "digest", "row")
-    rest = rest.join(rest.groupBy("digest").agg(*best), "digest")
+    rest = rest.join(rest.groupBy("digest").agg(F.max(place()).alias("best"), F.count("*").alias("size")), "digest")
     cols = ["id", "digest", "row", "best", "size"]
-    rows = marked.filter(F.col("size").isNotNull()).select(cols).unionByName(rest.select(cols))
+    return marked.filter(F.col("size").isNotNull()).select(cols).unionByName(rest.select(cols))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Texts are equal when they are identical; null counts as the empty text.  Of equal texts
+    the row with the largest id stays (a null id loses to any other).  Rows that repeat the
+    winner's id as well as its text are told apart by their place in the input, so exactly
+    one row of a group is kept.  An empty table gives an empty result; other columns of
+    ``docs`` are ignored.
+    """
+    rows = decided(*keyed_with_winners(docs, id_col, text_col, counters))
     return rows.select(
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("keep_id"),
@@ -88,18 +103,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one for each different text, all columns unchanged.
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
+    """The rows of ``docs`` that stay, one for each different text, all columns unchanged, whatever their names.
 
-    Rows that share both id and text are one row; rows of null id stay only where their
-    whole group has none.
+    Copies of a frequent text leave where they are read, by the broadcast winners, and are never
+    moved.  Rows that share both id and text are one row; rows of null id stay only where their
+    whole group has none.  Null counts as the empty text; an empty table gives an empty result.
     """
-    names = ["__id", "__no_id", "__sha"]  # plain columns, so that both steps use one shuffle of the texts
-
-    def keyed(df: DataFrame, number, sha) -> DataFrame:
-        return df.withColumns({"__id": F.coalesce(number, F.lit(0)), "__no_id": number.isNull(), "__sha": sha})
-
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "text_sha256")
-    keep = keyed(kept, F.col("doc_id"), F.col("text_sha256")).select(names)
-    rows = keyed(docs, docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
-    return rows.join(keep, names, "left_semi").dropDuplicates(names).select(docs.columns)
+    keyed, winners = keyed_with_winners(docs, id_col, text_col, counters)
+    names = unused(docs, "id", "no_id", "sha")  # plain columns, so that both steps use one shuffle of the texts
+
+    def by_name(df: DataFrame, number: Column, sha: Column) -> DataFrame:
+        return df.withColumns(dict(zip(names, [F.coalesce(number, F.lit(0)), number.isNull(), sha])))
+
+    kept = decided(keyed, winners).filter(F.col("row") == F.col("best.row")).select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_sha"))
+    keep = by_name(kept, F.col("kept_id"), F.col("kept_sha")).select(names)
+    rows = by_name(docs, docs[id_col].cast("long"), F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    number, no_id, sha = names
+    best = winners.select(F.col("digest").alias("best_sha"), F.coalesce("best.id", F.lit(0)).alias("best_id"), F.col("best.id").isNull().alias("best_no_id"))
+    beaten = (rows[sha] == best["best_sha"]) & ((rows[number] != best["best_id"]) | (rows[no_id] != best["best_no_id"]))
+    left = rows.join(F.broadcast(best), beaten, "left_anti")
+    return left.dropDuplicates(names).join(keep, names, "left_semi").select(all_of(docs))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftwise.llm.common import crc_fold
+from liftwise.llm.common import all_of, crc_fold, unused
 
 BUCKETS = 1 << 14  # hashed n-gram features
 UNKNOWN = "und"
@@ -220,8 +220,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.3, **options) -> DataFrame:
-    """The rows of ``docs`` in a language the model knows with at least ``least_score``; columns unchanged."""
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that have a predicted language, all columns unchanged, whatever their names.
+
+    Only rows without one (``UNKNOWN``: a null text, or one without letters) go; a low score drops none.
+    Repeated rows and rows of null id are judged like any other; an empty table gives an empty result.
+    """
     model = fit(learning_rows(docs, id_col), id_col, text_col, lang_col, **options)
-    marked = docs.withColumn("__language", predict(F.col(text_col), model))
-    return marked.filter((F.col("__language.lang_pred") != UNKNOWN) & (F.col("__language.score") >= least_score)).select(docs.columns)
+    [found] = unused(docs, "found")
+    marked = docs.withColumn(found, predict(F.col(text_col), model))
+    return marked.filter(F.col(f"{found}.lang_pred") != UNKNOWN).select(all_of(docs))

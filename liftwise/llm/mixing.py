@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftwise.llm.common import WORD, saved, word_count
+from liftwise.llm.common import WORD, all_of, quoted, saved, unused, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
@@ -99,18 +99,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document taken twice appears twice; the one at a source's cut appears once more with
     its first words only, joined by single spaces (``chars_col`` follows, if there is one).
-    Documents without words are not taken.  Rows that share id and size are taken alike.
+    Documents without words are not taken.  Rows that share id and size are taken alike.  The
+    columns of ``docs`` may have any names; an empty table gives an empty result.
     """
     mixed = mix(docs, id_col, text_col, **options)
-    taken = mixed.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    size = word_count(docs[text_col])
-    rows = docs.join(taken.filter("__taken > 0"), docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (size == F.col("__size")))
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int"))))
-    words = F.col("__taken") - (F.col("__copy") - 1) * F.col("__size")
-    part = words < F.col("__size")
+    number, size_name, taken_name, copy_name = unused(docs, "mix_id", "mix_size", "mix_taken", "mix_copy")
+    size, taken, copy = F.col(size_name), F.col(taken_name), F.col(copy_name)
+    most = mixed.groupBy(F.col("doc_id").alias(number), F.col("size").alias(size_name)).agg(F.max("taken").alias(taken_name))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(number)) & (word_count(docs[text_col]) == size)
+    rows = docs.join(most.filter(taken > 0), same)
+    rows = rows.withColumn(copy_name, F.explode(F.sequence(F.lit(1), F.ceil(taken / size).cast("int"))))
+    words = taken - (copy - 1) * size
+    part = words < size
     first = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(words, F.lit(1)).cast("int")), " ")
     text = F.when(part, first).otherwise(F.col(text_col))
-    cols = {c: F.col(f"`{c}`") for c in docs.columns} | {text_col: text}
+    cols = dict(zip(docs.columns, all_of(docs))) | {text_col: text}
     if chars_col in docs.columns:
-        cols[chars_col] = F.when(part, F.length(text).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+        cols[chars_col] = F.when(part, F.length(text).cast(docs.schema[chars_col].dataType)).otherwise(F.col(quoted(chars_col)))
     return rows.select(*[v.alias(c) for c, v in cols.items()])

@@ -12,7 +12,12 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from liftwise.llm.common import table
+from liftwise.llm.exact_dedup import drop_copies
+from liftwise.llm.language_id import known_language
+from liftwise.llm.mixing import mixed_documents
+from liftwise.llm.simhash import keep_one_of_each
 from tests.llm.test_mixing import plain_targets, size
 from tests.llm.test_simhash import plain_components, plain_fingerprint
 
@@ -63,6 +68,39 @@ def test_run_equals_the_stages(spark, steps):
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(steps[-1])
 
 
+OWN = "id no_id sha kept_id kept_sha best_sha best_id best_no_id found mix_id mix_size mix_taken mix_copy digest best size row fp key parts component_id".split()
+
+
+@pytest.mark.parametrize("stage", [known_language, drop_copies, keep_one_of_each, mixed_documents])
+def test_stages_keep_columns_of_any_name(spark, docs, no_docs, stage):
+    extra = [*OWN, *(f"_{n}" for n in OWN), *(f"__{n}" for n in OWN), "__Language", "a.b", "a`b"]
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in extra})
+    got = stage(wide)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    for r in rows:
+        number = "-" if r["doc_id"] is None else r["doc_id"]
+        assert list(r)[len(docs.columns) :] == [f"{c}{number}" for c in extra]
+    assert Counter(tuple(r)[: len(docs.columns)] for r in rows) == Counter(map(tuple, stage(docs).collect()))
+    assert stage(no_docs).columns == docs.columns and stage(no_docs).count() == 0
+
+
+def test_language_stage_drops_only_texts_without_letters(spark):
+    langs = [f"l{i}" for i in range(24)]  # so many that the best of them has a low probability
+    rows = [(i, f"{chr(97 + i % 24)}x river stone {i % 7}", langs[i % 24], "s", 1) for i in range(480)]
+    rows += [(1000, "zq", None, "s", 1), (1001, "17 + 4", "l1", "s", 1), (1002, None, "l2", "s", 1)]
+    kept = known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} - {1001, 1002}
+
+
+def test_copies_of_frequent_texts_leave_by_the_winners(spark):
+    rows = [(i, "hot", "en", "s", 3) for i in range(300)] + [(299, "hot", "en", "s", 3)] * 3 + [(None, "hot", None, None, 3), (299, "other", "en", "s", 5), (None, "none", None, None, 4), (None, "none", None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    want = [(299, "hot"), (299, "other"), (None, "none")]
+    for counters in (1, 2, 1024):  # none, some or all of the texts are frequent
+        assert sorted(((r["doc_id"], r["text"]) for r in drop_copies(docs, counters=counters).collect()), key=str) == sorted(want, key=str)
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     for name in os.listdir(ROOT):
         if name not in ("corpus_pipeline.py", "liftwise", ".git"):
@@ -76,5 +114,5 @@ def test_entry_works_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'sales_summary' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); n = [k.split('_')[0] for k in q if k.startswith('op')]; assert sorted(n) == sorted(f'op{i}' for i in range(1, 11)) and 'pipeline' in q"
+    code = "import __spark_entry__ as e; q = e.queries(); n = [k.split('_')[0] for k in q if k.startswith('op')]; assert sorted(n) == sorted(f'op{i}' for i in range(1, 14)) and 'pipeline' in q"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, env=env, check=True)

@@ -120,6 +120,9 @@ OPENINGS: Mapping[str, Sequence[str]] = {
 }
 NOTICE, FULL, OPENING = "notice", "full", "opening"
 OPENING_PARAGRAPHS = 4
+TITLE_WORDS = 8
+# How the bodies of short licences begin, behind the names of their holders.
+GRANTS = ("permission is hereby granted free of charge to", "redistribution and use in source and binary forms")
 
 
 def words_of(text: Column) -> Column:
@@ -200,6 +203,47 @@ def openings(text: Column) -> Column:
     return F.filter(runs, lambda r: r.isNotNull())
 
 
+def titled(text: Column, titles: Mapping[str, Sequence[int]], share: float = 0.0) -> Column:
+    """Runs of words that begin with one of ``titles``, in each of the lengths given for it.
+
+    Lines and paragraphs play no part, so a text is found flattened, indented and with more
+    behind it.  Runs that hold less than ``share`` of the words of the text are left out.
+    """
+    if not titles:
+        return F.array().cast("array<string>")
+    gap = r"[^\p{L}\p{N}]+"
+    pattern = {title: gap.join(title.split()) + r"(?![\p{L}\p{N}])" for title in titles}
+    places = F.split(text, r"(?i)(?<![\p{L}\p{N}])(?=" + "|".join(pattern.values()) + ")")
+    size = F.size(words_of(text))
+    found = []
+    for title, lengths in titles.items():
+        begun = F.filter(places, lambda p: p.rlike(f"(?i)^(?:{pattern[title]})"))  # noqa: B023
+        for n in lengths:
+            runs = F.transform(begun, lambda p: F.array_join(F.slice(words_of(p), 1, n), " "))  # noqa: B023
+            found.append(F.when(F.lit(n) >= share * size, runs).otherwise(F.array().cast("array<string>")))
+    return F.concat(*found)
+
+
+def opening_titles(openings: Mapping[str, Sequence[str]]) -> dict[str, list[int]]:
+    """The first words of each opening, and the lengths in words of the openings that begin so."""
+    lengths: dict[str, set[int]] = {}
+    for texts in openings.values():
+        for words in map(template_words, texts):
+            lengths.setdefault(" ".join(words[:TITLE_WORDS]), set()).add(len(words))
+    return {title: sorted(n) for title, n in lengths.items()}
+
+
+def grant_titles(texts: Mapping[str, Sequence[str]]) -> dict[str, list[int]]:
+    """The grants that short licences hold, and the lengths in words of the bodies from there on."""
+    lengths: dict[str, set[int]] = {}
+    for named in texts.values():
+        for words in (" ".join(template_words(t)) for t in named):
+            for grant in GRANTS:
+                if grant in words:
+                    lengths.setdefault(grant, set()).add(len(words[words.index(grant) :].split()))
+    return {title: sorted(n) for title, n in lengths.items()}
+
+
 def passage_scores(units: DataFrame, vectors: Sequence[tuple[str, str, dict[str, float]]], counts: DataFrame, total: int) -> DataFrame:
     """Best licence per ``unit`` hash of ``units`` (``unit``, ``passage``) and kind of template:
     (``unit``, ``kind``, ``score``, ``license``); ``vectors`` are (kind, licence, unit vector).
@@ -248,9 +292,10 @@ def scan_licenses(
 
     ``origin`` is ``own`` (a passage reaches ``least``), ``inherited`` (from ``license_dir``,
     the nearest directory with a licence file) or ``none``.  A licence file is one whose whole
-    text is a notice (at ``least_file`` or more), a short licence's text or the opening of a long
-    one's (a run of its paragraphs; both at ``least``): what such a file is comes before what its
-    passages state.  Of several files in one directory the best score, then the first name, decides.  Inverse document frequencies
+    text is a notice (at ``least_file`` or more), a short licence's text (or whose body is at
+    least half of it) or the opening of a long one's (a run of its paragraphs, or of its words
+    from the title on; all at ``least``): what such a file is comes before what its passages state,
+    so a licence that names another in its text is not taken for that one.  Of several files in one directory the best score, then the first name, decides.  Inverse document frequencies
     of all words are counted over all files, and depend on shares of files only.  Rows that share a path count as one file; a null path is the
     empty path, null and empty texts state nothing; an empty table gives an empty result.
     """
@@ -271,16 +316,19 @@ def scan_licenses(
     pattern = {kind: word_pattern(words) for kind, words in keys.items()}
     likely = rows.filter(F.lower("text").rlike(word_pattern(set.union(*map(set, keys.values())))))
     # Each kind of passage by the key words of the templates it can be like.
-    some = {NOTICE: passages(F.col("text")), FULL: F.array("text"), OPENING: openings(F.col("text"))}
+    begun = F.concat(openings(F.col("text")), titled(F.col("text"), opening_titles(OPENINGS)))
+    some = {NOTICE: passages(F.col("text")), FULL: F.array("text"), OPENING: begun}
     some = [F.filter(found, lambda p: F.lower(p).rlike(pattern[kind])) for kind, found in some.items()]  # noqa: B023
-    units = F.array_distinct(F.concat(*some))
-    units = likely.select("path", F.sha2("text", 256).alias("whole"), F.explode(units).alias("passage")).withColumn("unit", F.sha2("passage", 256))
-    units = saved(units.groupBy("path", "whole", "unit").agg(F.first("passage").alias("passage")), "license-passages")
+    bodies = F.filter(titled(F.col("text"), grant_titles(FULL_TEXTS), 0.5), lambda p: p.rlike(pattern[FULL]))
+    units = [F.transform(found, lambda p: F.struct(p.alias("passage"), F.lit(is_body).alias("body"))) for is_body, found in ((False, F.array_distinct(F.concat(*some))), (True, bodies))]  # noqa: B023
+    units = likely.select("path", F.sha2("text", 256).alias("whole"), F.explode(F.concat(*units)).alias("u")).select("path", "whole", "u.*")
+    units = units.withColumn("unit", F.sha2("passage", 256)).groupBy("path", "whole", "unit").agg(F.first("passage").alias("passage"), F.max("body").alias("body"))
+    units = saved(units, "license-passages")
     scores = passage_scores(units.groupBy("unit").agg(F.first("passage").alias("passage")), vectors, counts, total)
-    found = saved(units.select("path", "whole", "unit").join(scores, "unit"), "license-scores")
+    found = saved(units.select("path", "whole", "unit", "body").join(scores, "unit"), "license-scores")
     # What the whole file is, then the best score, then the first name.
     is_whole = F.col("unit") == F.col("whole")
-    is_text = ((F.col("kind") == FULL) & is_whole | (F.col("kind") == OPENING)) & (F.col("score") >= least)
+    is_text = ((F.col("kind") == FULL) & (is_whole | F.col("body")) | (F.col("kind") == OPENING)) & (F.col("score") >= least)
     order = F.struct((~is_text).cast("int").alias("rank"), (-F.col("score")).alias("s"), "license")
     own = found.filter(is_text | (F.col("kind") == NOTICE) & (F.col("score") >= least)).groupBy("path").agg(F.min(order).alias("own"))
     texts = found.filter(is_text | (F.col("kind") == NOTICE) & is_whole & (F.col("score") >= least_file)).groupBy("path").agg(F.min(order).alias("x"))

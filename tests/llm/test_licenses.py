@@ -113,6 +113,30 @@ def test_whole_licence_texts_are_licence_files(spark):
     assert got["src/b.rs"]["origin"] == "none" and got["doc/x"]["origin"] == "none"
 
 
+def test_licence_texts_in_any_layout_decide_over_notices_inside_them(spark):
+    texts = {p.stem: p.read_text() for p in (Path(__file__).parent / "data").glob("*.txt")}
+    texts["AGPL-3.0"] = texts["GPL-3.0"].replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE", 1).replace("29 June 2007", "19 November 2007", 1)
+    first = "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."
+    texts["AGPL-3.0"], n = re.subn(r"The GNU General Public License is a free, copyleft license for\s+software and other kinds of works\.", first, texts["AGPL-3.0"], count=1)
+    assert n == 1
+    note = "\n\nThis distribution bundles the garden library. It was written by the people of the river, and its stones are their own.\n"
+    forms = {
+        "plain": lambda t: t,
+        "no-blank-lines": lambda t: re.sub(r"\n\s*\n", "\n", t),
+        "one-line": lambda t: " ".join(t.split()),
+        "note": lambda t: t + note,
+        "one-line-note": lambda t: " ".join((t + note).split()),
+        "titled": lambda t: "The Garden Project " + " ".join(t.split()),
+    }
+    files = [(f"{form}/{name}/LICENSE", change(t)) for form, change in forms.items() for name, t in texts.items()]
+    files += [(f"{form}/{name}/src/x.py", "import this") for form in forms for name in texts]
+    files += [("prose/a", "A long tale. " * 200 + "Permission is hereby granted, free of charge, to all who come to the river."), ("prose/b", "b")]
+    got = {r["path"]: r for r in L.scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    wrong = [(path, r["license"], r["origin"]) for path, r in got.items() if path.count("/") > 1 and (r["license"], r["origin"]) != (path.split("/")[1], "own" if path.endswith("LICENSE") else "inherited")]
+    assert not wrong
+    assert got["prose/a"]["origin"] == got["prose/b"]["origin"] == "none"
+
+
 def test_a_header_is_judged_alike_in_a_repeated_table(spark):
     header = "All that is here was released under the MIT License."
     files = [("a/x.py", header), ("b/y.py", "This project is released under the MIT License.")]

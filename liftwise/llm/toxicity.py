@@ -1,16 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on what toxic text
-adds to it.  Every window of a document is compressed with the ordinary dictionary and with
-both together; a window that shrinks by more bytes than a calibrated threshold is a hit.  Since
-the two compressors differ only in the toxic part, windows of ordinary text come out alike.
+Two zstandard dictionaries are trained, one on the windows of ordinary text and one on the
+passages by which toxic text differs from it.  Every window of a document is compressed with
+the ordinary dictionary and with both together, and the windows that shrink by so many bytes
+are counted at several thresholds; labelled rows that the dictionaries have not seen say what
+the counts weigh.  Since the two compressors differ only in the toxic part, windows of ordinary
+text come out alike.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +28,13 @@ from liftwise.llm.common import crc_fold
 WINDOW = 8  # words
 PIECES = range(5, 9)  # bytes; the compressor matches five or more
 EDGE = b".,;:!?()[]\"'"
+THRESHOLDS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16])  # bytes saved from which a window is a hit
 
 
 @dataclass
 class Model:
     ordinary: bytes  # dictionary content
     toxic: bytes
-    threshold: int  # bytes saved from which a window is a hit
     weights: np.ndarray  # of the document's features
     base: float  # share of toxic labels; the score where nothing could be learned
 
@@ -60,40 +64,46 @@ class Savings:
         self.plain, self.both = compressor(ordinary), compressor(toxic + ordinary)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        plain, both = self.plain.compress, self.both.compress
-        return np.array([len(plain(w)) - len(both(w)) for w in windows(words_of(text))], dtype=np.int64)
+        cut = windows(words_of(text))
+        return lengths(self.plain, cut) - lengths(self.both, cut)
 
 
-def features(saved: np.ndarray, threshold: int) -> np.ndarray:
-    """Of a document: 1, its largest saving, the logs of its hits and of its windows."""
-    most = max(0, int(saved.max())) if len(saved) else 0
-    return np.array([1.0, most, np.log1p((saved >= threshold).sum()), np.log1p(len(saved))])
+def lengths(by: zstandard.ZstdCompressor, cut: list[bytes]) -> np.ndarray:
+    """Compressed length of each window."""
+    return np.array([len(by.compress(w)) for w in cut], dtype=np.int64)
+
+
+def features(saved: np.ndarray) -> np.ndarray:
+    """Of a document: 1, its largest saving, the log of its windows, and its hits at each
+    threshold, as logs of their number and as roots of their share of the windows."""
+    hits = (saved[:, None] >= THRESHOLDS).sum(axis=0)
+    most = np.clip(saved.max(initial=0), 0, THRESHOLDS[-1]) / 4
+    return np.concatenate([[1.0, most, np.log1p(len(saved))], np.log1p(hits), 5 * np.sqrt(hits / max(1, len(saved)))])
 
 
 def dictionary(samples: list[bytes], size: int, **cover: int) -> bytes:
-    """A trained dictionary; samples that are too few to train on are the dictionary themselves."""
-    if sum(map(len, samples)) > 4 * size:
+    """A trained dictionary of ``size`` bytes; samples that fit are the dictionary themselves.
+    Of too few samples to train on, each gives its share."""
+    if sum(map(len, samples)) > size:
         try:
             return zstandard.train_dictionary(size, samples, **cover).as_bytes()
         except zstandard.ZstdError:
-            pass
-    return b"".join(dict.fromkeys(samples))[-size:]
+            samples = [x[: size // len(samples)] for x in samples]
+    return b"".join(dict.fromkeys(samples))
 
 
-def toxic_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least_contexts: int, least_ratio: float) -> list[bytes]:
-    """What toxic text adds: words that stand between many different neighbours in toxic
-    documents, and there far more often than in ordinary ones.  Counting neighbours instead
-    of documents keeps out what copies of one toxic document have in common."""
-    around: dict[bytes, set] = {}
-    for words in toxic:
+def in_contexts(texts: Iterable[list[bytes]]) -> Counter:
+    """The words of ``texts``, each counted once for every pair of neighbours.  Counting neighbours
+    instead of occurrences keeps out what copies of one document have in common."""
+    seen: set[int] = set()
+    count: Counter = Counter()
+    for words in texts:
         clean = [b"", *(w.strip(EDGE) for w in words), b""]
         for a, w, b in zip(clean, clean[1:], clean[2:]):
-            around.setdefault(w, set()).add((a, b))
-    common = Counter(w.strip(EDGE) for words in ordinary for w in words)
-    all_contexts, all_common = sum(map(len, around.values())) + 1, common.total() + 1
-    ratio = {w: ((len(c) + 0.5) / all_contexts) / ((common[w] + 0.5) / all_common) for w, c in around.items()}
-    chosen = [w for w, c in around.items() if w and len(c) >= least_contexts and ratio[w] >= least_ratio]
-    return sorted(chosen, key=lambda w: (-len(around[w]), w))
+            if w and (key := hash((a, w, b))) not in seen:
+                seen.add(key)
+                count[w] += 1
+    return count
 
 
 def pieces_of(word: bytes) -> set[bytes]:
@@ -102,36 +112,56 @@ def pieces_of(word: bytes) -> set[bytes]:
     return {w} | {w[i : i + n] for n in PIECES for i in range(len(w) - n + 1)}
 
 
-def toxic_pieces(toxic: list[list[bytes]], ordinary: list[list[bytes]], sure: float) -> list[bytes]:
+def toxic_pieces(toxic: Counter, ordinary: Counter, sure: float) -> list[bytes]:
     """What toxic text adds, words and parts of words, the surest first.
 
-    A piece weighs by the lower bound (``sure`` standard errors) of the log-ratio of its rates:
-    in toxic documents each pair of neighbours of each word counts once, so copies of one
-    document add nothing; in ordinary ones every word counts.  Only pieces that are no more
-    frequent in toxic text, by this bound, are left out, however rare they are.
+    A piece weighs by the lower bound (``sure`` standard errors) of the log-ratio of its rates
+    in the counts of toxic and of ordinary words.  Only pieces that are no more frequent in
+    toxic text, by this bound, are left out.
     """
-    around: dict[bytes, set] = {}
-    for words in toxic:
-        clean = [b"", *(w.strip(EDGE) for w in words), b""]
-        for a, w, b in zip(clean, clean[1:], clean[2:]):
-            if w:
-                around.setdefault(w, set()).add((a, b))
-    common = Counter(w.strip(EDGE) for words in ordinary for w in words)
+    scale = math.log((ordinary.total() + 1) / (toxic.total() + 1))
+    # Whatever ordinary text holds, a piece that toxic text has less often than this cannot be sure.
+    b = np.arange(1000) + 0.5
+    least = next(n for n in range(1, 10**6) if (np.log((n + 0.5) / b) + scale - sure * np.sqrt(1 / (n + 0.5) + 1 / b)).max() > 0)
+    # Counts of hashes are no smaller than those of pieces, so only pieces that may reach it are kept.
+    buckets = array("Q", bytes(8 << 20))
+    for w, n in toxic.items():
+        for p in pieces_of(w):
+            buckets[hash(p) & 0xFFFFF] += n
     here: Counter = Counter()
-    for w, contexts in around.items():
+    for w, n in toxic.items():
         for p in pieces_of(w):
-            here[p] += len(contexts)
+            if buckets[hash(p) & 0xFFFFF] >= least:
+                here[p] += n
+    here = Counter({p: n for p, n in here.items() if n >= least})
     there: Counter = Counter()
-    for w, n in common.items():
+    for w, n in ordinary.items():
         for p in pieces_of(w) if w else ():
             if p in here:
                 there[p] += n
-    scale = math.log((common.total() + 1) / (sum(map(len, around.values())) + 1))
     bound = {}
     for p, n in here.items():
         a, b = n + 0.5, there[p] + 0.5
-        bound[p] = math.log(a / b) + scale - sure * math.sqrt(1 / a + 1 / b)
-    return sorted((p for p, x in bound.items() if x > 0), key=lambda p: (-bound[p], -len(p), p))
+        x = math.log(a / b) + scale - sure * math.sqrt(1 / a + 1 / b)
+        if x > 0:
+            bound[p] = x
+    return sorted(bound, key=lambda p: (-bound[p], -len(p), p))
+
+
+def passages(toxic: Counter, pieces: set[bytes]) -> list[bytes]:
+    """The stretches of toxic words that ``pieces`` cover, as often as the words stand: what a dictionary is trained on."""
+    found: list[bytes] = []
+    for word, n in sorted(toxic.items()):
+        w = b" " + word + b" "
+        marked = bytearray(len(w))
+        for p in pieces_of(word) & pieces:
+            at = w.find(p)
+            while at >= 0:
+                marked[at : at + len(p)] = b"\1" * len(p)
+                at = w.find(p, at + 1)
+        for run in re.finditer(b"\1+", marked):
+            found += [w[run.start() : run.end()]] * n
+    return found
 
 
 def piece_dictionary(pieces: list[bytes], size: int) -> bytes:
@@ -145,7 +175,7 @@ def piece_dictionary(pieces: list[bytes], size: int) -> bytes:
     return content
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     """Weights of a logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -160,24 +190,72 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def sample(docs: DataFrame, marks: DataFrame, per_label: int) -> pd.DataFrame:
-    """About ``per_label`` rows at most of either label as (order, text, toxic, weight), in the order of a hash of the id.
+    """About ``per_label`` different rows at most of either label as (order, text, toxic, weight), in the order of a hash of id and text.
 
-    The ids are chosen first; their bounded number is broadcast, so no text but theirs moves.
+    Ids and digests are chosen first; their bounded number is broadcast, so no text but theirs
+    moves.  Rows that repeat an id are drawn one by one, equal rows count once.
     """
-    marked = docs.select("id").join(marks, "id")
+    digested = docs.withColumn("digest", F.xxhash64("text"))
+    marked = digested.select("id", "digest").join(marks, "id").distinct()
     n = {int(r["toxic"]): r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    order = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(1 << 31))
+    order = F.pmod(F.xxhash64(F.lit(5), F.col("id"), F.col("digest")), F.lit(1 << 31))
     rate = F.lit(0.0)
     for label, count in n.items():
         rate = F.when(F.col("toxic") == label, min(1.0, per_label / count)).otherwise(rate)
-    ids = marked.filter(order < rate * (1 << 31)).select("id", "toxic").distinct()
-    chosen = docs.join(F.broadcast(ids), "id").select(order.alias("order"), "text", "toxic").toPandas()
+    chosen = digested.join(F.broadcast(marked.filter(order < rate * (1 << 31))), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    chosen = chosen.select(order.alias("order"), "text", "toxic").toPandas()
     chosen = chosen.drop_duplicates(["text", "toxic"]).sort_values(["order", "text"], kind="stable").reset_index(drop=True)
     chosen["weight"] = [max(1.0, n[t] / per_label) for t in chosen["toxic"]]
     chosen.attrs["base"] = n.get(1, 0) / sum(n.values()) if n else 0.0
     return chosen
 
 
+def dictionaries(rows: pd.DataFrame, size: int, sure: float) -> tuple[bytes, list[bytes]]:
+    """From rows (text, toxic): the ordinary dictionary, trained on all windows of ordinary rows, and the toxic one
+    in several sizes, each trained on the passages of toxic words that the surest pieces cover, and made of the pieces themselves."""
+    texts = {t: rows["text"][rows["toxic"] == t] for t in (0, 1)}
+    around = in_contexts(map(words_of, texts[1]))
+    common = Counter(w.strip(EDGE) for x in texts[0] for w in words_of(x))
+    pieces = toxic_pieces(around, common, sure) if common else []
+    surest = passages(around, set(pieces))
+    ordinary = dictionary([w for x in texts[0] for w in windows(words_of(x))], size)
+    sizes = [size >> n for n in (5, 4, 3, 2, 1)]
+    return ordinary, [made for s in sizes for made in (piece_dictionary(pieces, s), dictionary(surest, s, k=16, d=6))]
+
+
+def learn(rows: pd.DataFrame, base: float, size: int, sure: float, folds: int = 3) -> Model:
+    """From rows (text, toxic, weight).
+
+    Every fold of rows is compressed with dictionaries of the other folds' rows; the counts found
+    so, of rows that their dictionaries have not seen, choose the toxic dictionary's kind and
+    size and set the weights.  The dictionaries kept are then made of all rows.
+    """
+    unlearned = Model(b"", b"", np.zeros(3 + 2 * len(THRESHOLDS)), base)
+    if rows["toxic"].nunique() < 2 or len(rows) < folds:
+        return unlearned
+    y, weight = rows["toxic"].to_numpy(), rows["weight"].to_numpy()
+    part = np.arange(len(rows)) % folds
+    x: dict[int, np.ndarray] = {}
+    for f in range(folds):
+        ordinary, toxics = dictionaries(rows[part != f], size, sure)
+        cut = [windows(words_of(t)) for t in rows["text"][part == f]]
+        by = compressor(ordinary)
+        plain = [lengths(by, ws) for ws in cut]
+        for k, toxic in enumerate(toxics):
+            by = compressor(toxic + ordinary)
+            found = [features(a - lengths(by, ws)) for a, ws in zip(plain, cut)]
+            x.setdefault(k, np.zeros((len(rows), len(unlearned.weights))))[part == f] = found
+    best = None
+    for k, seen in x.items():
+        w = logistic(seen, y, weight)
+        loss = float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (seen @ w))).sum())
+        if best is None or loss < best[0]:
+            best = loss, k, w
+    _, k, w = best
+    ordinary, toxics = dictionaries(rows, size, sure)
+    return Model(ordinary, toxics[k], w, base) if toxics[k] else unlearned
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -187,50 +265,22 @@ def fit(
     per_label: int = 2500,
     size: int = 8192,
     sure: float = 2.5,
-    windows_learned: int = 100_000,
 ) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` mark 1 or 0; a document marked twice counts as its larger mark.
 
-    Pieces of words weigh by how surely (``sure`` standard errors) toxic text has them more
-    often; none is cut for being rare.  How many of them make the toxic dictionary, up to
-    ``size`` bytes, and whether the words of many contexts (``toxic_words``)
-    follow them, is what fits the held-back rows best.
-    ``windows_learned`` bounds the windows the ordinary dictionary is trained on; ``per_label`` bounds the rows of either label that are learned from (whole texts, chosen
-    by a hash of the id).  Four fifths train the dictionaries; the last fifth, which they have
-    not seen, sets the hit threshold (one ordinary window in 1,000) and the document's score.
+    ``per_label`` bounds the rows of either label that are learned from (whole texts, chosen by
+    a hash of id and text), ``size`` the bytes of a dictionary; ``sure`` is the number of standard
+    errors by which a piece must be more frequent in toxic text (:func:`learn`).
     """
     marks = labels.filter(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chosen = sample(rows, marks, per_label)
-    base = chosen.attrs["base"]
-    held = np.arange(len(chosen)) % 5 == 4
-    learn, check = chosen[~held], chosen[held]
-    split = {t: [words_of(x) for x in learn["text"][learn["toxic"] == t]] for t in (0, 1)}
-    added = toxic_pieces(split[1], split[0], sure) if split[0] else []
-    if not added or check["toxic"].nunique() < 2:
-        return Model(b"", b"", 1, np.zeros(4), base)
-    ordinary = dictionary([w for words in split[0] for w in windows(words)][:windows_learned], size)
-    y, weight = check["toxic"].to_numpy(), check["weight"].to_numpy()
-    known = set(toxic_words(split[1], split[0], 7 + len(split[1]) // 250, 20.0))
-    whole = dictionary([b" " + w + b" " for words in split[1] for w in (x.strip(EDGE) for x in words) if w in known], size, k=64, d=6)
-    tried = [piece_dictionary(added, size >> n) + more for n in (6, 5, 4, 3, 2, 1, 0) for more in (b"", whole)]
-    best = None
-    for toxic in dict.fromkeys(tried):
-        savings = Savings(ordinary, toxic)
-        seen = [savings(t) for t in check["text"]]
-        plain = np.concatenate([s for s, t in zip(seen, y) if t == 0])
-        threshold = next(t for t in range(1, 1000) if (plain >= t).mean() <= 0.001) if len(plain) else 1
-        x = np.array([features(s, threshold) for s in seen])
-        w = logistic(x, y, weight)
-        loss = float((weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum())
-        if best is None or loss < best[0]:
-            best = loss, Model(ordinary, toxic, threshold, w, base)
-    return best[1]
+    return learn(chosen, chosen.attrs["base"], size, sure)
 
 
 def score(text: Column, model: Model) -> Column:
     """Probability of label 1 from the whole text; null counts as empty."""
-    ordinary, toxic, threshold, weights, base = model.ordinary, model.toxic, model.threshold, model.weights, model.base
+    ordinary, toxic, weights, base = model.ordinary, model.toxic, model.weights, model.base
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -239,7 +289,7 @@ def score(text: Column, model: Model) -> Column:
             if not toxic:
                 yield pd.Series([base] * len(texts), dtype="float64")
                 continue
-            logits = [features(savings(t), threshold) @ weights for t in texts]
+            logits = [features(savings(t)) @ weights for t in texts]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(logits, dtype="float64"), -30, 30))))
 
     return of(text)
@@ -249,7 +299,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted`` (1 from ``cut`` on).
 
     Labels are learned only from rows whose crc32 of the id as text, modulo 4, is not 2.
-    Repeated rows count each.  Where the labels hold only one kind, or nothing tells the
+    Repeated rows are each scored; null texts count as empty and very long ones are read whole.  Where the labels hold only one kind, or nothing tells the
     kinds apart, every score is the share of label 1.  Empty tables give an empty result.
     """
     model = fit(docs.filter(crc_fold(F.col(id_col), 4) != 2), labels, id_col, text_col, **options)

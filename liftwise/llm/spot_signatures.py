@@ -1,7 +1,9 @@
 """Document fingerprints by spot signatures, in DataFrame functions only.
 
 A text's words are split into anchors (common words) and content words.  Every run of
-anchors opens a chain of the next content words; anchors and chain are one signature.  A
+anchors opens a chain of the next content words; anchors and chain are one signature.  Where
+no anchor has stood for some words (other languages, tables, lists), every other word, chosen
+by its hash, opens a chain of its own.  A
 document's fingerprint is its set of signatures.  Two documents are compared by the Jaccard
 similarity of their sets, and only where their sizes allow the threshold: documents are
 partitioned by set length, and meet through rare signatures of a prefix.
@@ -26,6 +28,8 @@ ANCHORS = (
 ).split()
 MARK = "\u0001"  # precedes an anchor that has been attached to the content word before it
 CHAIN = 2  # content words in a signature
+GAP = 12  # words without an anchor from which on hash-chosen words open chains
+CHOSEN = 2  # one word in so many is chosen
 
 
 def anchor_pattern(anchors: Sequence[str]) -> str:
@@ -39,8 +43,9 @@ def anchor_pattern(anchors: Sequence[str]) -> str:
 def with_signatures(docs: DataFrame, text_col: str, out: str, anchors: Sequence[str] = tuple(ANCHORS), chain: int = CHAIN) -> DataFrame:
     """``docs`` with the sorted array ``out`` of the text's distinct signature hashes.
 
-    Words are runs of letters and digits, lower-cased.  A text without a complete chain (no
-    anchor, or too little behind it) has one signature, its word sequence; a text without
+    Words are runs of letters and digits, lower-cased.  A word whose last ``GAP`` words, itself
+    included, are no anchors and have none behind them opens a chain if its hash says so.  A text without
+    a complete chain (of one or two words) has one signature, its word sequence; a text without
     words, null and empty ones included, has none.  Equal texts have equal signatures.
     """
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -52,7 +57,10 @@ def with_signatures(docs: DataFrame, text_col: str, out: str, anchors: Sequence[
     def signature(token: Column, i: Column) -> Column:
         follow = [F.substring_index(F.get(F.col("__tokens"), i + n), MARK, 1) for n in range(1, chain + 1)]
         anchor = F.substring_index(token, MARK, -1)
-        return F.when(token.contains(MARK) & (i + chain < F.size("__tokens")), F.xxhash64(anchor, *follow))
+        before = F.slice(F.col("__tokens"), F.greatest(i - GAP + 2, F.lit(1)), F.least(i + 1, F.lit(GAP)))
+        free = (F.xxhash64(token) % CHOSEN == 0) & ~F.exists(before, lambda t: t.contains(MARK))
+        whole = i + chain < F.size("__tokens")
+        return F.when(whole & token.contains(MARK), F.xxhash64(anchor, *follow)).when(whole & free, F.xxhash64(F.lit(""), token, *follow))
 
     found = F.filter(F.transform("__tokens", signature), lambda h: h.isNotNull())
     lone = F.when(F.col("__words") == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("__words")))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from liftwise.llm import spot_signatures as S
@@ -18,6 +19,16 @@ def plain_signatures(text: str | None) -> frozenset:
             chain = [x for x in words[i + 1 :] if x not in S.ANCHORS][: S.CHAIN]
             if len(chain) == S.CHAIN:
                 spots.add((w, *chain))
+    content, anchored = [], []  # the other words, and whether an anchor follows each; a first anchor follows an empty word
+    for w in words:
+        if w not in S.ANCHORS:
+            content, anchored = [*content, w], [*anchored, False]
+        else:
+            content, anchored = content or [""], [*(anchored or [False])[:-1], True]
+    for i in range(len(content) - S.CHAIN):
+        chosen = xxhash.xxh64_intdigest(content[i].encode(), 42) % S.CHOSEN == 0
+        if chosen and not any(anchored[max(0, i - S.GAP + 1) : i + 1]):
+            spots.add(("", *content[i : i + 1 + S.CHAIN]))
     return frozenset(spots or ([" ".join(words)] if words else []))
 
 
@@ -34,6 +45,7 @@ TEXTS = [
     "the CAT sat; on the mat and the dog of a man ran to the house",
     "no anchors here whatsoever friend" .replace("no ", "not "),
     "of the and", "the", "the one", "the one two", "one two three", "", None, " . ", "été à la mer avec le grand bateau bleu", "a_b the_c of d e f",
+    " ".join(f"слово{i % 37}" for i in range(120)), "the first words " + " ".join(f"cell{i} | " for i in range(60)) + " of the last ones here",
 ]
 
 
@@ -47,6 +59,18 @@ def test_signature_sets_by_definition(spark):
             assert (a == b) == (x == y) and len(a & b) == len(x & y)
 
 
+def test_texts_without_anchors_are_alike_by_their_words(spark):
+    """Another alphabet, a table, one repeated word: an edit of one word, or of the half behind, leaves the rest alike."""
+    russian = [f"слово{i * i % 61}" for i in range(80)]
+    other = "the cat sat on the mat and the dog ran to the house of a man " * 5
+    texts = [" ".join(russian), " ".join([*russian[:40], "другое", *russian[41:]]), " ".join(russian[:60]) + " " + other]
+    texts += [" | ".join(f"r{i}" for i in range(90)), " | ".join(f"r{i}" for i in range(45)) + " " + other]
+    sigs = {r["doc_id"]: frozenset(r["sigs"]) for r in S.with_signatures(with_texts(spark, texts), "text", "sigs").collect()}
+    assert jaccard(sigs[0], sigs[1]) > 0.8
+    assert jaccard(sigs[0], sigs[2]) > 0.4 and jaccard(sigs[3], sigs[4]) > 0.2
+    assert not sigs[0] & sigs[3]
+
+
 def test_edited_texts_and_likeness(docs):
     got = S.compare_with_edited(with_clashes(docs), parts=4).collect()
     place = lambda r: -(2**63) if r["doc_id"] is None else r["doc_id"]

@@ -56,8 +56,8 @@ def mix(
     ``size`` counts words (null text: 0); ``taken`` is how many of them the mix takes,
     repeats counted: size x epochs, and once more those that lie before the cut.  The
     document at the cut is taken in part, so a source's ``taken`` adds up to its target
-    rounded to a whole word.  Keys depend on the id and seed alone, so reruns agree; rows
-    that repeat an id are ordered by size, equal ones are interchangeable.  A null source is
+    rounded to a whole word.  Keys depend on id, text and seed alone, so reruns agree,
+    and different texts under one id, null ids too, are spread over the ranges; equal rows are interchangeable.  A null source is
     a source of its own, last in order.  Sources without words and empty tables give zeros
     and no rows.
     """
@@ -67,7 +67,7 @@ def mix(
             F.col(source_col).alias("source"),
             F.when(F.col(source_col).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source_col))).alias("sk"),
             word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col).cast("long")).alias("key"),
+            F.xxhash64(F.lit(seed), F.col(id_col).cast("long"), F.col(text_col)).alias("key"),
         ),
         "mix-sizes",
     )

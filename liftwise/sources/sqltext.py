@@ -12,11 +12,14 @@ a tuple depends on everything before it, so the dump is read twice:
 2. Every block, started right, cuts out its tuples.  A tuple that crosses blocks is put
    together from its fragments.
 
-Only tables and statement heads reach the driver, a few KB for each block.
+A task reads many blocks where they are small, and neighbours in a task are read as one
+block.  Only tables and statement heads reach the driver, a few KB for each of those: as
+many as the session's partition size needs, however small the blocks are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -101,17 +104,25 @@ SCANNED = "file long, start long, size long, bytes long, first binary, next arra
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], bytes]]:
-    """((file, block start, file size), text) of every batch, a block at a time: its records stand behind each other in one buffer."""
+    """((file, block start, file size), text) of every batch, a block at a time: its records stand behind each other in one buffer.
+
+    A block that begins where the one before it in the task ends goes on under that one's start.
+    """
+    at = (0, -1, -1, -1)  # file, start of the first neighbour, start and end of the newest
     for batch in batches:
         if not batch.num_rows:
             continue
-        files, starts, sizes = (batch.column(c).to_numpy() for c in ("file", "start", "size"))
+        files, starts, sizes, lengths = (batch.column(c).to_numpy() for c in ("file", "start", "size", "length"))
         cuts = np.flatnonzero((files[1:] != files[:-1]) | (starts[1:] != starts[:-1])) + 1
         text = batch.column("text")
         offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
         data = memoryview(text.buffers()[2])
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-            yield (int(files[a]), int(starts[a]), int(sizes[a])), bytes(data[offsets[a] : offsets[b]])
+            file, start = int(files[a]), int(starts[a])
+            if at[0] != file or start not in at[2:]:
+                at = file, start, start, start
+            at = file, at[1], start, start + int(lengths[a])
+            yield (file, at[1], int(sizes[a])), bytes(data[offsets[a] : offsets[b]])
 
 
 def scan_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +181,10 @@ def block_starts(tables: list) -> dict[tuple[int, int], Start]:
             last = i == len(rows) - 1
             starts[file, r["start"]] = Start(state, depth, head, last, last and added)
             opened = r["head"][state]
-            head = bytes(opened) if opened is not None else (head + bytes(r["first"]))[:HEAD_BYTES]
+            if opened is not None:
+                head = bytes(opened)
+            elif len(head) < HEAD_BYTES:  # a full one is shared by the blocks behind it
+                head = (head + bytes(r["first"]))[:HEAD_BYTES]
             state, depth = r["next"][state], depth + r["depth"][state]
     return starts
 
@@ -374,14 +388,22 @@ def text_tuples(table: str) -> Callable:
     return cut
 
 
+def _bytes(size: str) -> int:
+    """A setting such as 128MB, 64k or 1000b as a number."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", size.lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
+
 def read_blocks(spark: SparkSession, path: str, block_bytes: int | None = None) -> DataFrame:
-    """The dump at ``path`` (a file, folder or pattern) as ``file``, ``start``, ``size``, ``text``: records up to each closing bracket.
+    """The dump at ``path`` (a file, folder or pattern) as ``file``, ``start``, ``size``, ``length``, ``text``: records up to each closing bracket.
 
     Blocks are ``block_bytes`` long (default: the session's ``spark.sql.files.maxPartitionBytes``),
-    whatever the number of executors.  A sibling session holds that setting, so the caller's
-    settings stay as they are.
+    whatever the number of executors.  Small ones share a task up to that setting's bytes, but
+    leave a few tasks for each core.  A sibling session holds the block length, so the
+    caller's settings stay as they are.
     """
     sibling = spark.newSession()
+    task_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     if block_bytes:
         sibling.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
     else:
@@ -389,8 +411,13 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int | None = None)
     sibling.conf.set("spark.sql.files.minPartitionNum", "1")
     sibling.conf.set("spark.sql.files.openCostInBytes", "1")
     lines = sibling.read.option("lineSep", ")").text(path)
-    where = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size")]
-    return lines.select(*where, F.concat("value", F.lit(")")).cast("binary").alias("text"))
+    where = [F.col(f"_metadata.{c}").alias(n) for c, n in (("file_block_start", "start"), ("file_size", "size"), ("file_block_length", "length"))]
+    blocks = lines.select(F.xxhash64("_metadata.file_path").alias("file"), *where, F.concat("value", F.lit(")")).cast("binary").alias("text"))
+    if not block_bytes or block_bytes >= task_bytes:
+        return blocks
+    parts = lines.rdd.getNumPartitions()
+    tasks = max(4 * spark.sparkContext.defaultParallelism, math.ceil(parts * block_bytes / task_bytes))
+    return blocks.coalesce(tasks) if tasks < parts else blocks
 
 
 def dump_starts(blocks: DataFrame) -> dict[tuple[int, int], Start]:

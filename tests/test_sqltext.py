@@ -152,3 +152,23 @@ def test_tables_compose_at_any_cut():
             if left:
                 open_ = left
         assert found == whole
+
+
+def test_small_blocks_share_tasks_and_starts(spark, tmp_path):
+    """Tasks, and what the driver holds, follow the dump's size and the cores, not the number of blocks."""
+    rows = products(2000, seed=7)
+    half = len(rows) // 2
+    write(tmp_path / "a.sql", HEADER + statement(rows[:half], " "))
+    write(tmp_path / "b.sql", statement(rows[half:]))
+    most = 4 * spark.sparkContext.defaultParallelism
+    blocks = read_blocks(spark, str(tmp_path), 500)
+    assert blocks.rdd.getNumPartitions() <= most < (tmp_path / "b.sql").stat().st_size / 500
+    assert len(dump_starts(blocks)) <= 3 * most
+    for block in (100, 500):
+        assert rows_of(read_insert_rows(spark, str(tmp_path), "dim_products", PRODUCTS, block)) == expected(rows)
+
+
+def test_a_full_head_is_held_once():
+    table = {"file": 1, "size": 10**9, "bytes": 10**5, "first": b"x" * (16 << 10), "next": [CODE] * 6, "depth": [0] * 6, "head": [None] * 6}
+    starts = block_starts([table | {"start": n * 10**5} for n in range(50)])
+    assert len({id(s.head) for s in starts.values()}) == 2

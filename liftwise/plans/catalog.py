@@ -10,6 +10,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from liftwise.functions import metrics as M
 from liftwise.functions.collation import byte_strings, collate_tables, distinct
@@ -182,14 +183,16 @@ def product_top_bottom_ir_text_order(t: Tables) -> DataFrame:
     return _placed(R.product_top_bottom_ir(t, text_order=True), [desc("IR"), asc("product_name"), asc("category")])
 
 
-def _quoted(c: str) -> Column:
-    text = F.replace(F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+def _quoted(df: DataFrame, c: str) -> Column:
+    text = F.col(c).cast("string")
+    if not isinstance(df.schema[c].dataType, IntegralType):  # a whole number has nothing to escape
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
     return F.coalesce(F.concat(F.lit("'"), text, F.lit("'")), F.lit("NULL"))
 
 
 def insert_lines(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
     """Rows of ``df`` as INSERT statements of a dump, one for each row."""
-    row = F.concat(F.lit(f"INSERT INTO `{table}` VALUES ("), F.concat_ws(",", *[_quoted(c) for c in columns]), F.lit(")"))
+    row = F.concat(F.lit(f"INSERT INTO `{table}` VALUES ("), F.concat_ws(",", *[_quoted(df, c) for c in columns]), F.lit(")"))
     return df.select(row.alias("value"))
 
 
@@ -201,7 +204,7 @@ def dump_rows(t: Tables) -> DataFrame:
 def _write_statement(df: DataFrame, table: str, columns: list[str], path: str, line_end: str) -> None:
     """``df`` as dump files of one INSERT statement each: all tuples of a write task in one list."""
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    row = F.concat(F.lit("("), F.concat_ws(",", *[_quoted(c) for c in columns]), F.lit(")"))
+    row = F.concat(F.lit("("), F.concat_ws(",", *[_quoted(df, c) for c in columns]), F.lit(")"))
     head = F.when(first, F.lit(f"INSERT INTO `{table}` VALUES ")).otherwise(F.lit(","))
     df.select(F.concat(head, row).alias("value")).write.option("lineSep", line_end).text(path)
 

@@ -35,6 +35,14 @@ def _unescaped(text: Column) -> Column:
     return F.replace(F.regexp_replace(out, r"(?s)\\(.)", "$1"), F.lit(mark), F.lit("\\"))
 
 
+def _text(raw: Column) -> Column:
+    """A value as written as its text: a bare NULL as NULL, strings without quotes and escapes."""
+    inside = F.substring(raw, F.lit(2), F.length(raw) - 2)
+    plain = ~(inside.contains("\\") | inside.contains("'") | inside.contains("\u0002"))
+    text = F.when(raw.startswith("'"), F.when(plain, inside).otherwise(_unescaped(raw))).otherwise(raw)
+    return F.when(raw.isNotNull() & (F.upper(raw) != "NULL"), text)
+
+
 def _checked(ok: Column, value: Column, message: str, shown: Column) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.substring(F.coalesce(shown, F.lit("")), 1, 200))))
 
@@ -57,15 +65,21 @@ def typed_tuples(rows: DataFrame, table: str, schema: T.StructType) -> DataFrame
     names = F.split("names", ",")
     width = F.when(F.col("names") == "", F.lit(len(schema.fields))).otherwise(F.size(names))
     values = values.withColumn("v", _checked(F.size("v") == width, F.col("v"), f"a tuple of {table} has the wrong length", F.array_join("v", ",")))
-    out = []
-    for i, f in enumerate(schema.fields):
+    # One function over the list instead of the same text functions for every column: these
+    # made one method of the generated code, too long for the JVM to compile.
+    values = values.withColumn("v", F.transform("v", _text))
+    places = []
+    for f in schema.fields:
         spellings = [f.name.lower(), *([old_names[f.name].lower()] if f.name in old_names else [])]
         place = F.greatest(*[F.array_position(names, s) for s in spellings], F.lit(0).cast("bigint"))
-        raw = F.when(F.col("names") == "", F.get("v", F.lit(i))).otherwise(F.get("v", (place - 1).cast("int")))
-        text = F.when(raw.isNotNull() & (F.upper(raw) != "NULL"), F.when(raw.startswith("'"), _unescaped(raw)).otherwise(raw))
+        places.append(F.get("v", (place - 1).cast("int")))
+    texts = values.select(F.when(F.col("names") == "", F.col("v")).otherwise(F.array(*places)).alias("v"))
+    out = []
+    for i, f in enumerate(schema.fields):
+        text = F.get("v", F.lit(i))
         typed = text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType)
         out.append(_checked(text.isNull() | typed.isNotNull(), typed, f"not a {f.dataType.simpleString()} for {table}.{f.name}", text).alias(f.name))
-    return values.select(*out)
+    return texts.select(*out)
 
 
 def read_insert_rows(

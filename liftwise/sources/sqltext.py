@@ -311,9 +311,9 @@ def value_rows(table: str, found: list[tuple[bytes, list[bytes]]]) -> pa.RecordB
         names += [columns.decode()] * len(tuples)
         for t in tuples:
             t += b","
-            if ALL_VALUES.match(t).end() != len(t):
-                raise ValueError(f"not a tuple of values of {table}: {t[:200]!r}")
             values = VALUES.findall(t)
+            if sum(map(len, values)) + len(values) != len(t) and ALL_VALUES.match(t).end() != len(t):  # space around values, or none
+                raise ValueError(f"not a tuple of values of {table}: {t[:200]!r}")
             if b'"' in t:  # strings in double quotes are written as the others
                 values = [b"'" + v[1:-1].replace(b'""', b'"').replace(b"'", b"''") + b"'" if v[:1] == b'"' else v for v in values]
             flat += values
@@ -377,11 +377,18 @@ def text_tuples(table: str) -> Callable:
     """A ``mapInArrow`` function over texts of whole statements (``text``)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = Tuples(table, Start(CODE, 0, b"", True, False)).head.pattern
+        one_row = re.compile(rb"(?>" + head + rb")\s*+" + TUPLE.pattern + rb"\s*+;?+\s*+", re.I | re.S)
         for batch in batches:
             found = []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("text").cast(pa.binary()).to_pylist():
+                text = text or b""
+                one = one_row.fullmatch(text)
+                if one:  # one statement of one tuple needs no reader
+                    found.append((one[1] or b"", [one[2]]))
+                    continue
                 reader = Tuples(table, Start(CODE, 0, b"", True, False))
-                found += reader.feed((text or "").encode())
+                found += reader.feed(text)
                 reader.end()
             yield value_rows(table, found)
 

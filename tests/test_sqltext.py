@@ -172,3 +172,28 @@ def test_a_full_head_is_held_once():
     table = {"file": 1, "size": 10**9, "bytes": 10**5, "first": b"x" * (16 << 10), "next": [CODE] * 6, "depth": [0] * 6, "head": [None] * 6}
     starts = block_starts([table | {"start": n * 10**5} for n in range(50)])
     assert len({id(s.head) for s in starts.values()}) == 2
+
+
+def test_text_functions_are_planned_once_for_all_columns(spark):
+    lines = spark.createDataFrame([("INSERT INTO fact_events VALUES (1,2,3,4,5,6,7,8)",)], "value string")
+    parsed = parse_insert_lines(lines, "fact_events", FACT)
+    assert [tuple(r) for r in parsed.collect()] == [("1", "2", "3", "4", 5, "6", 7, 8)]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") < len(FACT.fields)
+
+
+def test_statements_of_one_tuple_in_odd_forms(spark):
+    texts = [
+        "INSERT INTO dim_products VALUES ('a','','it''s')",
+        "insert into `dim_products` (category, product_code) values ( 'c\\n\\'' , 'b)(' ) ; ",
+        "-- note\nINSERT INTO dim_products VALUES (NULL,'NULL',null);",
+        "INSERT INTO dim_products VALUES ('d','\\\\','x'),('e','(',\"\")",
+        "INSERT INTO other VALUES ('f','g','h')",
+        None,
+    ]
+    got = parse_insert_lines(spark.createDataFrame([(t,) for t in texts], "value string"), "dim_products", PRODUCTS)
+    want = [("a", "", "it's"), ("b)(", None, "c\n'"), (None, "NULL", None), ("d", "\\", "x"), ("e", "(", "")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    for wrong in ("INSERT INTO dim_products VALUES ('a' 'b','c','d')", "INSERT INTO dim_products VALUES ('a','b','c')) ;"):
+        with pytest.raises(Exception, match="not a tuple of values|not a list of value tuples"):
+            parse_insert_lines(spark.createDataFrame([(wrong,)], "value string"), "dim_products", PRODUCTS).collect()

@@ -16,7 +16,7 @@ Design for scale:
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 from functools import reduce
 
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from liftwise.functions import metrics as M
-from liftwise.functions.collation import grouped
+from liftwise.functions.collation import BINARY, byte_strings, grouped, is_collated
+from liftwise.session import scratch_dir
 from liftwise.tables import Tables
 
 DIM_KEYS = {"stores": "store_id", "campaigns": "campaign_id", "products": "product_code"}
@@ -81,10 +82,55 @@ def star_join(t: Tables, dims: Sequence[str] = ALL_DIMS, fact: DataFrame | None
     """
     out = t.fact if fact is None else fact
     for dim in dims:
-        out = out.join(getattr(t, dim), DIM_KEYS[dim], "inner")
+        key = DIM_KEYS[dim]
+        if fact is None and is_collated(t.fact.schema[key].dataType) and not t.fact.isStreaming:
+            out = _join_spellings(out, t.fact, getattr(t, dim), key)
+        else:
+            out = out.join(getattr(t, dim), key, "inner")
     return out
 
 
+def _by_spelling(fact: DataFrame, column: str, folded: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``folded`` of the distinct spellings of the fact's ``column`` (with their bytes as ``_bytes``), stored once.
+
+    Collation keys and comparisons cost far more than bytes, so rows meet their spelling's
+    result by its bytes; it is broadcast within the usual bound.
+    """
+    spark = fact.sparkSession
+    spelled = fact.select(F.collate(column, BINARY).alias("_bytes")).distinct()
+    found = folded(spelled.withColumn(column, F.collate("_bytes", fact.schema[column].dataType.collation)))
+    path = scratch_dir(spark, "spellings")
+    found.write.parquet(path)
+    stored = spark.read.schema(found.schema).parquet(path)
+    return sized_broadcast(stored, sizes_in_bytes({column: stored})[column])
+
+
+def _join_spellings(left: DataFrame, fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """``left.join(dim, key)`` for a collated ``key`` of ``fact``."""
+    kinds = {f.name: f.dataType for f in dim.schema.fields if f.name != key and is_collated(f.dataType)}
+    matches = _by_spelling(fact, key, lambda s: byte_strings(s.join(dim, key, "inner").drop(key)))
+    matches = matches.withColumns({c: F.collate(c, k.collation) for c, k in kinds.items()}) if kinds else matches
+    out = left.join(matches, F.collate(left[key], BINARY) == matches["_bytes"], "inner")
+    return out.select(key, *[c for c in left.columns if c != key], *[c for c in dim.columns if c != key])
+
+
+def _grouped_by_bytes(joined: DataFrame, fact: DataFrame, by: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """Sums of ``measures`` by the bytes of ``by``: few rows are left to be grouped under a collation.
+
+    The promotion rules are looked up once for each spelling, too.
+    """
+    kinds = {f.name: f.dataType for f in joined.schema.fields}
+    keys = [F.collate(c, BINARY).alias(f"_by_{i}") if is_collated(kinds[c]) else F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)]
+    rows = joined.select("*", *keys)
+    if is_collated(kinds["promo_type"]):
+        rule = reduce(lambda otherwise, name: F.when(F.col("promo_type") == name, name).otherwise(otherwise), M.PROMO_RULES, F.lit(None))
+        rules = _by_spelling(fact, "promo_type", lambda s: s.select("_bytes", rule.cast("string").alias("_rule")))
+        rows = rows.join(rules, F.collate("promo_type", BINARY) == rules["_bytes"], "left").withColumn("promo_type", F.col("_rule"))
+    sums = rows.groupBy(*[f"_by_{i}" for i in range(len(by))]).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
+    shown = [F.collate(f"_by_{i}", kinds[c].collation).alias(c) if is_collated(kinds[c]) else F.col(f"_by_{i}").alias(c) for i, c in enumerate(by)]
+    return sums.select(*shown, *measures)
+
+
 def net_measures() -> dict[str, Column]:
     """Row-level inputs of the view's sums (M1-M3); money in two parts each."""
     before = M.revenue_before_cents("base_price", "quantity_sold_before_promo")
@@ -157,9 +203,12 @@ def rollup(
         summed = {n: F.col(n) for n in measures}
     else:
         summed = dict(measures)
-    joined = star_join(t, dims, fact)
+    joined = star_join(t, dims, fact if eager else None)
     if where:
         joined = joined.filter(_condition(where))
+    if not eager and not t.fact.isStreaming and any(is_collated(t.fact.schema[c].dataType) for c in ("promo_type", *DIM_KEYS.values())):
+        joined = _grouped_by_bytes(joined, t.fact, by, summed)
+        summed = {n: F.col(n) for n in measures}
     return grouped(joined, by, [F.sum(e).alias(n) for n, e in summed.items()])
 
 

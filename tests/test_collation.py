@@ -67,3 +67,15 @@ def test_keys_equal_up_to_case_are_duplicates(spark):
 def test_plain_tables_keep_their_plan(hand):
     plan = R.promo_isu(hand)._jdf.queryExecution().optimizedPlan().toString()
     assert "collate" not in plan.lower()
+
+
+def test_spellings_are_folded_once_not_row_by_row(spark):
+    """Facts meet dimensions and rules by the bytes of their spelling, and no sort sees them."""
+    odd = [("e5", None, "C1", "X", 100, "bogof", 1, 1), ("e6", "s3", "Ć1", "x", 200, "no rule", 3, 4), ("e7", "S9", "C1", "X", 100, "bogof", 1, 1)]
+    stores = [*STORES, ("s1", "kÖln"), ("ß", None)]
+    t = collate_tables(make_tables(spark, [*FACTS, *odd, FACTS[0]], stores, CAMPAIGNS, PRODUCTS))
+    rows = byte_strings(sales_summary(t)).select("city", "promo_type", "quantity_sold_before_promo", "ISU").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("Bonn", "no rule", 3, 1), ("Bonn", None, 4, 2), ("KOLN", "500 CASHBACK", 5, 3), ("Köln", "BÓGOF", 42, 126)]
+    plan = sales_summary(t)._jdf.queryExecution().optimizedPlan().toString()
+    inner, outer = (sum(line.lstrip(" :+-").startswith(w) for line in plan.splitlines()) for w in ("Join", "Aggregate"))
+    assert "_bytes" in plan and inner == 4 and outer == 2

@@ -220,9 +220,12 @@ class Numbering(dict):
 
 
 class LatticeStore:
-    """The lattices of the units met so far in a task; begun anew when it has grown large."""
+    """The lattices of the units met so far in a task; begun anew when it has grown large.
 
-    MOST = 60_000
+    Frequent units are built again after that, so the bound is as high as memory allows (about 0.6 KB a unit).
+    """
+
+    MOST = 250_000
 
     def __init__(self, v: Vocabulary) -> None:
         self.v, self.found, self.lat = v, Numbering(), None
@@ -252,9 +255,12 @@ class LatticeStore:
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A hash of 64-bit numbers (the splitmix finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -490,7 +496,7 @@ def piece_ids(arcs: np.ndarray, ends: np.ndarray, lat: Lattices, v: Vocabulary)
 
 def decode(ids: list[int], pieces: list[bytes]) -> str:
     """The text of a sequence of ids: pieces joined, marks as spaces, without the added first one."""
-    raw = b"".join([pieces[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+    raw = b"".join(map(pieces.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
     return raw[1:] if raw.startswith(" ") else raw
 
 

@@ -118,3 +118,12 @@ def test_very_long_unit():
     text = "a" * 20_000 + " end"
     rows = P.sample_block([text], np.array([1]), 2, P.LatticeStore(V))[0]
     assert [P.decode(r[0].tolist(), V.pieces) == text for r in rows] == [True, True]
+
+
+def test_frequent_units_outlast_many_rare_ones(monkeypatch):
+    built, build = Counter(), P.build_lattices
+    monkeypatch.setattr(P, "build_lattices", lambda units, v: built.update(units) or build(units, v))
+    store = P.LatticeStore(V)
+    for start in range(10**6, 10**6 + 90_000, 10_000):
+        store.unit_ids(["the same " + " ".join(map(str, range(start, start + 10_000)))])
+    assert len(built) == 90_002 and built["▁the"] == 1
